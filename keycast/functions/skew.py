@@ -28,6 +28,15 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition once for a run of per-key work.
+
+    The number of partitions is stated, so adaptive execution does not merge
+    small but compute-heavy partitions into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def chunked(df: DataFrame, order: list[str]) -> DataFrame:
     """Add `_chunk`: equal slices of the global order given by `order`.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keycast.config import Drift
 from keycast.functions import samples as S
+from keycast.functions.skew import spread
 from keycast.operators.metrics import finite
 from keycast.operators.rules import reference_window
 
@@ -117,10 +118,10 @@ def _resample_pairs(n: Column, options: Drift) -> Column:
 def null_statistics(chosen: DataFrame, options: Drift = Drift()) -> DataFrame:
     """The statistic between parts of a key's own history: `group_id, method, iteration, statistic`.
 
-    One in-place expansion per key; rows never leave their partition.
+    One small row per key is spread out first; the expansion then stays in place.
     """
     n = F.col("sample_size")
-    ready = chosen.where(n >= 2).withColumn("method", threshold_method(n, options))
+    ready = spread(chosen.where(n >= 2), "group_id").withColumn("method", threshold_method(n, options))
     pairs = F.when(F.col("method") == "percentile", _chunk_pairs(n)).otherwise(_resample_pairs(n, options))
     rows = ready.select("group_id", "algorithm", "method", F.inline(pairs))
     rows = rows.where((F.size("a") > 0) & (F.size("b") > 0))

@@ -71,5 +71,5 @@ def design_matrix(rows: DataFrame, keys: list[str], spec: dict | None = None, ex
     for name in extra:
         complete = complete & F.col(name).isNotNull()
     out = out.withColumn("_complete", complete)
-    some = F.max(F.col("_complete").cast("int")).over(whole) == 1
-    return out.where(F.col("_complete") | ~some).drop("_complete", "_n")
+    out = out.withColumn("_some", F.max(F.col("_complete").cast("int")).over(whole))
+    return out.where(F.col("_complete") | (F.col("_some") == 0)).drop("_complete", "_some", "_n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keycast.config import KEY_SEPARATOR, SINGLE_SERIES_ID, Cleaning, Roles
+from keycast.functions.skew import spread
 from keycast.operators.coercion import is_number
 
 
@@ -41,6 +42,7 @@ def build_series(curated: DataFrame, roles: Roles, options: Cleaning = Cleaning(
     rows = grouped(curated, roles).select(
         "group_id", F.col(roles.date).cast("date").alias("ds"), F.col(roles.target).cast("double").alias("y"), *roles.features
     )
+    rows = spread(rows, "group_id")
     w = Window.partitionBy("group_id")
     series = rows.withColumn("n", F.count(F.lit(1)).over(w).cast("int"))
     series = series.withColumn("t", (F.row_number().over(w.orderBy("ds")) - 1).cast("int"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keycast.config import Roles, RunOptions, check_horizon, resolve_models
-from keycast.functions.skew import stable
+from keycast.functions.skew import spread, stable
 from keycast.operators import clean, drift, folds, metrics, profile, ranking, rules, selection, training
 from keycast.operators import series as series_ops
 from keycast.operators.models import autoregressive, naive, trend
@@ -17,7 +19,7 @@ FORECASTERS = {"trend_seasonal": trend.predict, "autoregressive": autoregressive
 
 @dataclass
 class Run:
-    """Result tables of a run. All are lazy DataFrames; nothing is collected."""
+    """Result tables of a run; nothing is collected to the driver."""
 
     series: DataFrame
     trained: DataFrame
@@ -25,6 +27,7 @@ class Run:
     forecasts: DataFrame
     naive: DataFrame
     scores: DataFrame
+    judged_forecasts: DataFrame
     rules: DataFrame
     verdicts: DataFrame
     evaluated: DataFrame
@@ -37,63 +40,62 @@ class Run:
     winning: DataFrame
 
 
-def forecast_series(series: DataFrame, grain: str | None, options: RunOptions = RunOptions(), extra_predictions: DataFrame | None = None, importance: DataFrame | None = None, keep: bool = False) -> Run:
+def predict(series: DataFrame, options: RunOptions = RunOptions(), extra: DataFrame | None = None) -> DataFrame:
+    """Backtest and forward predictions of every requested model, one long table."""
+    frame = folds.frame(series, options.backtest, options.horizon)
+    parts = [] if extra is None else [extra]
+    for spec in _specs(options):
+        if spec.name in FORECASTERS:
+            parts.append(FORECASTERS[spec.name](frame.where(F.col("n") >= spec.min_rows)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def forecast_series(series: DataFrame, grain: str | None, options: RunOptions = RunOptions(), extra_predictions: DataFrame | None = None, importance: DataFrame | None = None) -> Run:
     """Train, backtest, screen, rank, gate and select for every series at once.
 
-    With `keep` the two tables read many times (series, predictions) are
-    written to the shared checkpoint folder; otherwise the chain stays lazy.
+    Tables that several later stages read (series, predictions, evaluation,
+    ranking, drift) are written to the shared checkpoint folder: each is
+    computed once, plans stay small, and a lost executor re-reads them.
     """
     horizon = check_horizon(options.horizon)
-    names = list(options.models) if options.models else list(FORECASTERS)
-    specs = tuple(s for s in resolve_models() if s.name in names)
-    if keep:
-        series = stable(series)
-    facts = series.groupBy("group_id").agg(_count().alias("n"))
-    frame = folds.frame(series, options.backtest, horizon)
-    eligible = training.eligibility(facts, specs)
-    predictions = extra_predictions
-    for spec in specs:
-        if spec.name in FORECASTERS:
-            part = FORECASTERS[spec.name](frame)
-            predictions = part if predictions is None else predictions.unionByName(part)
-    trained_pairs = eligible.where("status = 'Trained'").select("group_id", "model_name")
-    predictions = predictions.join(trained_pairs, ["group_id", "model_name"], "left_semi")
-    if keep:
-        predictions = stable(predictions)
+    series = spread(stable(series), "group_id")
+    facts = series.groupBy("group_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    predictions = stable(predict(series, options, extra_predictions))
     forecasts = predictions.where("fold = -1")
-    baseline = naive.predict(frame.where("fold = -1"))
-    trained = training.mark_failed(eligible, forecasts, horizon)
+    baseline = naive.predict(folds.frame(series, options.backtest, horizon).where("fold = -1"))
+    trained = training.mark_failed(training.eligibility(facts, _specs(options)), forecasts, horizon)
     scores = metrics.overall(predictions)
-    judged_forecasts = rules.forecast_facts(forecasts, rules.history_facts(series, grain, horizon, options.rules), options.rules)
+    past = rules.history_facts(series, grain, horizon, options.rules)
+    judged_forecasts = stable(rules.forecast_facts(forecasts, past, options.rules))
     outcomes = rules.rule_outcomes(judged_forecasts, options.rules)
     verdicts = rules.verdicts(judged_forecasts, outcomes, options.rules)
-    evaluated = rules.evaluate(trained, verdicts, scores)
-    ranked = ranking.rank_models(rules.survivors(evaluated), forecasts, importance, options.ranking)
-    chosen = drift.choose_algorithm(drift.history_samples(series, grain, horizon), options.drift)
-    limits = drift.thresholds(chosen, drift.null_statistics(chosen, options.drift), options.drift)
-    current = drift.forecast_samples(forecasts.join(ranked.select("group_id", "model_name"), ["group_id", "model_name"], "left_semi"))
-    drifted = drift.drift_verdicts(chosen, limits, current)
+    evaluated = stable(rules.evaluate(trained, verdicts, scores))
+    ranked = stable(ranking.rank_models(rules.survivors(evaluated), forecasts, importance, options.ranking))
+    chosen = stable(drift.choose_algorithm(drift.history_samples(series, grain, horizon), options.drift))
+    limits = stable(drift.thresholds(chosen, drift.null_statistics(chosen, options.drift), options.drift))
+    kept = ranked.select("group_id", "model_name")
+    current = drift.forecast_samples(forecasts.join(kept, ["group_id", "model_name"], "left_semi"))
+    drifted = stable(drift.drift_verdicts(chosen, limits, current))
     judged = selection.judged_candidates(ranked, drifted)
-    chosen_models = selection.select_production(facts, judged, baseline)
+    production = stable(selection.select_production(facts, judged, baseline))
     return Run(
         series=series, trained=trained, predictions=predictions, forecasts=forecasts, naive=baseline, scores=scores,
-        rules=outcomes, verdicts=verdicts, evaluated=evaluated, ranked=ranked, chosen=chosen, thresholds=limits,
-        drift=drifted, judged=judged, selection=chosen_models,
-        winning=selection.winning_forecasts(chosen_models, forecasts, baseline),
+        judged_forecasts=judged_forecasts, rules=outcomes, verdicts=verdicts, evaluated=evaluated, ranked=ranked,
+        chosen=chosen, thresholds=limits, drift=drifted, judged=judged, selection=production,
+        winning=selection.winning_forecasts(production, forecasts, baseline),
     )
 
 
-def _count():
-    from pyspark.sql import functions as F
-
-    return F.count(F.lit(1)).cast("int")
+def _specs(options: RunOptions):
+    names = list(options.models) if options.models else list(FORECASTERS)
+    return tuple(s for s in resolve_models() if s.name in names)
 
 
-def run(table: DataFrame, roles: Roles, options: RunOptions = RunOptions(), order: list[str] | None = None, keep: bool = True) -> Run:
+def run(table: DataFrame, roles: Roles, options: RunOptions = RunOptions(), order: list[str] | None = None) -> Run:
     """From a raw table to selected forecasts; stops with a clear error where the data cannot be used."""
     roles.check(table.columns)
     grain = profile.frequency(table, roles.date).first().frequency
     curated = clean.prepare(table, roles, grain, options.cleaning, order)
     clean.assert_usable(curated, roles, options.cleaning)
     clean.verify(curated, roles, options.cleaning)
-    return forecast_series(series_ops.build_series(curated, roles, options.cleaning), grain, options, keep=keep)
+    return forecast_series(series_ops.build_series(curated, roles, options.cleaning), grain, options)
