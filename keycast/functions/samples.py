@@ -218,7 +218,7 @@ def shapiro_p(w: Column, n: Column) -> Column:
 
 def dagostino_p(skewness: Column, kurtosis: Column, n: Column) -> Column:
     """p-value of the D'Agostino–Pearson K² from population skewness and (non-excess) kurtosis."""
-    n = n.cast("double")
+    n = F.greatest(n.cast("double"), F.lit(20.0))  # the test is not defined for tiny samples
     y = skewness * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = -1 + F.sqrt(2 * (beta - 1))

@@ -155,3 +155,14 @@ def small_map(values: dict) -> Column:
     for k, v in values.items():
         pairs += [F.lit(k), F.lit(v)]
     return F.create_map(*pairs)
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of `value` over all earlier rows of the key, for keys of any size."""
+    slices = chunked(df, [*keys, *order])
+    inside = Window.partitionBy("_chunk", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = slices.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    sums = slices.groupBy("_chunk", *keys).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    return local.join(sums, ["_chunk", *keys]).withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)

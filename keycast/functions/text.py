@@ -13,9 +13,23 @@ def safe_key(raw: Column) -> Column:
     return F.when(trimmed == "", F.lit("key")).otherwise(trimmed)
 
 
+# All Unicode whitespace, in a form Java and RE2 expressions share.
+SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty text has none."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def sentences(text: Column) -> Column:
+    """Trimmed, non-empty sentences, cut at whitespace after . ! or ?"""
+    parts = F.split(text, rf"(?<=[.!?]){SPACE}+")
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
 def cap_words(text: Column, limit: int) -> Column:

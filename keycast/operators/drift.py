@@ -44,7 +44,7 @@ def normality(samples: DataFrame, options: Drift = Drift()) -> DataFrame:
     out = S.pinned(out, _w=F.when(F.col("weights").isNotNull(), dot * dot / F.nullif(F.col("_m.m2"), F.lit(0.0))))
     spread = F.sqrt(F.col("_m.m2") / F.col("_m.n"))
     power = lambda k: F.aggregate("_sorted", F.lit(0.0), lambda s, x: s + F.pow((x - F.col("_m.mean")) / spread, F.lit(k))) / F.col("_m.n")
-    out = S.pinned(out, _k=F.when(F.col("weights").isNull() & (F.col("_m.m2") > 0), F.struct(power(3).alias("s"), power(4).alias("k"))))
+    out = S.pinned(out, _k=F.when(F.col("weights").isNull() & (F.col("_m.m2") > 0) & (F.col("sample_size") >= options.min_rows), F.struct(power(3).alias("s"), power(4).alias("k"))))
     shapiro = S.shapiro_p(F.col("_w"), F.col("sample_size").cast("double"))
     p = F.when(F.col("_m.m2") == 0, F.lit(1.0)).when(F.col("weights").isNotNull(), shapiro).otherwise(
         S.dagostino_p(F.col("_k.s"), F.col("_k.k"), F.col("sample_size"))

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from keycast.config import Roles, RunOptions, check_horizon, resolve_models
 from keycast.functions.skew import spread, stable
+from keycast.operators import importance as explain
 from keycast.operators import clean, drift, folds, metrics, profile, ranking, rules, selection, training
 from keycast.operators import series as series_ops
 from keycast.operators.models import autoregressive, naive, trend
 
+RECORD = (
+    "group_id string, model_name string, method string, window_stability double, horizon_stability double, "
+    "plausibility double, dominant_feature string, importance_score double"
+)
 FORECASTERS = {"trend_seasonal": trend.predict, "autoregressive": autoregressive.predict}
 
 
@@ -31,6 +36,7 @@ class Run:
     rules: DataFrame
     verdicts: DataFrame
     evaluated: DataFrame
+    explained: DataFrame
     ranked: DataFrame
     chosen: DataFrame
     thresholds: DataFrame
@@ -70,7 +76,10 @@ def forecast_series(series: DataFrame, grain: str | None, options: RunOptions =
     outcomes = rules.rule_outcomes(judged_forecasts, options.rules)
     verdicts = rules.verdicts(judged_forecasts, outcomes, options.rules)
     evaluated = stable(rules.evaluate(trained, verdicts, scores))
-    ranked = stable(ranking.rank_models(rules.survivors(evaluated), forecasts, importance, options.ranking))
+    alive = rules.survivors(evaluated)
+    records = _no_records(series) if importance is None else importance
+    explained = explain.for_survivors(alive, records, options.importance)
+    ranked = stable(ranking.rank_models(alive, forecasts, explained, options.ranking))
     chosen = stable(drift.choose_algorithm(drift.history_samples(series, grain, horizon), options.drift))
     limits = stable(drift.thresholds(chosen, drift.null_statistics(chosen, options.drift), options.drift))
     kept = ranked.select("group_id", "model_name")
@@ -80,12 +89,16 @@ def forecast_series(series: DataFrame, grain: str | None, options: RunOptions =
     production = stable(selection.select_production(facts, judged, baseline))
     return Run(
         series=series, trained=trained, predictions=predictions, forecasts=forecasts, naive=baseline, scores=scores,
-        judged_forecasts=judged_forecasts, rules=outcomes, verdicts=verdicts, evaluated=evaluated, ranked=ranked,
+        judged_forecasts=judged_forecasts, rules=outcomes, verdicts=verdicts, evaluated=evaluated, explained=explained, ranked=ranked,
         chosen=chosen, thresholds=limits, drift=drifted, judged=judged, selection=production,
         winning=selection.winning_forecasts(production, forecasts, baseline),
     )
 
 
+def _no_records(series: DataFrame) -> DataFrame:
+    return series.sparkSession.createDataFrame([], RECORD)
+
+
 def _specs(options: RunOptions):
     names = list(options.models) if options.models else list(FORECASTERS)
     return tuple(s for s in resolve_models() if s.name in names)
