@@ -421,3 +421,43 @@ def _(spark, sf):
 
     run = supplier_run(spark, sf)
     return tables.forecast_rows(run.winning, run.selection).select("group_id", "model_name", "date", *rounded(2, "value", "lower", "upper"))
+
+
+# -- tree models: fitted, so only their rows are checked --------------------------------------
+
+from keycast.operators import folds as _folds  # noqa: E402
+from keycast.operators.models import trees  # noqa: E402
+
+
+def full_matrix(spark, sf) -> DataFrame:
+    def build():
+        frame = _folds.frame(supplier_series(spark, sf)).where("fold = -1")
+        return stable(trees.training_rows(frame))
+
+    return once(spark, f"trees:{sf}", build)
+
+
+@query("model_boosted_trees")
+def _(spark, sf):
+    return trees.predict(_folds.frame(supplier_series(spark, sf)), "boosted_trees", folds=[-1, 0])
+
+
+@query("model_random_forest")
+def _(spark, sf):
+    return trees.predict(_folds.frame(supplier_series(spark, sf)), "random_forest", folds=[-1, 0])
+
+
+@query("model_parameter_search")
+def _(spark, sf):
+    return trees.search(full_matrix(spark, sf), "random_forest")
+
+
+@query("importance_tree_records")
+def _(spark, sf):
+    return trees.importance_records(full_matrix(spark, sf), "random_forest").drop("significant_changes")
+
+
+@query("importance_permutation")
+def _(spark, sf):
+    rows = full_matrix(spark, sf)
+    return trees.permutation_importance(rows, trees.estimator("random_forest").fit(trees.assembled(rows)))

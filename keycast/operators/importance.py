@@ -58,9 +58,10 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 def completed(vectors: DataFrame) -> DataFrame:
     """Vectors over the union of their pair's features; an absent feature weighs 0."""
-    names = vectors.groupBy(*PAIR).agg(F.collect_set("feature").alias("features"), F.collect_set("vector_id").alias("ids"))
-    grid = names.withColumn("vector_id", F.explode("ids")).select(*PAIR, "vector_id", F.explode("features").alias("feature"))
-    return grid.join(vectors, [*PAIR, "vector_id", "feature"], "left").fillna({"weight": 0.0})
+    maps = vectors.groupBy(*PAIR, "vector_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("_w"))
+    names = F.array_distinct(F.flatten(F.collect_list(F.map_keys("_w")).over(Window.partitionBy(*PAIR))))
+    grid = maps.withColumn("_names", names).select(*PAIR, "vector_id", "_w", F.explode("_names").alias("feature"))
+    return grid.select(*PAIR, "vector_id", "feature", F.coalesce(F.try_element_at("_w", F.col("feature")), F.lit(0.0)).alias("weight"))
 
 
 def consistency(vectors: DataFrame, name: str = "consistency") -> DataFrame:
@@ -70,24 +71,26 @@ def consistency(vectors: DataFrame, name: str = "consistency") -> DataFrame:
     (|sum z|^2 - m) / 2. Flat vectors only pair, at 1, with equal flat ones.
     """
     by = [*PAIR, "vector_id"]
-    grid = completed(vectors)
-    ranked = grid.withColumn("_rank", average_rank("weight", by))
+    ranked = completed(vectors).withColumn("_rank", average_rank("weight", by))
     w = Window.partitionBy(*by)
     ranked = ranked.withColumn("_c", F.col("_rank") - F.avg("_rank").over(w)).withColumn("_norm", F.sqrt(F.sum(F.col("_c") * F.col("_c")).over(w)))
     unit = ranked.withColumn("_z", F.col("_c") / F.nullif(F.col("_norm"), F.lit(0.0)))
-    per_feature = unit.groupBy(*PAIR, "feature").agg(F.sum("_z").alias("_s"), F.count("_z").alias("_m"))
+    per_feature = unit.groupBy(*PAIR, "feature").agg(
+        F.coalesce(F.sum("_z"), F.lit(0.0)).alias("_s"), F.count("_z").alias("_m"), F.count(F.lit(1)).alias("_vectors"),
+        # One entry per flat vector: at most the handful of vectors a pair has.
+        F.collect_list(F.when(F.col("_norm") == 0, F.round("weight", 8))).alias("_flat"),
+    )
     shaped = per_feature.groupBy(*PAIR).agg(
-        F.sum(F.coalesce(F.col("_s"), F.lit(0.0)) * F.coalesce(F.col("_s"), F.lit(0.0))).alias("_square"), F.max("_m").alias("_m"), F.count(F.lit(1)).alias("_features")
+        F.sum(F.col("_s") * F.col("_s")).alias("_square"), F.max("_m").alias("_m"), F.max("_vectors").alias("_vectors"),
+        F.count(F.lit(1)).alias("_features"), F.first("_flat").alias("_flat"),
     )
-    flat = unit.where("_norm = 0").groupBy(*by).agg(F.round(F.max("weight"), 8).alias("_level"))
-    flat = flat.groupBy(*PAIR, "_level").agg(F.count(F.lit(1)).alias("_k")).groupBy(*PAIR).agg(F.sum(F.col("_k") * (F.col("_k") - 1) / 2).alias("_flat"))
-    sizes = grid.groupBy(*PAIR).agg(F.count_distinct("vector_id").alias("_vectors"))
-    joined = shaped.join(sizes, PAIR).join(flat, PAIR, "left").fillna({"_flat": 0.0})
+    same = F.aggregate("_flat", F.lit(0.0), lambda total, x: total + (F.size(F.filter("_flat", lambda y: y == x)) - 1) / 2.0)
     pairs = F.col("_m") * (F.col("_m") - 1) / 2
-    mean = ((F.col("_square") - F.col("_m")) / 2 + F.col("_flat")) / F.nullif(pairs + F.col("_flat"), F.lit(0.0))
+    shaped = shaped.withColumn("_same", same)
+    mean = ((F.col("_square") - F.col("_m")) / 2 + F.col("_same")) / F.nullif(pairs + F.col("_same"), F.lit(0.0))
     mapped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean + 1) / 2))
     value = F.when(F.col("_vectors") < 2, F.lit(None)).when(F.col("_features") < 2, F.lit(1.0)).otherwise(mapped)
-    return joined.select(*PAIR, value.cast("double").alias(name))
+    return shaped.select(*PAIR, value.cast("double").alias(name))
 
 
 def dominant(point: DataFrame, vectors: DataFrame, options: Importance = Importance()) -> DataFrame:

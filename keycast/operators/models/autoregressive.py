@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keycast.functions.samples import pinned
 from keycast.operators.models.naive import tests
 
 Z95 = 1.96
@@ -70,7 +71,7 @@ def _order(p: int, d: int) -> Column:
 def fits(frame: DataFrame) -> DataFrame:
     """One row per (group, fold): the order with the smallest AIC (then p, then d)."""
     orders = F.array_compact(F.array(*[_order(p, d) for p in (0, 1, 2) for d in (0, 1)]))
-    chosen = _moments(frame).withColumn("fit", F.array_min(orders))
+    chosen = pinned(_moments(frame), fit=F.array_min(orders))
     return chosen.where(F.col("fit").isNotNull()).select(
         "group_id", "fold", "level", "l1", "l2", "l3", "tests", "m", F.col("fit.*")
     )
@@ -82,10 +83,10 @@ def predict(frame: DataFrame) -> DataFrame:
     )
     grow = lambda constant: lambda acc, _: F.concat(acc, F.array(step(acc, constant)))
     ahead = F.sequence(F.lit(1), F.array_max(F.transform("tests", lambda r: r["step"])))
-    paths = fits(frame).where(F.size("tests") > 0).select(
-        "group_id", "fold", "level", "sigma2", "tests",
-        F.aggregate(ahead, F.array("l3", "l2", "l1"), grow(F.col("a"))).alias("path"),
-        F.aggregate(ahead, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), grow(F.lit(0.0))).alias("psi"),
+    paths = pinned(
+        fits(frame).where(F.size("tests") > 0),
+        path=F.aggregate(ahead, F.array("l3", "l2", "l1"), grow(F.col("a"))),
+        psi=F.aggregate(ahead, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), grow(F.lit(0.0))),
     )
     steps = paths.select("group_id", "fold", "level", "sigma2", "path", "psi", F.inline("tests"))
     value = F.col("level") + F.element_at("path", F.col("step") + 3)
