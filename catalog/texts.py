@@ -9,7 +9,7 @@ from catalog import query
 from catalog.decisions import DECISION
 from catalog.fixtures import once, supplier_run, supplier_series, table, with_
 from catalog.modelling import long, rounded
-from keycast.functions.skew import stable
+from keycast.functions.skew import stable, widen
 from keycast.functions.text import cap_words
 from keycast.operators import series as series_ops
 from keycast.operators import textcheck
@@ -40,7 +40,7 @@ judged AS (SELECT *, len(c) AS checked_numbers, len(list_filter(c, lambda x: NOT
 
 def fact_documents(spark, sf) -> DataFrame:
     known = F.array(F.col("n_chars").cast("double"), F.col("doc_id").cast("double"), F.col("n_chars") / F.lit(19997.0))
-    return table(spark, sf, "documents").select("doc_id", "text", known.alias("known"))
+    return widen(table(spark, sf, "documents")).select("doc_id", "text", known.alias("known"))
 
 
 @query("text_citable_numbers", with_(_FACTS, _TWINS) + "SELECT doc_id, unnest(f) AS fact FROM numbers")
@@ -221,7 +221,7 @@ z5 AS (SELECT *, CASE WHEN length(e) > 120 THEN regexp_replace(substring(e, 1, 1
 
 
 def scrubbed(spark, sf) -> DataFrame:
-    return textcheck.scrub(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return textcheck.scrub(widen(table(spark, sf, "documents").select("doc_id", "text")), "text")
 
 
 @query("text_scrub", with_(_SCRUB) + "SELECT doc_id, f AS scrubbed FROM z5")
@@ -247,7 +247,7 @@ for _source, _key in (("documents", "doc_id"), ("benchmark", "item_id"), ("pages
     @query(f"text_redact_{_source}", f"SELECT {_key}, md5({_redact('html' if _source == 'pages' else 'text')}) AS redacted FROM {_source}")
     def _(spark, sf, source=_source, key=_key):
         column = "html" if source == "pages" else "text"
-        return table(spark, sf, source).select(key, F.md5(textcheck.redact(F.col(column)).cast("binary")).alias("redacted"))
+        return widen(table(spark, sf, source).select(key, column)).select(key, F.md5(textcheck.redact(F.col(column)).cast("binary")).alias("redacted"))
 
 
 _ERRORS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in textcheck.ERROR_CATEGORIES) + " ELSE 'other' END"
@@ -255,7 +255,7 @@ _ERRORS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for
 
 @query("text_error_categories", f"SELECT {_ERRORS} AS category, count(*) AS texts FROM documents GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "documents").groupBy(textcheck.error_category(F.col("text")).alias("category")).agg(F.count(F.lit(1)).alias("texts"))
+    return widen(table(spark, sf, "documents").select("text")).groupBy(textcheck.error_category(F.col("text")).alias("category")).agg(F.count(F.lit(1)).alias("texts"))
 
 
 @query("text_word_cap", f"""SELECT conv_id, turn, CASE WHEN len(w) <= 25 THEN array_to_string(w, ' ') ELSE regexp_replace(array_to_string(w[1:25], ' '), '[,;:]+$', '') || '…' END AS capped FROM (SELECT conv_id, turn, {WORDS('text')} AS w FROM conversations)""")

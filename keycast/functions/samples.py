@@ -208,28 +208,43 @@ def shapiro_weights(n: int) -> list[float]:
     return [-last, -second, *inner, second, last]
 
 
-def shapiro_p(w: Column, n: Column) -> Column:
-    """p-value of the Shapiro–Wilk W for n >= 12."""
+def shapiro_z(w: Column, n: Column) -> Column:
+    """Normal score of the Shapiro–Wilk W for n >= 12; its p-value is 1 - Φ(z)."""
     x = F.ln(n)
     mean = -1.5861 + x * (-0.31082 + x * (-0.083751 + x * 0.0038915))
     spread = F.exp(-0.4803 + x * (-0.082676 + x * 0.0030302))
-    return 1 - normal_cdf((F.ln(F.greatest(1 - w, F.lit(1e-19))) - mean) / spread)
+    return (F.ln(F.greatest(1 - w, F.lit(1e-19))) - mean) / spread
 
 
-def dagostino_p(skewness: Column, kurtosis: Column, n: Column) -> Column:
-    """p-value of the D'Agostino–Pearson K² from population skewness and (non-excess) kurtosis."""
+def with_dagostino_p(df: DataFrame, skewness: Column, kurtosis: Column, n: Column, out: str) -> DataFrame:
+    """Add the p-value of the D'Agostino–Pearson K² from population skewness and (non-excess) kurtosis.
+
+    Built in pinned steps: written as one expression, its repeated parts would
+    multiply into code too large to compile.
+    """
+    c = F.col
     n = F.greatest(n.cast("double"), F.lit(20.0))  # the test is not defined for tiny samples
-    y = skewness * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta - 1))
-    delta, alpha = 1 / F.sqrt(0.5 * F.ln(w2)), F.sqrt(2 / (w2 - 1))
-    z1 = delta * F.ln(y / alpha + F.sqrt((y / alpha) * (y / alpha) + 1))
-    expected = 3 * (n - 1) / (n + 1)
-    variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurtosis - expected) / F.sqrt(variance)
-    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
-    base = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
-    cube = F.signum(base) * F.pow(F.abs(base), F.lit(1 / 3))
-    z2 = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
-    return F.exp(-(z1 * z1 + z2 * z2) / 2)
+    df = pinned(df, _n=n, _skew=skewness, _kurt=kurtosis)
+    n = c("_n")
+    df = pinned(
+        df,
+        _y=c("_skew") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))),
+        _w2=-1 + F.sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)),
+        _x=(c("_kurt") - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))),
+        _root=6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))),
+    )
+    df = pinned(
+        df,
+        _u=c("_y") / F.sqrt(2 / (c("_w2") - 1)),
+        _a=6 + 8 / c("_root") * (2 / c("_root") + F.sqrt(1 + 4 / (c("_root") * c("_root")))),
+    )
+    df = pinned(
+        df,
+        _z1=F.ln(c("_u") + F.sqrt(c("_u") * c("_u") + 1)) / F.sqrt(0.5 * F.ln("_w2")),
+        _base=(1 - 2 / c("_a")) / (1 + c("_x") * F.sqrt(2 / (c("_a") - 4))),
+    )
+    cube = F.signum("_base") * F.pow(F.abs("_base"), F.lit(1 / 3))
+    df = pinned(df, _z2=(1 - 2 / (9 * c("_a")) - cube) / F.sqrt(2 / (9 * c("_a"))))
+    return df.withColumn(out, F.exp(-(c("_z1") * c("_z1") + c("_z2") * c("_z2")) / 2)).drop(
+        "_n", "_skew", "_kurt", "_y", "_w2", "_x", "_root", "_u", "_a", "_z1", "_base", "_z2"
+    )

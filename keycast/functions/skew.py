@@ -37,6 +37,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunked(df: DataFrame, order: list[str]) -> DataFrame:
     """Add `_chunk`: equal slices of the global order given by `order`.
 
@@ -62,15 +68,19 @@ def global_positions(df: DataFrame, order: list[str], name: str = "position") ->
     )
 
 
+def key_struct(keys: list[str]) -> Column:
+    """All key columns as one struct: it is never null itself, and its null fields compare equal."""
+    return F.struct(*keys) if keys else F.struct(F.lit(1))
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Per row: its position in its key and the nearest non-null `value` on either side.
 
     Adds `_pos`, `_prev`, `_prev_pos`, `_next`, `_next_pos` (a present value is
-    its own neighbour). Keys compare null-safe: rows with null keys form a key.
+    its own neighbour). Rows with null keys form a key of their own.
     """
-    null_flags = [F.col(k).isNull().alias(f"_null_{k}") for k in keys]
-    slices = chunked(df.select("*", *null_flags), [*keys, *order])
-    by = ["_chunk", *keys]
+    slices = chunked(df.withColumn("_key", key_struct(keys)), [*keys, *order])
+    by = ["_chunk", "_key"]
     w = Window.partitionBy(*by).orderBy(*order)
     present = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_at").alias("p")))
     local = (
@@ -85,7 +95,7 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str) ->
         F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("_at"))).alias("_first"),
     )
     # Rows per key here are at most the number of range partitions.
-    k = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
+    k = Window.partitionBy("_key").orderBy("_chunk")
     earlier, later = k.rowsBetween(Window.unboundedPreceding, -1), k.rowsBetween(1, Window.unboundedFollowing)
     summary = summary.withColumn("_base", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("long"))
     lifted = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.v").alias("v"), (F.col(f"{c}.p") + F.col("_base")).alias("p")))
@@ -96,12 +106,8 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str) ->
         F.last("_last", True).over(earlier).alias("_carry"),
         F.first("_first", True).over(later).alias("_ahead"),
     )
-    right = summary.select(*[F.col(c).alias(f"_r_{c}") for c in by], "_base", "_carry", "_ahead")
-    match = F.col("_chunk") == F.col("_r__chunk")
-    for key in keys:
-        match = match & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    joined = local.join(right, match)
-    return joined.select(
+    # `local` is already partitioned by (chunk, key): only the summary moves.
+    return local.join(summary, by).select(
         *df.columns,
         (F.col("_at") + F.col("_base") - 1).alias("_pos"),
         F.coalesce(F.col("_before.v"), F.col("_carry.v")).alias("_prev"),
@@ -118,22 +124,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
     counts over chunks of the (key, value) order, so no task holds a key.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    slices = chunked(counts, [*keys, value])
-    w = Window.partitionBy("_chunk", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    slices = chunked(counts.withColumn("_key", key_struct(keys)), [*keys, value])
+    w = Window.partitionBy("_chunk", "_key").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = slices.withColumn("_cum", F.sum("_n").over(w))
-    per_chunk = slices.groupBy("_chunk", *keys).agg(F.sum("_n").alias("_rows"))
-    k = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    per_chunk = (
-        per_chunk.withColumn("_base", F.coalesce(F.sum("_rows").over(k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_total", F.sum("_rows").over(whole))
-        .drop("_rows")
+    per_chunk = slices.groupBy("_chunk", "_key").agg(F.sum("_n").alias("_rows"))
+    k = Window.partitionBy("_key")
+    before = F.sum("_rows").over(k.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    per_chunk = per_chunk.select(
+        "_chunk", "_key", F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_rows").over(k).alias("_total")
     )
-    right = per_chunk.select(*[F.col(c).alias(f"_r_{c}") for c in ["_chunk", *keys]], "_base", "_total")
-    match = F.col("_chunk") == F.col("_r__chunk")
-    for key in keys:
-        match = match & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    ranked = local.join(right, match).withColumn("_upto", F.col("_cum") + F.col("_base"))
+    ranked = local.join(per_chunk, ["_chunk", "_key"]).withColumn("_upto", F.col("_cum") + F.col("_base"))
     aggregates = []
     for i, p in enumerate(probabilities):
         at = (F.col("_total") - 1) * F.lit(float(p))
@@ -141,12 +141,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
         high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value)))
         part = F.max(at - F.floor(at))
         aggregates.append((low + (high - low) * part).alias(f"q_{i}"))
-    return ranked.groupBy(*keys).agg(*aggregates)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = 100_000) -> bool:
-    """True when a side is small enough to broadcast, checked with a bounded read."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return ranked.groupBy("_key").agg(*aggregates).select(*[F.col(f"_key.{c}").alias(c) for c in keys], *[f"q_{i}" for i in range(len(probabilities))])
 
 
 def small_map(values: dict) -> Column:

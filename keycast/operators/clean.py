@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keycast.config import SUB_MONTHLY, Cleaning, DataError, Roles
-from keycast.functions.skew import exact_quantiles, neighbours
+from keycast.functions.skew import exact_quantiles, key_struct, neighbours
 from keycast.operators.coercion import coerce, is_number
 
 
@@ -58,15 +58,11 @@ def fill_missing(df: DataFrame, roles: Roles, strategy: str, order: list[str]) -
         level = exact_quantiles(df, keys, y, [0.5]).withColumnRenamed("q_0", "_level")
     else:
         raise DataError(f"Unknown missing-value strategy '{strategy}'.")
+    right = level.select(key_struct(keys).alias("_key"), "_level")
     if not keys:
-        joined = df.crossJoin(F.broadcast(level))  # one row
-    else:
-        # AQE turns this into a broadcast when the level table is small and splits hot keys when not.
-        right = level.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_level")
-        match = F.lit(True)
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        joined = df.join(right, match, "left")
+        right = F.broadcast(right)  # a single row
+    # With keys, AQE broadcasts the level table when it is small and splits hot keys when it is not.
+    joined = df.withColumn("_key", key_struct(keys)).join(right, "_key", "left")
     return joined.withColumn(y, F.coalesce(F.col(y), F.col("_level"))).select(*df.columns).dropna(subset=[y])
 
 

@@ -45,12 +45,11 @@ def normality(samples: DataFrame, options: Drift = Drift()) -> DataFrame:
     spread = F.sqrt(F.col("_m.m2") / F.col("_m.n"))
     power = lambda k: F.aggregate("_sorted", F.lit(0.0), lambda s, x: s + F.pow((x - F.col("_m.mean")) / spread, F.lit(k))) / F.col("_m.n")
     out = S.pinned(out, _k=F.when(F.col("weights").isNull() & (F.col("_m.m2") > 0) & (F.col("sample_size") >= options.min_rows), F.struct(power(3).alias("s"), power(4).alias("k"))))
-    shapiro = S.shapiro_p(F.col("_w"), F.col("sample_size").cast("double"))
-    p = F.when(F.col("_m.m2") == 0, F.lit(1.0)).when(F.col("weights").isNotNull(), shapiro).otherwise(
-        S.dagostino_p(F.col("_k.s"), F.col("_k.k"), F.col("sample_size"))
-    )
+    out = S.pinned(out, _z=S.shapiro_z(F.col("_w"), F.col("sample_size").cast("double")))
+    out = S.with_dagostino_p(out, F.col("_k.s"), F.col("_k.k"), F.col("sample_size"), "_p")
+    p = F.when(F.col("_m.m2") == 0, F.lit(1.0)).when(F.col("weights").isNotNull(), 1 - S.normal_cdf(F.col("_z"))).otherwise(F.col("_p"))
     test = F.when(F.col("weights").isNotNull(), "Shapiro-Wilk").otherwise("D'Agostino-Pearson")
-    return out.withColumn("normality_test", test).withColumn("p_value", p).drop("_sorted", "_m", "_w", "_k", "weights")
+    return out.withColumn("normality_test", test).withColumn("p_value", p).drop("_sorted", "_m", "_w", "_k", "_z", "_p", "weights")
 
 
 def choose_algorithm(samples: DataFrame, options: Drift = Drift()) -> DataFrame:
@@ -123,7 +122,8 @@ def null_statistics(chosen: DataFrame, options: Drift = Drift()) -> DataFrame:
     n = F.col("sample_size")
     ready = spread(chosen.where(n >= 2), "group_id").withColumn("method", threshold_method(n, options))
     pairs = F.when(F.col("method") == "percentile", _chunk_pairs(n)).otherwise(_resample_pairs(n, options))
-    rows = ready.select("group_id", "algorithm", "method", F.inline(pairs))
+    ready = S.pinned(ready, _pairs=pairs)  # a generator over the raw expression would evaluate it twice
+    rows = ready.select("group_id", "algorithm", "method", F.inline("_pairs"))
     rows = rows.where((F.size("a") > 0) & (F.size("b") > 0))
     scored = S.two_sample(rows, F.col("algorithm"), F.col("a"), F.col("b"))
     return scored.select("group_id", "method", "iteration", "statistic")

@@ -140,10 +140,9 @@ def native_vector(model, vector_id: str) -> list[tuple]:
 
 def vector_table(matrix: DataFrame, name: str, vectors: list[tuple]) -> DataFrame:
     """Vectors of a pooled fit, given to every group it serves."""
-    spark = matrix.sparkSession
-    table = spark.createDataFrame(vectors, "vector_id string, feature string, weight double")  # a few dozen rows
-    groups = matrix.select("group_id").distinct().select("group_id", F.lit(name).alias("model_name"), F.lit(1).alias("_one"))
-    return groups.join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    rows = F.array(*[F.struct(F.lit(v).alias("vector_id"), F.lit(f).alias("feature"), F.lit(w).alias("weight")) for v, f, w in vectors])
+    groups = matrix.select("group_id").distinct()
+    return groups.select("group_id", F.lit(name).alias("model_name"), F.inline(rows))  # a few dozen literals
 
 
 def resampled(matrix: DataFrame, iteration: int) -> DataFrame:
