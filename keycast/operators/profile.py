@@ -79,12 +79,11 @@ def gap_counts(df: DataFrame, ts: Column) -> DataFrame:
     days = stamps.groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")
     )
-    previous = F.lag("high").over(Window.orderBy("day"))
-    across = days.withColumn("before", previous).where(F.col("before").isNotNull()).select(
-        F.timestamp_diff("DAY", F.col("before"), F.col("low")).alias("gap"), F.lit(1).cast("long").alias("n")
-    )
-    inside = days.where("n > 1").select(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("n"))
-    return across.unionByName(inside).groupBy("gap").agg(F.sum("n").alias("n"))
+    before = F.lag("high").over(Window.orderBy("day"))
+    across = F.struct(F.timestamp_diff("DAY", F.col("before"), F.col("low")).alias("gap"), F.lit(1).cast("long").alias("n"))
+    inside = F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("n"))
+    gaps = days.withColumn("before", before).select(F.inline(F.array(across, inside)))
+    return gaps.where("gap IS NOT NULL AND n > 0").groupBy("gap").agg(F.sum("n").alias("n"))
 
 
 def frequency(df: DataFrame, date: str) -> DataFrame:
