@@ -181,6 +181,19 @@ def _(spark, sf):
     return out.select("group_id", F.col("t").cast("long").alias("t"), *_rounded(_FEATURES), F.col("month").cast("long").alias("month"), F.col("quarter").cast("long").alias("quarter"))
 
 
+@query("features_curated_preview", """WITH m AS (SELECT c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+    SELECT c_nationkey, month_start, total, lag(total, 1) OVER w AS lag_1, CASE WHEN row_number() OVER w > 3 THEN round(avg(total) OVER (PARTITION BY c_nationkey ORDER BY month_start ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) END AS rolling_mean_3,
+    month(month_start) AS month FROM m WINDOW w AS (PARTITION BY c_nationkey ORDER BY month_start)""")
+def _(spark, sf):
+    nations = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf, "orders").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    months = clean.to_months(orders, Roles("o_orderdate", "o_totalprice", ("c_nationkey",)))
+    curated = months.select("c_nationkey", F.col("o_orderdate").alias("month_start"), F.round("o_totalprice", 2).alias("total"))
+    spec = {"lags": [1], "rolling_windows": [3], "calendar_features": ["month"]}
+    out = features.derived(curated, ["c_nationkey"], ["month_start"], "total", "month_start", spec)
+    return out.withColumn("rolling_mean_3", F.round("rolling_mean_3", 4)).withColumn("month", F.col("month").cast("long"))
+
+
 @query("features_design_matrix", with_(SERIES, _DERIVED) + "SELECT group_id, CAST(t AS DOUBLE) AS time_index, round(label, 4) AS label, " + ", ".join(f"round({c}, 5) AS {c}" for c in _FEATURES) + " FROM derived WHERE t >= 12")
 def _(spark, sf):
     out = features.design_matrix(supplier_series(spark, sf), ["group_id"])

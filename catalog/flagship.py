@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.fixtures import table
-from keycast.config import Roles, RunOptions
+from catalog.fixtures import CLOSED_FORM, table
+from keycast.config import Roles
 from keycast.functions.skew import stable
 from keycast.operators import clean
 from keycast.operators import series as series_ops
@@ -28,7 +28,7 @@ def region_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def region_run(spark: SparkSession, sf: str) -> forecast.Run:
     months = clean.to_months(region_rows(spark, sf), ROLES).withColumn("o_totalprice", F.round("o_totalprice", 2))
-    return forecast.forecast_series(stable(series_ops.build_series(months, ROLES)), "Monthly", RunOptions())
+    return forecast.forecast_series(stable(series_ops.build_series(months, ROLES)), "Monthly", CLOSED_FORM)
 
 
 def region_forecasts(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.decisions import DECISION, EXPORT, RANKED
-from catalog.fixtures import SERIES, SUPPLIER_ROLES, folder, once, supplier_run, supplier_series, table, with_
+from catalog.fixtures import CLOSED_FORM, SERIES, SUPPLIER_ROLES, folder, once, supplier_run, supplier_series, table, with_
 from catalog.modelling import METRIC_SQL, customer_sizes, long, r_, rounded
-from keycast.config import OLD_STAGE_NAMES, STAGES, RunOptions
+from keycast.config import OLD_STAGE_NAMES, STAGES
 from keycast.functions.skew import stable
 from keycast.operators import metrics, results, rules, telemetry, training, workload
 from keycast.operators import series as series_ops
@@ -210,13 +210,13 @@ def _(spark, sf):
     return results.status_tags(run.evaluated, run.selection)
 
 
-_RUN_PARAMS = {"date_column": "l_shipdate", "target_column": "revenue", "key_columns": "l_suppkey", "feature_columns": "(none)", "mode": "Multi Series", "aggregation_method": "sum", "forecast_horizon": "12", "dataset_frequency": "Monthly", "selected_models": "(all registered models)"}
+_RUN_PARAMS = {"date_column": "l_shipdate", "target_column": "revenue", "key_columns": "l_suppkey", "feature_columns": "(none)", "mode": "Multi Series", "aggregation_method": "sum", "forecast_horizon": "12", "dataset_frequency": "Monthly", "selected_models": "trend_seasonal,autoregressive"}
 
 
 @query("result_run_parameters", with_(*DECISION) + " UNION ALL ".join(f"SELECT '{k}' AS parameter, '{v}' AS value" for k, v in _RUN_PARAMS.items())
        + " UNION ALL SELECT 'forecast_group_count', CAST(count(*) AS VARCHAR) FROM picked UNION ALL SELECT 'fallback_triggered_groups', CAST(count(*) FILTER (fallback_used) AS VARCHAR) FROM picked")
 def _(spark, sf):
-    return results.run_parameters(supplier_run(spark, sf).selection, SUPPLIER_ROLES, "Monthly", RunOptions())
+    return results.run_parameters(supplier_run(spark, sf).selection, SUPPLIER_ROLES, "Monthly", CLOSED_FORM)
 
 
 @query("result_flat_parameters", with_(*DECISION, _PARAMS) + "SELECT * FROM (SELECT 'hp.' || group_id || '.autoregressive.p' AS parameter, p AS value FROM params UNION ALL SELECT 'hp.' || group_id || '.autoregressive.d', d FROM params) ORDER BY parameter LIMIT 100")

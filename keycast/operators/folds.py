@@ -42,13 +42,15 @@ def fold_table(facts: DataFrame, options: Backtest = Backtest()) -> DataFrame:
     )
 
 
-def frame(series: DataFrame, options: Backtest = Backtest(), horizon: int = 12) -> DataFrame:
+def frame(series: DataFrame, options: Backtest = Backtest(), horizon: int = 12, regressors: list[str] = ()) -> DataFrame:
     """Every row each fold trains on or is tested on, plus the future rows of the full fit.
 
     Fold membership follows from a row's own position, so slicing needs no
     join: rows are expanded in place, and the last row of a series also emits
     its future steps. The group partitioning of `series` is kept throughout.
-    Columns: group_id, n, fold, part (train|test), step, t, ds, y, train_y.
+    Regressors ride along: test rows carry their own values, future rows the
+    last observed ones. Columns: group_id, n, fold, part (train|test), step, t,
+    ds, y, train_y and the regressors.
     """
     group = Window.partitionBy("group_id")
     spaced = series.withColumn("_gap", F.datediff("ds", F.lag("ds").over(group.orderBy("t"))))
@@ -78,5 +80,5 @@ def frame(series: DataFrame, options: Backtest = Backtest(), horizon: int = 12)
         lambda s: place(F.lit(FORWARD), F.lit("test"), s, t + s, future_day(ds, F.col("_days"), s), F.lit(None)),
     )
     rows = F.when(t == n - 1, F.concat(backtest, own, ahead)).otherwise(F.concat(backtest, own))
-    out = spaced.select("group_id", "n", F.inline(rows))
+    out = spaced.select("group_id", "n", *regressors, F.inline(rows))
     return out.withColumn("train_y", F.when(F.col("part") == "train", F.col("y")))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tests(part: str = "test"):
+def tests(regressors: list[str] = ()):
     """Aggregate: the test rows of a fold as an array (at most one horizon long)."""
-    row = F.struct(F.col("step"), F.col("ds"), F.col("y").alias("actual"))
-    return F.collect_list(F.when(F.col("part") == part, row)).alias("tests")
+    row = F.struct(F.col("step"), F.col("ds"), F.col("y").alias("actual"), *[F.col(c) for c in regressors])
+    return F.collect_list(F.when(F.col("part") == "test", row)).alias("tests")
 
 
 def predict(frame: DataFrame, period: int = 12) -> DataFrame:

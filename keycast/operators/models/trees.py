@@ -14,9 +14,10 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keycast.config import LAGS, ROLLING_WINDOWS
+from keycast.config import LAGS, ROLLING_WINDOWS, Importance
+from keycast.functions.samples import draw
 from keycast.functions.skew import spread, stable
-from keycast.operators import features
+from keycast.operators import features, importance
 from keycast.operators.models.naive import tests
 
 FEATURES = features.feature_names()
@@ -38,39 +39,39 @@ def estimator(name: str, params: dict | None = None, seed: int = 42):
     return made(featuresCol="features", labelCol="scaled_label", predictionCol="change", seed=seed, **{**DEFAULTS[name], **(params or {})})
 
 
-def scaled_matrix(rows: DataFrame, keys: list[str]) -> DataFrame:
+def scaled_matrix(rows: DataFrame, keys: list[str], regressors: list[str] = ()) -> DataFrame:
     """Complete training rows of every key with features and label in units of the key's own spread."""
     whole = Window.partitionBy(*keys)
     level, width = F.avg("y").over(whole), F.stddev_pop("y").over(whole)
     based = rows.withColumn("level", level).withColumn("width", F.when(width > 0, width).otherwise(F.lit(1.0)))
-    matrix = features.design_matrix(based, keys)
+    matrix = features.design_matrix(based, keys, extra=list(regressors))
     for c in SCALED:
         matrix = matrix.withColumn(c, F.coalesce((F.col(c) - F.col("level")) / F.col("width"), F.lit(ABSENT)))
     matrix = matrix.where(F.col("label").isNotNull()).withColumn("scaled_label", F.col("label") / F.col("width"))
-    for c in ("month", "quarter"):
+    for c in ("month", "quarter", *regressors):
         matrix = matrix.withColumn(c, F.col(c).cast("double"))
     return matrix
 
 
-def assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+def assembled(rows: DataFrame, regressors: list[str] = ()) -> DataFrame:
+    return VectorAssembler(inputCols=[*FEATURES, *regressors], outputCol="features").transform(rows)
 
 
-def training_rows(frame: DataFrame) -> DataFrame:
-    kept = frame.where("part = 'train'").select("group_id", "fold", "t", "ds", "y")
-    return scaled_matrix(kept, ["group_id", "fold"])
+def training_rows(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:
+    kept = frame.where("part = 'train'").select("group_id", "fold", "t", "ds", "y", *regressors)
+    return scaled_matrix(kept, ["group_id", "fold"], regressors)
 
 
-def fit_folds(matrix: DataFrame, name: str, folds: list[int], params: dict | None = None) -> dict:
+def fit_folds(matrix: DataFrame, name: str, folds: list[int], params: dict | None = None, regressors: list[str] = ()) -> dict:
     """One pooled model per fold number: a fixed handful of distributed fits, whatever the number of keys."""
-    return {k: estimator(name, params).fit(assembled(matrix.where(F.col("fold") == k))) for k in folds}
+    return {k: estimator(name, params).fit(assembled(matrix.where(F.col("fold") == k), regressors)) for k in folds}
 
 
-def states(frame: DataFrame) -> DataFrame:
+def states(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:
     """Per (group, fold): the newest values (oldest first), scaling facts and the steps to forecast."""
     newest = F.sort_array(F.collect_list(F.when(F.col("part") == "train", F.struct("t", "y"))))
     per = frame.groupBy("group_id", "fold").agg(
-        newest.alias("rows"), F.avg("train_y").alias("level"), F.stddev_pop("train_y").alias("spread_"), F.count("train_y").cast("int").alias("m"), tests(),
+        newest.alias("rows"), F.avg("train_y").alias("level"), F.stddev_pop("train_y").alias("spread_"), F.count("train_y").cast("int").alias("m"), tests(regressors),
     )
     return per.where((F.size("tests") > 0) & (F.col("m") > 0)).select(
         "group_id", "fold", "level", F.when(F.col("spread_") > 0, F.col("spread_")).otherwise(F.lit(1.0)).alias("width"), "m",
@@ -79,7 +80,7 @@ def states(frame: DataFrame) -> DataFrame:
     )
 
 
-def _step_features(state: DataFrame, step: int) -> DataFrame:
+def _step_features(state: DataFrame, step: int, regressors: list[str] = ()) -> DataFrame:
     """Feature columns of one step from the values held in the state row."""
     back = lambda n: F.try_element_at("memory", F.lit(-n))
     scale = lambda v: (v - F.col("level")) / F.col("width")
@@ -89,11 +90,14 @@ def _step_features(state: DataFrame, step: int) -> DataFrame:
     for n in ROLLING_WINDOWS:
         mean = reduce(lambda a, b: a + b, [back(i) for i in range(1, n + 1)]) / n
         out = out.withColumn(f"rolling_mean_{n}", F.coalesce(F.when(features.fits(F.col("m"), n, ROLLING_WINDOWS), scale(mean)), F.lit(ABSENT)))
-    day = F.element_at("tests", step)["ds"]
+    row = F.element_at("tests", step)
+    for c in regressors:
+        out = out.withColumn(c, F.coalesce(row[c].cast("double"), F.lit(0.0)))
+    day = row["ds"]
     return out.withColumn("month", F.month(day).cast("double")).withColumn("quarter", F.quarter(day).cast("double"))
 
 
-def recurse(state: DataFrame, model, horizon: int, cut_every: int = 4) -> DataFrame:
+def recurse(state: DataFrame, model, horizon: int, regressors: list[str] = (), cut_every: int = 4) -> DataFrame:
     """Forecast step by step, all keys at once; every prediction becomes the next step's lag.
 
     `horizon` transforms, not keys times horizon. The plan is cut by a
@@ -101,7 +105,7 @@ def recurse(state: DataFrame, model, horizon: int, cut_every: int = 4) -> DataFr
     """
     columns = state.columns
     for step in range(1, horizon + 1):
-        ready = assembled(_step_features(state.where(F.size("tests") >= step), step))
+        ready = assembled(_step_features(state.where(F.size("tests") >= step), step, regressors), regressors)
         moved = model.transform(ready)
         value = F.element_at("memory", -1) + F.col("change") * F.col("width")
         longer = F.concat("memory", F.array(value))
@@ -111,16 +115,16 @@ def recurse(state: DataFrame, model, horizon: int, cut_every: int = 4) -> DataFr
     return state
 
 
-def predict(frame: DataFrame, name: str, params: dict | None = None, folds: list[int] | None = None, horizon: int = 12, test_horizon: int = 3) -> DataFrame:
+def predict(frame: DataFrame, name: str, params: dict | None = None, folds: list[int] | None = None, horizon: int = 12, test_horizon: int = 3, regressors: list[str] = ()) -> DataFrame:
     """Backtest and forward predictions of one tree family as long rows."""
     frame = spread(frame, "group_id")
-    matrix = stable(training_rows(frame))
-    starting = stable(states(frame))
+    matrix = stable(training_rows(frame, regressors))
+    starting = stable(states(frame, regressors))
     if folds is None:
         folds = [r.fold for r in matrix.select("fold").distinct().orderBy("fold").collect()]  # at most six numbers
     parts = []
-    for fold, model in fit_folds(matrix, name, folds, params).items():
-        done = recurse(starting.where(F.col("fold") == fold), model, horizon if fold < 0 else test_horizon)
+    for fold, model in fit_folds(matrix, name, folds, params, regressors).items():
+        done = recurse(starting.where(F.col("fold") == fold), model, horizon if fold < 0 else test_horizon, regressors)
         parts.append(done.select("group_id", "fold", F.inline(F.arrays_zip("tests", "path"))))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(
@@ -132,10 +136,10 @@ def predict(frame: DataFrame, name: str, params: dict | None = None, folds: list
 # -- importance of a pooled fit ---------------------------------------------------------
 
 
-def native_vector(model, vector_id: str) -> list[tuple]:
+def native_vector(model, vector_id: str, regressors: list[str] = ()) -> list[tuple]:
     weights = model.featureImportances.toArray()
     total = float(weights.sum())
-    return [(vector_id, f, float(w) / total if total > 0 else float(w)) for f, w in zip(FEATURES, weights)]
+    return [(vector_id, f, float(w) / total if total > 0 else float(w)) for f, w in zip([*FEATURES, *regressors], weights)]
 
 
 def vector_table(matrix: DataFrame, name: str, vectors: list[tuple]) -> DataFrame:
@@ -147,39 +151,40 @@ def vector_table(matrix: DataFrame, name: str, vectors: list[tuple]) -> DataFram
 
 def resampled(matrix: DataFrame, iteration: int) -> DataFrame:
     """Bootstrap rows of every group: position i of a resample is a hashed draw, joined back by position."""
-    from keycast.functions.samples import draw
-
     w = Window.partitionBy("group_id")
     numbered = matrix.withColumn("_i", F.row_number().over(w.orderBy("t"))).withColumn("_n", F.count(F.lit(1)).over(w))
     picks = numbered.select("group_id", (draw(F.lit(iteration), F.col("_i"), 7, F.col("_n")) + 1).alias("_i"))
     return picks.join(numbered, ["group_id", "_i"]).drop("_i", "_n")
 
 
-def importance_vectors(matrix: DataFrame, name: str, resamples: int = 3, segments: int = 2, fraction: float = 0.5) -> dict[str, list[tuple]]:
+def importance_vectors(matrix: DataFrame, name: str, options: Importance = Importance(), regressors: list[str] = ()) -> dict[str, list[tuple]]:
     """Point, bootstrap, segment and tail vectors: a fixed number of pooled refits."""
-    from keycast.operators import importance
-
-    fit = lambda rows: estimator(name).fit(assembled(rows))
+    vector = lambda rows, label: native_vector(estimator(name).fit(assembled(rows, regressors)), label, regressors)
     w = Window.partitionBy("group_id")
     placed = stable(matrix.withColumn("_p", F.row_number().over(w.orderBy("t")) - 1).withColumn("_c", F.count(F.lit(1)).over(w)))
-    point = fit(placed)
-    window = []
-    for i in range(resamples):
-        window += native_vector(fit(resampled(placed, i)), f"resample_{i}")
-    for s in range(segments):
-        window += native_vector(fit(placed.where(importance.segment(F.col("_p"), F.col("_c")) == s)), f"segment_{s}")
-    tail = fit(placed.where(importance.in_tail(F.col("_p"), F.col("_c"), fraction)))
-    return {"point": native_vector(point, "point"), "window": window, "horizon": native_vector(tail, "tail") + native_vector(point, "full")}
-
-
-def importance_records(matrix: DataFrame, name: str) -> DataFrame:
+    at, size = F.col("_p"), F.col("_c")
+    point = vector(placed, "point")
+    window, horizon = [], []
+    for i in range(options.resamples):
+        window += vector(resampled(placed, i), f"resample_{i}")
+    for s in range(options.segments):
+        part = placed.where(importance.segment(at, size, options) == s)
+        if not part.isEmpty():
+            window += vector(part, f"segment_{s}")
+    for fraction in options.fractions:
+        if fraction >= 0.999:
+            horizon += [("full", f, v) for _, f, v in point]
+        else:
+            horizon += vector(placed.where(importance.in_tail(at, size, fraction, options)), f"tail_{fraction}")
+    return {"point": point, "window": window, "horizon": horizon}
+
+
+def importance_records(matrix: DataFrame, name: str, options: Importance = Importance(), regressors: list[str] = ()) -> DataFrame:
     """One importance record per group served by a pooled tree model."""
-    from keycast.operators import importance
-
-    made = importance_vectors(matrix, name)
+    made = importance_vectors(matrix, name, options, regressors)
     tables = {k: vector_table(matrix, name, v) for k, v in made.items()}
-    found = importance.feature_correlations(matrix, ["group_id"], FEATURES, "y")
-    return importance.assemble(tables["point"].drop("vector_id"), found, tables["window"], tables["horizon"])
+    found = importance.feature_correlations(matrix, ["group_id"], [*FEATURES, *regressors], "y")
+    return importance.assemble(tables["point"].drop("vector_id"), found, tables["window"], tables["horizon"], options)
 
 
 def permutation_importance(matrix: DataFrame, model, holdout: int = 12, seed: int = 42) -> DataFrame:
@@ -188,8 +193,6 @@ def permutation_importance(matrix: DataFrame, model, holdout: int = 12, seed: in
     Rows are expanded once per feature (a fixed number); the shuffled value
     comes from a join on hashed positions; one transform scores them all.
     """
-    from keycast.functions.samples import draw
-
     w = Window.partitionBy("group_id")
     rows = matrix.withColumn("_back", F.row_number().over(w.orderBy(F.desc("t")))).where(F.col("_back") <= holdout)
     rows = stable(rows.withColumn("_h", draw(F.lit(seed), F.col("_back"), 8, F.lit(2_000_000_000), seed)))

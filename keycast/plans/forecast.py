@@ -13,7 +13,7 @@ from keycast.functions.skew import spread, stable
 from keycast.operators import importance as explain
 from keycast.operators import clean, drift, folds, metrics, profile, ranking, rules, selection, training
 from keycast.operators import series as series_ops
-from keycast.operators.models import autoregressive, naive, trend
+from keycast.operators.models import autoregressive, naive, trees, trend
 
 RECORD = (
     "group_id string, model_name string, method string, window_stability double, horizon_stability double, "
@@ -46,17 +46,33 @@ class Run:
     winning: DataFrame
 
 
-def predict(series: DataFrame, options: RunOptions = RunOptions(), extra: DataFrame | None = None) -> DataFrame:
+def predict(series: DataFrame, options: RunOptions = RunOptions(), regressors: list[str] = ()) -> DataFrame:
     """Backtest and forward predictions of every requested model, one long table."""
-    frame = folds.frame(series, options.backtest, options.horizon)
-    parts = [] if extra is None else [extra]
+    parts = []
     for spec in _specs(options):
+        kept = list(regressors) if spec.takes_features else []
+        frame = folds.frame(series, options.backtest, options.horizon, kept).where(F.col("n") >= spec.min_rows)
         if spec.name in FORECASTERS:
-            parts.append(FORECASTERS[spec.name](frame.where(F.col("n") >= spec.min_rows)))
+            parts.append(FORECASTERS[spec.name](frame))
+        else:
+            parts.append(trees.predict(frame, spec.name, horizon=options.horizon, test_horizon=options.backtest.horizon, regressors=kept))
     return reduce(DataFrame.unionByName, parts)
 
 
-def forecast_series(series: DataFrame, grain: str | None, options: RunOptions = RunOptions(), extra_predictions: DataFrame | None = None, importance: DataFrame | None = None) -> Run:
+def explain_models(series: DataFrame, options: RunOptions, regressors: list[str] = ()) -> DataFrame:
+    """Importance records of the tree models; the closed-form models have nothing to permute."""
+    parts = [series.sparkSession.createDataFrame([], RECORD)]
+    for spec in _specs(options):
+        if spec.name not in FORECASTERS:
+            frame = folds.frame(series, options.backtest, options.horizon, regressors).where((F.col("n") >= spec.min_rows) & (F.col("fold") == folds.FORWARD))
+            matrix = stable(trees.training_rows(frame, regressors))
+            if not matrix.isEmpty():
+                records = trees.importance_records(matrix, spec.name, options.importance, regressors)
+                parts.append(records.select(*parts[0].columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def forecast_series(series: DataFrame, grain: str | None, options: RunOptions = RunOptions(), regressors: list[str] = ()) -> Run:
     """Train, backtest, screen, rank, gate and select for every series at once.
 
     Tables that several later stages read (series, predictions, evaluation,
@@ -66,7 +82,7 @@ def forecast_series(series: DataFrame, grain: str | None, options: RunOptions =
     horizon = check_horizon(options.horizon)
     series = spread(stable(series), "group_id")
     facts = series.groupBy("group_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    predictions = stable(predict(series, options, extra_predictions))
+    predictions = stable(predict(series, options, regressors))
     forecasts = predictions.where("fold = -1")
     baseline = naive.predict(folds.frame(series, options.backtest, horizon).where("fold = -1"))
     trained = training.mark_failed(training.eligibility(facts, _specs(options)), forecasts, horizon)
@@ -77,8 +93,8 @@ def forecast_series(series: DataFrame, grain: str | None, options: RunOptions =
     verdicts = rules.verdicts(judged_forecasts, outcomes, options.rules)
     evaluated = stable(rules.evaluate(trained, verdicts, scores))
     alive = rules.survivors(evaluated)
-    records = _no_records(series) if importance is None else importance
-    explained = explain.for_survivors(alive, records, options.importance)
+    records = explain_models(series, options, regressors)
+    explained = stable(explain.for_survivors(alive, records, options.importance))
     ranked = stable(ranking.rank_models(alive, forecasts, explained, options.ranking))
     chosen = stable(drift.choose_algorithm(drift.history_samples(series, grain, horizon), options.drift))
     limits = stable(drift.thresholds(chosen, drift.null_statistics(chosen, options.drift), options.drift))
@@ -95,13 +111,8 @@ def forecast_series(series: DataFrame, grain: str | None, options: RunOptions =
     )
 
 
-def _no_records(series: DataFrame) -> DataFrame:
-    return series.sparkSession.createDataFrame([], RECORD)
-
-
 def _specs(options: RunOptions):
-    names = list(options.models) if options.models else list(FORECASTERS)
-    return tuple(s for s in resolve_models() if s.name in names)
+    return resolve_models(list(options.models) if options.models else None)
 
 
 def run(table: DataFrame, roles: Roles, options: RunOptions = RunOptions(), order: list[str] | None = None) -> Run:
@@ -111,4 +122,5 @@ def run(table: DataFrame, roles: Roles, options: RunOptions = RunOptions(), orde
     curated = clean.prepare(table, roles, grain, options.cleaning, order)
     clean.assert_usable(curated, roles, options.cleaning)
     clean.verify(curated, roles, options.cleaning)
-    return forecast_series(series_ops.build_series(curated, roles, options.cleaning), grain, options)
+    series = series_ops.build_series(curated, roles, options.cleaning)
+    return forecast_series(series, grain, options, series_ops.usable_features(curated, roles))

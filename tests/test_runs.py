@@ -20,7 +20,7 @@ def panel_run(spark):
             rows.append((dt.datetime(2020 + i // 12, i % 12 + 1, 3), k, 100 + i + wave, 1.0))
             rows.append((dt.datetime(2020 + i // 12, i % 12 + 1, 10), k, 50.0 + i % 4, 2.0))
     df = spark.createDataFrame(rows, "ts timestamp_ntz, store string, sales double, price double")
-    return forecast.run(df, Roles("ts", "sales", ("store",)), RunOptions(), ["ts", "sales"])
+    return forecast.run(df, Roles("ts", "sales", ("store",)), RunOptions(models=("trend_seasonal", "autoregressive")), ["ts", "sales"])
 
 
 def test_every_group_gets_a_full_forecast(panel_run):
@@ -38,6 +38,22 @@ def test_scores_cover_every_candidate_and_ranks_are_a_permutation(panel_run):
         assert sorted(r.ranks) == list(range(1, len(r.ranks) + 1))
 
 
+def test_pooled_trees_take_regressors_and_explain_themselves(spark):
+    rows = []
+    for k in ("north", "south"):
+        for i in range(40):
+            promo = float(i % 4 == 0)
+            rows.append((dt.date(2020 + i // 12, i % 12 + 1, 1), k, 100 + 3 * i + 30 * promo, promo, "x"))
+    df = spark.createDataFrame(rows, "ds date, store string, sales double, promo double, note string")
+    run = forecast.run(df, Roles("ds", "sales", ("store",), ("promo", "note")), RunOptions(models=("random_forest",), horizon=6))
+    ahead = run.forecasts.collect()
+    assert len(ahead) == 12 and all(r.value is not None and 0 < r.value < 1000 for r in ahead)
+    assert {r.fold for r in run.predictions.select("fold").distinct().collect()} == {-1, 0, 1, 2, 3, 4}
+    for r in run.explained.collect():
+        assert r.method == "native_importance" and 0 <= r.importance_score <= 1
+    assert run.selection.count() == 2
+
+
 def test_first_passing_candidate_wins_and_fallback_covers_the_rest(spark):
     ranked = spark.createDataFrame(
         [("a", "m1", 1, 1), ("a", "m2", 2, 2), ("a", "m3", 3, 3), ("b", "m1", 1, 1)], "group_id string, model_name string, backtest_rank int, final_rank int"
