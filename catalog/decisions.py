@@ -439,12 +439,12 @@ def full_matrix(spark, sf) -> DataFrame:
 
 @query("model_boosted_trees")
 def _(spark, sf):
-    return trees.predict(_folds.frame(supplier_series(spark, sf)), "boosted_trees", folds=[-1, 0])
+    return trees.predict(_folds.frame(supplier_series(spark, sf)), "boosted_trees")
 
 
 @query("model_random_forest")
 def _(spark, sf):
-    return trees.predict(_folds.frame(supplier_series(spark, sf)), "random_forest", folds=[-1, 0])
+    return trees.predict(_folds.frame(supplier_series(spark, sf)), "random_forest")
 
 
 @query("model_parameter_search")

@@ -149,7 +149,8 @@ def _(spark, sf):
     return validation.check_frequency(table(spark, sf, "orders"), ORDER_ROLES)
 
 
-@query("validate_verdict", """SELECT 'Warnings' AS suitability, 'frequency: Daily' AS reasons FROM (SELECT count(*) AS n FROM orders) WHERE n >= 12""")
+@query("validate_verdict", with_(_gaps("orders", "o_orderdate")) + """SELECT CASE WHEN n < 12 OR frequency IN ('Quarterly', 'Yearly') THEN 'Not Suitable' WHEN frequency = 'Monthly' THEN 'Ready' ELSE 'Warnings' END AS suitability,
+    CASE WHEN n < 12 THEN 'insufficient observations' WHEN frequency = 'Monthly' THEN '' ELSE 'frequency: ' || frequency END AS reasons FROM grain, (SELECT count(*) AS n FROM orders)""")
 def _(spark, sf):
     orders = table(spark, sf, "orders")
     found = validation.checks(orders, ORDER_ROLES, ["o_orderkey"])

@@ -48,10 +48,12 @@ class Run:
 
 def predict(series: DataFrame, options: RunOptions = RunOptions(), regressors: list[str] = ()) -> DataFrame:
     """Backtest and forward predictions of every requested model, one long table."""
-    parts = []
+    parts, frames = [], {}
     for spec in _specs(options):
         kept = list(regressors) if spec.takes_features else []
-        frame = folds.frame(series, options.backtest, options.horizon, kept).where(F.col("n") >= spec.min_rows)
+        if tuple(kept) not in frames:
+            frames[tuple(kept)] = folds.frame(series, options.backtest, options.horizon, kept)
+        frame = frames[tuple(kept)].where(F.col("n") >= spec.min_rows)
         if spec.name in FORECASTERS:
             parts.append(FORECASTERS[spec.name](frame))
         else:
