@@ -25,6 +25,27 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_collision_counting_neighbours")
+def op1_collision_counting_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.ann import nearest_every
+
+    return nearest_every(_table(spark, sf, "embeddings"), every=100, k=10)
+
+
+@query("op2_template_removal")
+def op2_template_removal(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.html import main_text
+
+    return main_text(_table(spark, sf, "pages"))
+
+
+@query("op3_bootstrapped_personal_data")
+def op3_bootstrapped_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.pii import report
+
+    return report(_table(spark, sf, "documents"))
+
+
 @query("op4_prefix_token_counts")
 def op4_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from keycast.llm.prefix_tokens import token_counts
@@ -40,6 +61,27 @@ def op5_minhash_coordinate_join(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
+@query("op6_imatch_lexicons")
+def op6_imatch_lexicons(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.imatch import compared
+
+    return compared(_table(spark, sf, "documents"))
+
+
+@query("op7_ranked_token_files")
+def op7_ranked_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.tokenfile import round_trip
+
+    return round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_apportioned_mix")
+def op8_apportioned_mix(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.mixing import mix
+
+    return mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query("op9_best_two_fit_packing")
 def op9_best_two_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     from keycast.llm.packing import pack_documents
