@@ -6,8 +6,8 @@ all documents; buckets inside the band make the lexicon, one bitmap of fixed
 size. The lexicon is thinned again and again by halves, and each thinned lexicon
 is cut at random into subsets. A document's terms in a subset, distinct and
 sorted, are hashed to one part of its fingerprint. A text uses the three
-thinnings in which its subsets hold a term or two, so that long and short
-texts alike keep some parts through an edit. All of it is DataFrame expressions.
+thinnings in which its subsets hold about one term or fewer, so that long and
+short texts alike keep some parts through an edit. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ class Settings:
     buckets: int = 1 << 20  # a power of two
     rarest: int = 2  # documents of a term, at least
     commonest: float = 0.05  # share of all documents, at most
-    subsets: int = 32  # of each thinned lexicon
+    subsets: int = 64  # of each thinned lexicon
     levels: int = 3  # thinnings that a text uses
     seed: int = 11
 
@@ -57,30 +57,31 @@ def lexicon(rows: DataFrame, settings: Settings, text: str = "text") -> Column:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
 
-def fingerprint(text: Column, bitmap: Column, settings: Settings) -> Column:
-    """The parts of a text's fingerprint, sorted: one hash per subset that holds terms of the text.
+def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column, settings: Settings) -> DataFrame:
+    """Add the parts of a text's fingerprint, sorted by subset: one hash per subset that holds terms of the text.
 
     A text without terms of the lexicon has its own hash as its only part, an empty text none.
     """
     def known(t: Column) -> Column:
         return F.getbit(F.element_at(bitmap, F.shiftright(t, 6) + 1), t % 64) == 1
 
-    return _parts(F.filter(terms(text, settings), known), text, settings)
-
-
-def _parts(found: Column, text: Column, settings: Settings) -> Column:
-    # The first level has one to two terms in a subset; the number of low zero bits of a term's hash is the last level it reaches.
-    first = F.greatest(F.lit(0), F.floor(F.log2(F.size(found) / settings.subsets))).cast("int")
-    drawn = F.transform(found, lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(settings.seed)).alias("h")))
-    thin = F.filter(drawn, lambda x: F.pmod(x["h"], F.pow(F.lit(2), first).cast("long")) == 0)
+    # Steps are columns of their own, each worked out once per row.
+    rows = rows.withColumn("_found", F.filter(terms(F.col(text), settings), known))
+    # The first level has half a term to one in a subset; the low zero bits of a term's hash tell the last level it reaches.
+    first = F.greatest(F.lit(0), F.floor(F.log2(2 * F.size("_found") / settings.subsets))).cast("int")
+    rows = rows.withColumn("_first", F.coalesce(first, F.lit(0)))
+    rows = rows.withColumn("_step", F.pow(F.lit(2), F.col("_first")).cast("long"))
+    drawn = F.transform("_found", lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(settings.seed)).alias("h")))
+    thin = F.filter(drawn, lambda x: F.pmod(x["h"], F.col("_step")) == 0)
 
     def places(x: Column) -> Column:
         """(level, subset, term) for each level that the term reaches, as one number that sorts by all three."""
         subset = F.pmod(F.shiftright(x["h"], 40), F.lit(settings.subsets))
-        levels = F.filter(F.sequence(first, first + settings.levels - 1), lambda k: F.pmod(x["h"], F.pow(F.lit(2), k).cast("long")) == 0)
-        return F.transform(levels, lambda k: (k.cast("long") * settings.subsets + subset) * settings.buckets + x["t"])
+        reached = [F.pmod(x["h"], F.col("_step") * 2**k) == 0 for k in range(settings.levels)]
+        keys = [((F.col("_first") + k).cast("long") * settings.subsets + subset) * settings.buckets + x["t"] for k in range(settings.levels)]
+        return F.array_compact(F.array(*(F.when(r, k) for r, k in zip(reached, keys, strict=True))))
 
-    keys = F.sort_array(F.flatten(F.transform(thin, places)))
+    rows = rows.withColumn("_keys", F.sort_array(F.flatten(F.transform(thin, places))))
     start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("hash"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
     def step(held: Column, key: Column) -> Column:
@@ -93,8 +94,9 @@ def _parts(found: Column, text: Column, settings: Settings) -> Column:
         )
 
     end = lambda held: F.concat(held["out"], F.array(held["hash"]))
-    own = F.when(text == "", F.expr("cast(array() as array<bigint>)")).otherwise(F.array(F.xxhash64(F.lit(settings.seed), text)))
-    return F.when(F.size(keys) > 0, F.aggregate(keys, start, step, end)).otherwise(own)
+    own = F.when(F.col(text) == "", F.expr("cast(array() as array<bigint>)")).otherwise(F.array(F.xxhash64(F.lit(settings.seed), text)))
+    parts = F.when(F.size("_keys") > 0, F.aggregate("_keys", start, step, end)).otherwise(own)
+    return rows.withColumn(name, parts).drop("_found", "_first", "_step", "_keys")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -147,15 +149,12 @@ def compared(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bitmap = lexicon(rows, settings)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    own = rows.withColumn("own", fingerprint(F.col("text"), bitmap, settings))
+    own = with_fingerprint(rows, "text", "own", bitmap, settings)
     both = with_next(own, ["text", "own"]).select(
         "doc_id", n.cast("long").alias("n_chars"), "own", "next_own",
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
-    parts = both.select(
-        "doc_id", "n_chars", "own", "next_own", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("edited"), bitmap, settings).alias("edited_parts"),
-    )
+    parts = with_fingerprint(both, "edited", "edited_parts", bitmap, settings).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return parts.select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_parts")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited_parts")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),

@@ -118,18 +118,20 @@ def signatures(texts: list[str], words: int, coordinates: int, bits: int = 0) ->
 
 
 def shingled(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set_id, n_shingles and short signature of every row; null texts have no set."""
+    """doc_id, text_hash, set_id, n_shingles and short signature of every row; null texts have no set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             for low, high in bundles(texts, 1_000_000):
                 part = signatures(texts[low:high], settings.words, settings.screen)[["set_id", "n_shingles", "signature"]]
-                part.insert(0, "doc_id", batch["doc_id"].iloc[low:high].astype("Int64").to_numpy())
+                for name in ("text_hash", "doc_id"):
+                    part.insert(0, name, batch[name].iloc[low:high].astype("Int64").to_numpy())
                 yield part
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return in_python(source, run, "doc_id long, set_id binary, n_shingles long, signature array<long>")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return in_python(source, run, "doc_id long, text_hash long, set_id binary, n_shingles long, signature array<long>")
 
 
 def _texts_of(source: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
@@ -287,14 +289,35 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     known = grouped.join(least, "component").join(degree, "set_id", "left").select("set_id", "component_id", "n_links")
     # A third of all rows may share one set; the join's other side has one row per set, so a large partition can be split.
-    result = rows.select("doc_id", "set_id", "n_shingles").join(known, "set_id", "left")
+    result = rows.select("doc_id", "text_hash", "set_id", "n_shingles").join(known, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash",
     )
 
 
+def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one per component stays; texts without words all stay.
+
+    Where rows repeat the id that is kept, one of them stays: the smallest hash of its text decides, equal rows leave one.
+    """
+    found = near_duplicates(docs, settings)
+    found = stored(found.groupBy("doc_id", "text_hash", "component_id", "kept").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles")), "verdicts")
+    rest = found.where("kept and n_shingles > 0")
+    # One row per component and text of the kept id: as good as always one.
+    chosen = rest.groupBy("component_id").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("copies"))
+    winners = chosen.select(F.struct(F.col("component_id").alias("doc_id"), "text_hash").alias("_key"), (F.col("copies") > 1).alias("_again"))
+    empty = found.where("n_shingles = 0").select(F.struct("doc_id", "text_hash").alias("_key"), F.lit(False).alias("_again")).distinct()
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    joined = docs.join(winners.union(empty), own == F.col("_key"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if winners.where("_again").isEmpty():
+        return joined.select(*columns)
+    once = joined.where("_again").dropDuplicates(["_key"])
+    return joined.where("not _again").select(*columns).union(once.select(*columns))
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, one or more per component, of keys whose members are not all in one component."""
     known = members.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

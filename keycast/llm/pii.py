@@ -69,6 +69,10 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _keeper(kind: str):
+    return lambda span: _valid(kind, span["value"])
+
+
 def _places(matches: Column, between: Column, kind: Column) -> Column:
     """Spans of all matches, from the matches and the text between them: positions are running lengths."""
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
@@ -95,7 +99,7 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     parts = []
     for number, kind in enumerate(KINDS):
         places = _places(F.col(f"_m_{kind}"), F.col(f"_b_{kind}"), F.lit(number))
-        good = F.filter(places, lambda s, kind=kind: _valid(kind, s["value"]))
+        good = F.filter(places, _keeper(kind))
         parts.append(F.when(F.size(f"_m_{kind}") > 0, good).otherwise(F.expr(_EMPTY_SPANS)))
     rows = rows.withColumn("base", F.sort_array(F.concat(*parts)))
     return rows.drop(*(f"_{x}_{kind}" for kind in KINDS for x in "mb"))

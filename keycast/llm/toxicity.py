@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from keycast.llm.shared import bundles, in_python, inverse_powers, running_hash
+from keycast.llm.shared import bundles, in_python, inverse_powers, running_hash, ship
 
 
 @dataclass(frozen=True)
@@ -172,16 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """All rows and columns of `docs` and a column `name` in 0 to 1; a null text counts as empty."""
-    schema = docs.schema.add(name, "double")
+    """All rows and columns of `docs`, as they are, and a column `name` in 0 to 1; a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            batch[name] = model.scores(texts)
-            yield batch
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            yield batch.append_column(name, pa.array(model.scores(texts), pa.float64()))
 
-    return in_python(docs, run, schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
