@@ -18,10 +18,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
+import regex
 
 _CUT = re.compile(r" (?=\S)")
+_RUNS = regex.compile(r" ?\p{L}+|\P{L}+")
+_GROWS = "\u0130"  # the one letter that becomes two characters in lower case
+_SPACES = re.compile(r"\s\s")
 _LONGEST = 64  # characters of a piece worth remembering
 
 
@@ -46,7 +51,7 @@ def cut_mode(path: str) -> str:
 class Pieces:
     """Something kept per distinct piece; `compute` is called with new pieces only."""
 
-    def __init__(self, mode: str, compute, most: int = 400_000):
+    def __init__(self, mode: str, compute, most: int = 300_000):
         self.mode, self.compute, self.most = mode, compute, most
         self.first: dict = {}  # pieces at the beginning of a text
         self.rest: dict = {}  # pieces after a space, without it
@@ -101,26 +106,68 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.pieces = Pieces(cut_mode(path), self._encode)  # known before any piece is encoded
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.runs: dict[str, bytes] = {}
+        self.most_runs = 1_000_000
+        self.pieces = Pieces(cut_mode(path), self._encode)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces are encoded as one text, for they cannot influence each other."""
-        joint = "" if self.pieces.mode == "keep" else " "
-        apart = self.pieces.mode == "none" or any(not t.startswith(" ") for t in texts[1:]) and not joint
+        """Ids of each piece, put together from its runs of letters and of other characters where tokens never span two runs."""
+        if self.pieces.mode == "none":
+            return self._one_by_one(texts)
+        split = [self._split(t) for t in texts]
+        wanted = {run for runs in split for run in runs}
+        missing = wanted - self.runs.keys()
+        if len(self.runs) + len(missing) > self.most_runs:
+            known = {run: self.runs[run] for run in wanted & self.runs.keys()}
+            self.runs.clear()
+            self.runs.update(known)
+        made = self._encode_runs(sorted(missing))
+        self.runs.update(made)
+        get = self.runs.__getitem__
+        out = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in split]
+        for run in made:
+            if len(run) > _LONGEST:
+                del self.runs[run]
+        return out
+
+    def _split(self, text: str) -> tuple[str, ...] | list[str]:
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            return (text,)
+        mark = word[-1:]
+        if mark and mark in ".,;:!?" and word[:-1].isalpha() and _GROWS not in word:
+            return (text[:-1], mark)
+        # Tokens may depend on more than one run at apostrophes, longer white space, special strings and open accents.
+        if "'" in text or _SPACES.search(text) or any(s in text for s in self.special):
+            return (text,)
+        if not text.isascii() and (_GROWS in text or not unicodedata.is_normalized("NFC", text)):
+            return (text,)
+        return _RUNS.findall(text)
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
         out = []
         for start in range(0, len(texts), 4096):
-            part = texts[start : start + 4096]
-            if apart:
-                found = self.library.encode_batch_fast(part, add_special_tokens=False)
-                out += [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
-                continue
+            found = self.library.encode_batch_fast(texts[start : start + 4096], add_special_tokens=False)
+            out += [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+        return out
+
+    def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of each run. Runs of letters that a space parts are encoded as one text, for they cannot influence each other."""
+        joint, lead = ("", " ") if self.pieces.mode == "keep" else (" ", "")
+        words = [r for r in runs if r.startswith(lead) and r[len(lead) :].isalpha() and _GROWS not in r]
+        parted = set(words)
+        alone = [r for r in runs if r not in parted]
+        out = dict(zip(alone, self._one_by_one(alone), strict=True))
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
             found = self.library.encode(joint.join(part), add_special_tokens=False)
             ids = np.array(found.ids, dtype=self.dtype)
             begins = np.cumsum([0, *(len(t) + len(joint) for t in part)])
             places = np.fromiter((x for x, _ in found.offsets), dtype=np.int64, count=len(ids))
             cuts = (np.searchsorted(places, begins) * self.dtype.itemsize).tolist()
-            ids = ids.tobytes()
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            raw = ids.tobytes()
+            out.update((r, raw[a:b]) for r, a, b in zip(part, cuts, cuts[1:], strict=False))
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -135,50 +135,59 @@ def parse(html: str) -> _Node:
     return tree.root
 
 
-def blocks(root: _Node, templates: frozenset = frozenset()) -> tuple[list[str], dict[int, bool]]:
-    """Texts of the blocks in page order, and the subtree hashes: hash to whether it may be a template.
+def blocks(root: _Node, templates: frozenset = frozenset()) -> tuple[list[str], list[bool], set[int]]:
+    """Texts of the blocks in page order, whether each is inside an article element, and hashes of the subtrees that may be templates.
 
     Walks without recursion, as pages may nest without bound.
     """
     texts: list[str] = []
-    hashes: dict[int, bool] = {}
+    inside: list[bool] = []
+    hashes: set[int] = set()
     open_text: list[str] = []
 
-    def flush() -> None:
+    def flush(node: _Node) -> None:
         text = " ".join("".join(open_text).split())
         open_text.clear()
         if text:
             texts.append(text)
+            inside.append(node.kept_as_article)
 
     stack = [(root, 0, xxhash.xxh64(root.tag), len(texts))]
     while stack:
         node, at, digest, mark = stack.pop()
         if at == len(node.parts):
             if node.tag in BLOCKS:
-                flush()
+                flush(node)
             value = digest.intdigest() - (1 << 63)
             shielded = node.kept_as_article and (node.tag in PROSE or node.tag not in BLOCKS or node.tag in ("article", "main"))
             eligible = node.parent is not None and node.tag != "body" and not shielded and node.tag in BLOCKS
             if eligible and len(texts) > mark:
-                hashes[value] = True
+                hashes.add(value)
                 if value in templates:
-                    del texts[mark:]
+                    del texts[mark:], inside[mark:]
             if stack:
                 stack[-1][2].update(b"<" + digest.digest())
             continue
         part = node.parts[at]
         stack.append((node, at + 1, digest, mark))
         if part is None:
-            flush()
+            flush(node)
         elif isinstance(part, str):
             open_text.append(part)
             digest.update(" ".join(part.split()).encode("utf-8", "surrogatepass"))
         else:
             if part.tag in BLOCKS:
-                flush()
+                flush(node)
             stack.append((part, 0, xxhash.xxh64(part.tag), len(texts)))
-    flush()
-    return texts, hashes
+    flush(root)
+    return texts, inside, hashes
+
+
+def _article(texts: list[str], inside: list[bool]) -> int:
+    """What tells one article from another: its longest block, or where no element marks it the page's two longest ones."""
+    own = [t for t, x in zip(texts, inside, strict=True) if x]
+    chosen = [max(own, key=len)] if own else sorted(texts, key=lambda t: (-len(t), t))[:2]
+    return xxhash.xxh64("\n".join(chosen).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
 
 
 def _host(url):
@@ -187,15 +196,15 @@ def _host(url):
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """page (row hash), host, article (hash of the longest block) and the hashes of the subtrees that may be templates."""
+    """page (row hash), host, article (what tells it from others) and the hashes of the subtrees that may be templates."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             articles, found = [], []
             for html in batch["html"].fillna(""):
-                texts, hashes = blocks(parse(html))
-                articles.append(xxhash.xxh64(max(texts, key=len, default="").encode("utf-8", "surrogatepass")).intdigest() - (1 << 63))
-                found.append(np.array(list(hashes), dtype=np.int64))
+                texts, inside, hashes = blocks(parse(html))
+                articles.append(_article(texts, inside))
+                found.append(np.array(sorted(hashes), dtype=np.int64))
             yield pd.DataFrame({"page": batch["page"], "host": batch["host"], "article": articles, "subtrees": found})
 
     return in_python(pages.where("host is not null"), run, "page long, host string, article long, subtrees array<long>")

@@ -133,7 +133,7 @@ def strings(rows: DataFrame, settings: Bootstrap, text: str = "text") -> DataFra
         start = s["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before(F.col("_b")[i]).alias("context"))
 
-    short = F.filter(F.transform(_places(F.col("_m"), F.col("_b"), F.lit(-1)), trimmed), lambda s: F.length(s["value"]).between(4, settings.longest))
+    short = F.filter(F.transform(_places(F.col("_m"), F.col("_b"), F.lit(-1)), trimmed), lambda s: F.length(s["value"]) <= settings.longest)
     rows = rows.withColumn("_s", F.when(F.size("_m") > 0, short))
     rows = rows.withColumn("_s", F.filter("_s", lambda s: F.length(s["context"]) > 0))
     touches = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

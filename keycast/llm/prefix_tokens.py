@@ -39,20 +39,25 @@ class PrefixCounter:
         self.rank = {pair: r for r, pair in enumerate(merges)}
         self.parts = {a + b: (r, a, b) for r, (a, b) in reversed(list(enumerate(merges)))}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.space = self.split.pre_tokenize_str(" ")[0][0]
         self.letters: dict[str, str] = {}  # characters in the vocabulary's alphabet of bytes
         self.together: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, bool], list] = {}
         self.words: dict[str, int] = {}
         self.pieces = Pieces("keep", self._totals)
 
-    def edge(self, token: str, right: bool) -> list[tuple[str, int]]:
-        """The parts that stand at one edge of a token while it is being merged, each with the rank of the merge that ends it."""
-        found, ends = [], len(self.rank)
-        while True:
-            found.append((token, ends))
-            if token not in self.parts:
-                return found
-            ends, left, last = self.parts[token]
-            token = last if right else left
+    def edge(self, token: str, right: bool) -> list[tuple[str, int, int]]:
+        """The parts that stand at one edge of a token while it is being merged, each with the ranks of the merges that make and end it."""
+        found = self.edges.get((token, right))
+        if found is None:
+            found, part, ends = [], token, len(self.rank)
+            while part in self.parts:
+                made, left, last = self.parts[part]
+                found.append((part, made, ends))
+                part, ends = last if right else left, made
+            found.append((part, -1, ends))
+            self.edges[token, right] = found
+        return found
 
     def follows(self, left: str, right: str) -> bool:
         """May token `right` stand behind token `left`?
@@ -63,15 +68,16 @@ class PrefixCounter:
         """
         found = self.together.get((left, right))
         if found is None:
-            if len(self.together) > 400_000:
+            if len(self.together) > 600_000:
                 self.together.clear()
-            found = True
-            for a, a_ends in self.edge(left, True):
-                for b, b_ends in self.edge(right, False):
-                    rank = self.rank.get((a, b))
-                    # Of equal merges the left one comes first.
-                    if rank is not None and rank < a_ends and rank <= b_ends and self.parts.get(a, (-1,))[0] < b_ends and self.parts.get(b, (-1,))[0] < a_ends:
-                        found = False
+            found, ranks = True, self.rank
+            for a, a_made, a_ends in self.edge(left, True):
+                for b, b_made, b_ends in self.edge(right, False):
+                    if a_made < b_ends and b_made < a_ends:  # both are there for a while
+                        rank = ranks.get((a, b))
+                        # Of equal merges the left one comes first.
+                        if rank is not None and rank < a_ends and rank <= b_ends:
+                            found = False
             self.together[left, right] = found
         return found
 
@@ -92,6 +98,8 @@ class PrefixCounter:
         return count
 
     def _spell(self, text: str) -> str:
+        if text.isascii() and text.isprintable():  # these stand for themselves, but for the space
+            return text.replace(" ", self.space)
         letters = self.letters
         for c in set(text) - letters.keys():
             letters[c] = self.split.pre_tokenize_str(c)[0][0]
@@ -118,7 +126,7 @@ class PrefixCounter:
             else:
                 split.append(self._split(piece) if piece else [])
         new = sorted({w for x in split if isinstance(x, list) for w in x} - self.words.keys())
-        if len(self.words) + len(new) > 400_000:
+        if len(self.words) + len(new) > 1_000_000:
             self.words.clear()
             new = sorted({w for x in split if isinstance(x, list) for w in x})
         count, last, before, totals = [0], [""], "", self.words
