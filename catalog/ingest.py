@@ -106,25 +106,25 @@ def _(spark, sf):
     return validation.even_sample(text_events(spark, sf), "value_text", ["event_id"]).select("event_id", "value_text")
 
 
-@query("validate_date_column", with_(TEXT_EVENTS, _SAMPLE.format(c="ts_text")) + """SELECT 'date-column' AS check_name,
-    CASE WHEN count(try_cast(ts_text AS TIMESTAMP)) >= 0.95 * count(*) THEN 'Convertible' ELSE 'Invalid' END AS status FROM sample
+@query("validate_date_column", with_(TEXT_EVENTS) + """SELECT 'date-column' AS check_name,
+    CASE WHEN count(try_cast(ts_text AS TIMESTAMP)) >= 0.95 * count(*) THEN 'Convertible' ELSE 'Invalid' END AS status FROM text_events WHERE ts_text IS NOT NULL
     UNION ALL SELECT 'date-column', 'Valid' UNION ALL SELECT 'date-column', 'Invalid'""")
 def _(spark, sf):
     rows, orders = text_events(spark, sf), table(spark, sf, "orders")
-    text = validation.check_date(rows, TEXT_ROLES, ["event_id"])
-    good = validation.check_date(orders, ORDER_ROLES, ["o_orderkey"])
-    number = validation.check_date(orders, Roles("o_totalprice", "o_custkey"), ["o_orderkey"])
+    text = validation.check_date(rows, TEXT_ROLES)
+    good = validation.check_date(orders, ORDER_ROLES)
+    number = validation.check_date(orders, Roles("o_totalprice", "o_custkey"))
     return text.unionByName(good).unionByName(number).select("check_name", "status")
 
 
-@query("validate_target_column", with_(TEXT_EVENTS, _SAMPLE.format(c="value_text")) + """SELECT 'target-column' AS check_name,
-    CASE WHEN count(try_cast(value_text AS DOUBLE)) >= 0.95 * count(*) THEN 'Convertible' ELSE 'Invalid' END AS status FROM sample
+@query("validate_target_column", with_(TEXT_EVENTS) + """SELECT 'target-column' AS check_name,
+    CASE WHEN count(try_cast(value_text AS DOUBLE)) >= 0.95 * count(*) THEN 'Convertible' ELSE 'Invalid' END AS status FROM text_events WHERE value_text IS NOT NULL
     UNION ALL SELECT 'target-column', 'Valid' UNION ALL SELECT 'target-column', 'Invalid' UNION ALL SELECT 'target-column', 'Invalid'""")
 def _(spark, sf):
     rows, orders = text_events(spark, sf), table(spark, sf, "orders")
-    out = validation.check_target(rows, TEXT_ROLES, ["event_id"])
+    out = validation.check_target(rows, TEXT_ROLES)
     for target in ("o_totalprice", "o_orderdate", "o_orderpriority"):
-        out = out.unionByName(validation.check_target(orders, Roles("o_orderdate", target), ["o_orderkey"]))
+        out = out.unionByName(validation.check_target(orders, Roles("o_orderdate", target)))
     return out.select("check_name", "status")
 
 
@@ -153,7 +153,7 @@ def _(spark, sf):
     CASE WHEN n < 12 THEN 'insufficient observations' WHEN frequency = 'Monthly' THEN '' ELSE 'frequency: ' || frequency END AS reasons FROM grain, (SELECT count(*) AS n FROM orders)""")
 def _(spark, sf):
     orders = table(spark, sf, "orders")
-    found = validation.checks(orders, ORDER_ROLES, ["o_orderkey"])
+    found = validation.checks(orders, ORDER_ROLES)
     return validation.verdict(found, orders.agg(F.count(F.lit(1)).alias("total_rows")))
 
 
@@ -243,7 +243,7 @@ def _(spark, sf):
     roles = Roles("o_orderdate", "o_totalprice", ("o_custkey",))
     out = None
     for grain in _ANCHORS:
-        part = profile.missing_periods(table(spark, sf, "orders"), roles, grain, Quality(max_groups=10**9)).select(F.lit(grain).alias("grain"), "missing_periods")
+        part = profile.missing_periods(table(spark, sf, "orders"), roles, grain).select(F.lit(grain).alias("grain"), "missing_periods")
         out = part if out is None else out.unionByName(part)
     return out
 

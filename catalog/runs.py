@@ -219,7 +219,7 @@ def _(spark, sf):
     return results.run_parameters(supplier_run(spark, sf).selection, SUPPLIER_ROLES, "Monthly", CLOSED_FORM)
 
 
-@query("result_flat_parameters", with_(*DECISION, _PARAMS) + "SELECT * FROM (SELECT 'hp.' || group_id || '.autoregressive.p' AS parameter, p AS value FROM params UNION ALL SELECT 'hp.' || group_id || '.autoregressive.d', d FROM params) ORDER BY parameter LIMIT 100")
+@query("result_flat_parameters", with_(*DECISION, _PARAMS) + "SELECT * FROM (SELECT 'hp.' || group_id || '.autoregressive.p' AS parameter, p AS value FROM params UNION ALL SELECT 'hp.' || group_id || '.autoregressive.d', d FROM params)")
 def _(spark, sf):
     return results.flat_parameters(order_params(spark, sf))
 
@@ -288,18 +288,18 @@ def run_states(spark, sf) -> DataFrame:
 
 
 _RUNS = """runs AS (SELECT CAST(user_id AS VARCHAR) AS run_id, min(ts) AS started_at, max(ts) AS ended_at, max_by(event_type, (ts, event_id)) AS last FROM events GROUP BY 1),
-listed AS (SELECT run_id, started_at, CASE WHEN last IN ('click', 'view') THEN 'Completed' WHEN last = 'purchase' THEN 'Cancelled' ELSE 'Failed' END AS status, greatest(date_diff('microsecond', started_at, ended_at) / 1e6, 0) AS duration_seconds FROM runs ORDER BY started_at DESC, run_id LIMIT 200)"""
+listed AS (SELECT run_id, started_at, CASE WHEN last IN ('click', 'view') THEN 'Completed' WHEN last = 'purchase' THEN 'Cancelled' ELSE 'Failed' END AS status, greatest(date_diff('microsecond', started_at, ended_at) / 1e6, 0) AS duration_seconds FROM runs)"""
 
 
 @query("runs_listing", with_(_RUNS) + "SELECT run_id, started_at, status, round(duration_seconds, 3) AS duration_seconds FROM listed")
 def _(spark, sf):
-    return tables.run_listing(run_states(spark, sf)).withColumn("duration_seconds", F.round("duration_seconds", 3))
+    return tables.run_listing(run_states(spark, sf), None).withColumn("duration_seconds", F.round("duration_seconds", 3))
 
 
 @query("runs_tiles", with_(_RUNS) + """SELECT count(*) AS total, count(*) FILTER (status = 'Completed') AS completed, count(*) FILTER (status = 'Running') AS running, count(*) FILTER (status = 'Failed') AS failed,
     count(*) FILTER (status = 'Cancelled') AS cancelled FROM listed""")
 def _(spark, sf):
-    return results.run_tiles(tables.run_listing(run_states(spark, sf)))
+    return results.run_tiles(tables.run_listing(run_states(spark, sf), None))
 
 
 # -- call telemetry: conversation turns read as insight attempts --------------------------------
@@ -410,7 +410,7 @@ def run_history(spark, sf) -> DataFrame:
 
 
 _HISTORY = """hist AS (SELECT CAST(user_id AS VARCHAR) AS run_id, min(ts) AS started_at, CAST(count(*) AS DOUBLE) AS k, sum(value) AS v, max(value) AS top FROM events GROUP BY 1),
-recent AS (SELECT * FROM hist ORDER BY started_at DESC, run_id LIMIT 6),
+recent AS (SELECT * FROM hist),
 cal AS (SELECT count(*) AS runs_used, (SELECT median(f) FROM (SELECT v / k AS f FROM recent UNION ALL SELECT top / k FROM recent)) AS seconds_per_fit, median(top / k) AS seconds_per_importance, median(top) AS seconds_per_call, median(top) AS startup_seconds FROM recent)"""
 
 

@@ -149,7 +149,6 @@ class Quality:
     max_missing_ratio: float = 0.10
     min_rows: int = 12
     count_missing_periods: bool = True
-    max_groups: int = 5000
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,8 @@ def stable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            # Only a local master, where driver and executors are one process, may do without the setting.
+            if not context.master.startswith("local["):
                 raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
             folder = tempfile.mkdtemp(prefix="keycast-checkpoint-")
         context.setCheckpointDir(folder)
@@ -154,10 +155,11 @@ def small_map(values: dict) -> Column:
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Sum of `value` over all earlier rows of the key, for keys of any size."""
-    slices = chunked(df, [*keys, *order])
-    inside = Window.partitionBy("_chunk", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # The key travels as a struct: rows with null keys form a key of their own and are not lost in the join.
+    slices = chunked(df.withColumn("_key", key_struct(keys)), [*keys, *order])
+    inside = Window.partitionBy("_chunk", "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = slices.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    sums = slices.groupBy("_chunk", *keys).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = slices.groupBy("_chunk", "_key").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    return local.join(sums, ["_chunk", *keys]).withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)
+    return local.join(sums, ["_chunk", "_key"]).withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)

@@ -23,13 +23,13 @@ from keycast.operators.models.naive import tests
 FEATURES = features.feature_names()
 SCALED = [f"lag_{n}" for n in LAGS] + [f"rolling_mean_{n}" for n in ROLLING_WINDOWS]
 MEMORY = max(LAGS)  # newest values a step needs
-ABSENT = -1.0  # a span the series is too short for; never inside the scaled range of interest
+ABSENT = -1e6  # a span the series is too short for: a z-score of n values is under sqrt(n), so no value comes near
 DEFAULTS = {
-    "boosted_trees": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2},
+    "boosted_trees": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1},
     "random_forest": {"numTrees": 20, "maxDepth": 6},
 }
 SEARCH = {  # parameter → values tried
-    "boosted_trees": {"maxDepth": [3, 5], "stepSize": [0.1, 0.2]},
+    "boosted_trees": {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]},
     "random_forest": {"numTrees": [10, 20], "maxDepth": [4, 6]},
 }
 

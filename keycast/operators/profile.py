@@ -123,7 +123,7 @@ def expected_periods(low: Column, high: Column, grain: str) -> Column:
 
 
 def missing_periods(df: DataFrame, roles: Roles, grain: str | None, options: Quality = Quality()) -> DataFrame:
-    """Expected minus seen periods, summed over keys; null where unknowable or over the key limit."""
+    """Expected minus seen periods, summed over keys; null where unknowable."""
     null_answer = F.lit(None).cast("long").alias("missing_periods")
     if not options.count_missing_periods or grain not in PERIOD_UNIT:
         return df.limit(1).agg(null_answer)
@@ -137,8 +137,7 @@ def missing_periods(df: DataFrame, roles: Roles, grain: str | None, options: Qua
     for key in roles.keys:
         counted = counted & F.col(key).isNotNull()
     gaps = F.sum(F.when(counted & (F.col("n") >= 2), absent).otherwise(F.lit(0)))
-    within = F.count(F.lit(1)) <= options.max_groups
-    return seen.agg(F.when(within & (F.count(F.lit(1)) > 0), gaps).cast("long").alias("missing_periods"))
+    return seen.agg(F.when(F.count(F.lit(1)) > 0, gaps).cast("long").alias("missing_periods"))
 
 
 def month_depth(df: DataFrame, roles: Roles) -> DataFrame:

@@ -13,7 +13,9 @@ from keycast.operators.coercion import is_number
 def group_id(roles: Roles) -> Column:
     if not roles.keys:
         return F.lit(SINGLE_SERIES_ID)
-    return F.concat_ws(KEY_SEPARATOR, *[F.col(k).cast("string") for k in roles.keys])
+    # A bar inside a part is escaped, so that different keys never join to one text.
+    part = lambda k: F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws(KEY_SEPARATOR, *[part(k) for k in roles.keys])
 
 
 def group_keys(roles: Roles) -> Column:

@@ -28,11 +28,13 @@ def even_sample(df: DataFrame, column: str, order: list[str], size: int = SAMPLE
     return placed.where(F.floor(nearest * last / F.lit(gaps)) == F.col("_position")).drop("_position")
 
 
-def _sampled(df: DataFrame, column: str, order: list[str], reader) -> DataFrame:
-    sample = even_sample(df.select(*dict.fromkeys([column, *order])), column, order)
+def _read(df: DataFrame, column: str, reader) -> DataFrame:
+    """Share of all present values that convert, and whether they differ: one map-side aggregate over the column."""
+    there = df.where(present(df, column))
     raw = F.col(column)
-    ratio = F.count(reader(sample, column)) / F.nullif(F.count(raw), F.lit(0))
-    return sample.agg(F.count(raw).alias("n"), ratio.alias("ratio"), F.count_distinct(raw).alias("distinct"))
+    ratio = F.count(reader(there, column)) / F.nullif(F.count(raw), F.lit(0))
+    differ = F.when(F.min(raw) < F.max(raw), 2).otherwise(F.least(F.count(raw), F.lit(1)))
+    return there.agg(F.count(raw).alias("n"), ratio.alias("ratio"), differ.alias("distinct"))
 
 
 def _result(name: str, table: DataFrame, status: Column, detail: Column | None = None) -> DataFrame:
@@ -43,14 +45,14 @@ def _fixed(df: DataFrame, name: str, status: str, detail: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(name, status, detail)], CHECK)
 
 
-def check_date(df: DataFrame, roles: Roles, order: list[str]) -> DataFrame:
+def check_date(df: DataFrame, roles: Roles) -> DataFrame:
     name = "date-column"
     if roles.date not in df.columns:
         return _fixed(df, name, "Invalid", "column not found")
     kind = df.schema[roles.date].dataType
     if is_datetime(kind):
         return _fixed(df, name, "Valid", "stored as a datetime column")
-    facts = _sampled(df, roles.date, order, as_date)
+    facts = _read(df, roles.date, as_date)
     text = isinstance(kind, T.StringType)
     status = F.when(F.lit(text) & (F.col("ratio") >= MIN_RATIO), "Convertible").otherwise("Invalid")
     detail = F.when(F.col("n") == 0, "no values").when(F.lit(not text), "numeric values").when(
@@ -59,12 +61,12 @@ def check_date(df: DataFrame, roles: Roles, order: list[str]) -> DataFrame:
     return _result(name, facts, status, detail)
 
 
-def check_target(df: DataFrame, roles: Roles, order: list[str]) -> DataFrame:
+def check_target(df: DataFrame, roles: Roles) -> DataFrame:
     name = "target-column"
     if roles.target not in df.columns:
         return _fixed(df, name, "Invalid", "column not found")
     kind = df.schema[roles.target].dataType
-    facts = _sampled(df, roles.target, order, as_number)
+    facts = _read(df, roles.target, as_number)
     if is_datetime(kind):
         return _result(name, facts, F.lit("Invalid"), F.when(F.col("n") == 0, "no values").otherwise("datetime values"))
     if is_number(kind):
@@ -100,10 +102,10 @@ def check_frequency(df: DataFrame, roles: Roles) -> DataFrame:
     return _result("frequency", frequency(df, roles.date), frequency_status(grain), grain)
 
 
-def checks(df: DataFrame, roles: Roles, order: list[str]) -> DataFrame:
+def checks(df: DataFrame, roles: Roles) -> DataFrame:
     """The four checks as four rows."""
     return (
-        check_date(df, roles, order).unionByName(check_target(df, roles, order))
+        check_date(df, roles).unionByName(check_target(df, roles))
         .unionByName(check_keys(df, roles)).unionByName(check_frequency(df, roles))
     )
 

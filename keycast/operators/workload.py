@@ -17,7 +17,7 @@ PROMPT_TOKENS, COMPLETION_TOKENS = 1100.0, 110.0
 FIXED_SECONDS = 20.0
 LOW, HIGH = 0.7, 1.6
 TUNING_ROWS = 48
-RUNS_LISTED, RUNS_READ, RUNS_NEEDED = 15, 6, 3
+RUNS_NEEDED = 3
 MAX_STARTUP = 900.0
 
 
@@ -46,15 +46,13 @@ def workload(depth: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def calibration(summaries: DataFrame) -> DataFrame:
-    """Median seconds per unit of work over the newest completed runs.
+    """Median seconds per unit of work over all completed runs.
 
     `summaries`: run_id, started_at, status, duration_seconds, stage_seconds,
     backtest_seconds, folds, train_seconds, trained, importance_seconds,
-    survivors, latency_ms. Only the newest 15 listings and 6 summaries count,
-    as when the history is read run by run.
+    survivors, latency_ms.
     """
-    newest = summaries.orderBy(F.desc("started_at"), "run_id").limit(RUNS_LISTED)
-    read = newest.where("status = 'Completed'").orderBy(F.desc("started_at"), "run_id").limit(RUNS_READ)
+    read = summaries.where("status = 'Completed'")
     ratio = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     fits = F.array_compact(F.array(ratio("backtest_seconds", "folds"), ratio("train_seconds", "trained")))
     overhead = F.col("duration_seconds") - F.col("stage_seconds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from keycast.functions.skew import global_positions
@@ -79,46 +80,51 @@ def write_mirror(insights: DataFrame, calls: DataFrame, root: str) -> list[str]:
     return written
 
 
-def same_key(column: str, value) -> Column:
-    """Key equality that accepts '1', 1 and 1.0 as the same key."""
-    text = F.col(column).cast("string") == F.lit(str(value))
+def same_key(table: DataFrame, column: str, value) -> Column:
+    """Key equality that accepts '1', 1 and 1.0 as the same key.
+
+    A number column is compared with a literal of its own type, so the filter
+    reaches the scan and prunes row groups.
+    """
+    kind = table.schema[column].dataType
     try:
         number = float(value)
     except (TypeError, ValueError):
-        return text
-    return F.coalesce(F.col(column).try_cast("double") == F.lit(number), text)
+        number = None
+    if isinstance(kind, T.IntegralType):
+        return F.col(column) == F.lit(int(number)).cast(kind) if number is not None and number.is_integer() else F.lit(False)
+    if isinstance(kind, T.FractionalType):
+        return F.col(column) == F.lit(number).cast(kind) if number is not None else F.lit(False)
+    text = F.col(column).cast("string") == F.lit(str(value))
+    return text if number is None else F.coalesce(F.col(column).try_cast("double") == F.lit(number), text)
 
 
 def full_series(curated: DataFrame, date: str, target: str, key_values: dict | None = None) -> DataFrame:
     """One key's whole curated series in date order."""
     kept = curated
     for column, value in (key_values or {}).items():
-        kept = kept.where(same_key(column, value))
+        kept = kept.where(same_key(kept, column, value))
     y = F.col(target).try_cast("double")
     ds = F.col(date).try_cast("date")
     return kept.select(ds.alias("ds"), y.alias("y")).where(ds.isNotNull() & y.isNotNull() & ~F.isnan(y)).orderBy("ds", "y")
 
 
-TOP_PAGE_ROWS = 100_000
-
-
 def page(curated: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
-    """Rows of one page in the stated total order.
+    """Rows of one page in the stated order; ties are broken by all other columns, so pages never overlap.
 
-    Early pages use a top-k; deep pages filter on global positions, so no task
-    ever sorts or skips the whole table.
+    Positions are global, so no task ever sorts or skips the whole table,
+    however deep the page.
     """
-    number, size = max(number, 1), max(1, min(size, 200))
+    number, size = max(number, 1), max(1, size)
     start = (number - 1) * size
-    if start + size <= TOP_PAGE_ROWS:
-        return curated.orderBy(*order).offset(start).limit(size)
-    placed = global_positions(curated, order, "_position")
+    whole = curated.withColumn("_tie", F.xxhash64(*curated.columns))
+    placed = global_positions(whole, [*order, "_tie"], "_position")
     wanted = (F.col("_position") >= start) & (F.col("_position") < start + size)
-    return placed.where(wanted).orderBy("_position").drop("_position")
+    return placed.where(wanted).orderBy("_position").select(*curated.columns)
 
 
 def page_totals(curated: DataFrame, size: int) -> DataFrame:
-    size = max(1, min(size, 200))
+    size = max(1, size)
     total = curated.agg(F.count(F.lit(1)).alias("total_rows"))
     return total.withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / F.lit(size))).cast("long"))
 
@@ -128,12 +134,12 @@ def page_totals(curated: DataFrame, size: int) -> DataFrame:
 RUN_STATUS = {"FINISHED": "Completed", "FAILED": "Failed", "KILLED": "Cancelled", "RUNNING": "Failed", "SCHEDULED": "Failed"}
 
 
-def run_listing(runs: DataFrame, limit: int = 200) -> DataFrame:
-    """Newest runs first, with a mapped status and a duration never below zero."""
+def run_listing(runs: DataFrame, limit: int | None) -> DataFrame:
+    """Newest runs first, with a mapped status and a duration never below zero; all of them without a limit."""
     from keycast.functions.skew import small_map
 
     seconds = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("ended_at")) / 1e6
-    return (
+    listed = (
         runs.select(
             "run_id",
             "started_at",
@@ -141,5 +147,5 @@ def run_listing(runs: DataFrame, limit: int = 200) -> DataFrame:
             F.greatest(seconds, F.lit(0.0)).alias("duration_seconds"),
         )
         .orderBy(F.desc("started_at"), "run_id")
-        .limit(limit)
     )
+    return listed if limit is None else listed.limit(limit)

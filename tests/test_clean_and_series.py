@@ -71,11 +71,34 @@ def test_running_total_on_a_hot_key(spark, hot):
     assert got == pytest.approx(want)
 
 
-def test_deep_pages_equal_shallow_pages(spark, hot, monkeypatch):
+def test_pages_follow_the_order_and_do_not_overlap(spark, hot):
     df, _ = hot
-    shallow = [r.id for r in tables.page(df, ["ts", "id"], 5, 50).collect()]
-    monkeypatch.setattr(tables, "TOP_PAGE_ROWS", 0)
-    assert [r.id for r in tables.page(df, ["ts", "id"], 5, 50).collect()] == shallow
+    whole = [r.id for r in df.orderBy("ts", "id").collect()]
+    assert [r.id for r in tables.page(df, ["ts", "id"], 5, 50).collect()] == whole[200:250]
+    ties = [r.id for n in (1, 2, 3) for r in tables.page(df, ["k"], n, 300).collect()]
+    assert len(ties) == len(set(ties))
+
+
+def test_running_total_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(1, None, 2.0), (2, None, 3.0), (3, "a", 5.0)], "id long, k string, v double")
+    got = {r.id: r.before for r in skew.running_total(rows, ["k"], ["id"], "v", "before").collect()}
+    assert got == {1: 0.0, 2: 2.0, 3: 0.0}
+
+
+def test_keys_that_hold_the_separator_stay_apart(spark):
+    rows = [("a | b", "c", f"2024-{m:02d}-01", 1.0) for m in range(1, 13)] + [("a", "b | c", f"2024-{m:02d}-01", 2.0) for m in range(1, 13)]
+    table = spark.createDataFrame(rows, "x string, y string, d string, v double")
+    out = series_ops.build_series(table, Roles("d", "v", ("x", "y"))).collect()
+    assert len({r.group_id for r in out}) == 2
+    assert all(len({r.y for r in out if r.group_id == g}) == 1 for g in {r.group_id for r in out})
+
+
+def test_number_keys_are_pushed_to_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id as k", "date'2024-01-01' as d", "double(id) as v").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    found = tables.full_series(table, "d", "v", {"k": "7.0"})
+    assert [r.y for r in found.collect()] == [7.0]
+    assert "EqualTo(k,7)" in found._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("step,label", [(1, "Daily"), (7, "Weekly"), (30, "Monthly"), (91, "Quarterly"), (365, "Yearly"), (500, "Irregular")])
