@@ -19,6 +19,7 @@ import json
 import os
 import re
 import unicodedata
+from itertools import filterfalse
 
 import numpy as np
 import regex
@@ -55,30 +56,33 @@ class Pieces:
         self.mode, self.compute, self.most = mode, compute, most
         self.first: dict = {}  # pieces at the beginning of a text
         self.rest: dict = {}  # pieces after a space, without it
+        self.brief: list = []
 
-    def _fill(self, held: dict, wanted: set, missing: set, lead: str) -> dict:
-        """The values of all wanted pieces; frequent pieces stay when the memory is full."""
+    def _fill(self, held: dict, parts: list[list], missing: set, lead: str) -> dict:
+        """The values of all pieces of `parts`; those in use stay when the memory is full."""
         if not missing:
             return held
         if len(held) + len(missing) > self.most:
-            known = {p: held[p] for p in wanted & held.keys()}
+            used = set().union(*parts) - missing
+            known = {p: held[p] for p in used}
             held.clear()
             held.update(known)
         new = sorted(missing)
         made = dict(zip(new, self.compute([lead + p for p in new]), strict=True))
-        held.update((p, v) for p, v in made.items() if len(p) <= _LONGEST)
-        if max(map(len, new)) > _LONGEST:  # long pieces live for this batch only
-            return {**{p: held[p] for p in wanted & held.keys()}, **made}
+        held.update(made)
+        self.brief += [(held, p) for p in new if len(p) > _LONGEST]
         return held
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the kept values of its pieces, in order."""
         if self.mode == "none":
             return [[v] for v in self.compute(texts)]
+        for held, piece in self.brief:  # long pieces live for one batch only
+            held.pop(piece, None)
+        self.brief.clear()
         parts = [text.split(" ") for text in texts]
         heads = [part.pop(0) for part in parts]
-        wanted = set().union(*parts)
-        missing = wanted - self.rest.keys()
+        missing = _absent(parts, self.rest)
         if self.mode == "keep":
             # A piece that is empty or starts with white space is part of a longer run: cut such a text with more care.
             # These pieces are never kept, so they are always among the missing ones.
@@ -87,14 +91,20 @@ class Pieces:
                 for i, part in enumerate(parts):
                     if not loose.isdisjoint(part):
                         heads[i], *parts[i] = _CUT.split(texts[i])
-                wanted = set().union(*parts)
-                missing = wanted - self.rest.keys()
-        starts = set(heads)
-        first = self._fill(self.first, starts, starts - self.first.keys(), "")
-        rest = self._fill(self.rest, wanted, missing, " " if self.mode == "keep" else "").__getitem__
+                missing = _absent(parts, self.rest)
+        first = self._fill(self.first, [heads], _absent([heads], self.first), "")
+        rest = self._fill(self.rest, parts, missing, " " if self.mode == "keep" else "").__getitem__
         return [[first[head], *map(rest, part)] for head, part in zip(heads, parts, strict=True)]
 
 
+def _absent(parts: list[list], held: dict) -> set:
+    """The distinct pieces that are not held."""
+    found: set = set()
+    for part in parts:
+        found.update(filterfalse(held.__contains__, part))
+    return found
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes, as the library gives them without added special tokens."""
 
