@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.fixtures import SERIES, once, supplier_run, supplier_series, table, with_
+from catalog.fixtures import CLOSED_FORM, SERIES, SUPPLIER_ROLES, once, supplier_months, supplier_run, supplier_series, table, with_
 from catalog.modelling import EVALUATION_CHAIN, long, r_, rounded
 from keycast.config import Drift, Roles
 from keycast.functions import samples as S
 from keycast.functions.skew import stable
 from keycast.operators import clean, drift, features, importance, ranking, selection
 from keycast.operators import series as series_ops
+from keycast.plans import forecast
 
 # -- importance vectors: absolute correlation of each feature with the change to predict --
 
@@ -377,6 +378,13 @@ def _(spark, sf):
     return out.select("group_id", "model_name", "status", "fallback_used", F.round("composite_score", 6).alias("composite_score"), *long("backtest_rank", "final_rank"), "algorithm", F.round("statistic", 6).alias("statistic"))
 
 
+@query("run_from_raw", with_(*DECISION) + "SELECT group_id, model_name, status, fallback_used, round(composite_score, 6) AS composite_score, CAST(final_rank AS BIGINT) AS final_rank FROM picked")
+def _(spark, sf):
+    """A whole run, gates included, from unprepared rows."""
+    run = once(spark, f"raw-run:{sf}", lambda: forecast.run(supplier_months(spark, sf), SUPPLIER_ROLES, CLOSED_FORM))
+    return run.selection.select("group_id", "model_name", "status", "fallback_used", F.round("composite_score", 6).alias("composite_score"), *long("final_rank"))
+
+
 @query("selection_rejected", with_(*DECISION) + "SELECT group_id, model_name, CAST(final_rank AS BIGINT) AS final_rank, algorithm, round(statistic, 6) AS statistic, round(threshold, 6) AS threshold FROM walk WHERE winner_rank IS NULL OR final_rank < winner_rank")
 def _(spark, sf):
     out = selection.rejected(supplier_run(spark, sf).judged)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.decisions import DECISION, EXPORT, RANKED
-from catalog.fixtures import CLOSED_FORM, SERIES, SUPPLIER_ROLES, folder, once, supplier_run, supplier_series, table, with_
+from catalog.fixtures import CLOSED_FORM, SERIES, SUPPLIER_ROLES, folder, materialized, once, supplier_run, supplier_series, table, with_
 from catalog.modelling import METRIC_SQL, customer_sizes, long, r_, rounded
 from keycast.config import OLD_STAGE_NAMES, STAGES
 from keycast.functions.skew import stable
@@ -138,7 +138,7 @@ def order_params(spark, sf) -> DataFrame:
     return fits.select("group_id", F.lit("autoregressive").alias("model_name"), values.alias("params"))
 
 
-@query("result_hyperparameters", with_(*DECISION, _PARAMS) + """SELECT s.group_id, s.model_name, coalesce(k.model_name = s.model_name, false) AS is_winner, false AS is_fallback, CASE WHEN k.model_name = s.model_name THEN 'Winner' ELSE 'Rejected' END AS status, round(wmape, 6) AS wmape,
+@query("result_hyperparameters", materialized(with_(*DECISION, _PARAMS), "frame", "ar_fit", "picked", "scores", "ranked", "series", "predictions", "months") + """SELECT s.group_id, s.model_name, coalesce(k.model_name = s.model_name, false) AS is_winner, false AS is_fallback, CASE WHEN k.model_name = s.model_name THEN 'Winner' ELSE 'Rejected' END AS status, round(wmape, 6) AS wmape,
     CAST(r.final_rank AS BIGINT) AS final_rank, p.p, p.d FROM scores s LEFT JOIN picked k ON k.group_id = s.group_id LEFT JOIN ranked r ON r.group_id = s.group_id AND r.model_name = s.model_name LEFT JOIN params p ON p.group_id = s.group_id AND p.model_name = s.model_name
     UNION ALL SELECT group_id, model_name, true, true, 'Fallback', NULL, NULL, NULL, NULL FROM picked WHERE fallback_used""".replace("round(wmape, 6)", "round(s.wmape, 6)"))
 def _(spark, sf):

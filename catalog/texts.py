@@ -115,10 +115,10 @@ def _(spark, sf):
     return facts_of(spark, sf).select("group_id", "selected_model", F.round("wmape", 6).alias("wmape"), "fallback_used", "confidence", F.array_join("caveats", ", ").alias("caveats"))
 
 
-@query("insight_template_text", with_(*DECISION, _INSIGHT) + """SELECT group_id, CASE WHEN wmape IS NULL THEN 'fallback' ELSE selected_model || ' was selected, with a backtest WMAPE of ' || printf('%.2f', wmape) || '%, meaning its backtested forecasts were off by about ' || printf('%.0f', wmape) || '% on average.' END AS concise_summary FROM told""")
+@query("insight_template_text", with_(*DECISION, _INSIGHT) + """SELECT group_id, CASE WHEN wmape IS NULL THEN 'fallback' ELSE selected_model || ' was selected. Over the backtest its WMAPE is ' || printf('%.2f', wmape) || '%, so expect a miss of some ' || printf('%.0f', wmape) || '% in total volume.' END AS concise_summary FROM told""")
 def _(spark, sf):
     out = textcheck.template_insight(facts_of(spark, sf))
-    text = F.when(F.contains("concise_summary", F.lit("fallback baseline")), F.lit("fallback")).otherwise(F.col("concise_summary"))
+    text = F.when(F.contains("concise_summary", F.lit("stands in as fallback")), F.lit("fallback")).otherwise(F.col("concise_summary"))
     return out.select("group_id", text.alias("concise_summary"))
 
 

@@ -47,12 +47,12 @@ def status_histogram(calls: DataFrame) -> DataFrame:
 
 
 def group_calls(calls: DataFrame) -> DataFrame:
-    """One row per (run, group): the last attempt's facts; attempts are counted, not carried.
+    """One row per (run, group): the last attempt's facts; attempts are counted, not carried. Calls without a group have no row.
 
     Counting keeps a group with very many attempts out of one row's memory.
     """
     last = F.max_by(F.struct("provider", "prompt_version", "total_tokens", "latency_ms", "validation_status", "grounding_status", "final_status"), "attempt_number")
-    out = calls.groupBy("run_id", "group_id").agg(last.alias("last"), F.count(F.lit(1)).alias("attempts"))
+    out = calls.where(F.col("group_id").isNotNull()).groupBy("run_id", "group_id").agg(last.alias("last"), F.count(F.lit(1)).alias("attempts"))
     return out.select("run_id", "group_id", "last.*", "attempts", (F.col("attempts") - 1).alias("retry_count"))
 
 

@@ -121,7 +121,8 @@ def run(table: DataFrame, roles: Roles, options: RunOptions = RunOptions(), orde
     """From a raw table to selected forecasts; stops with a clear error where the data cannot be used."""
     roles.check(table.columns)
     grain = profile.frequency(table, roles.date).first().frequency
-    curated = clean.prepare(table, roles, grain, options.cleaning, order)
+    # Written once: the gates and the series below read the curated rows, not the raw table again.
+    curated = stable(clean.prepare(table, roles, grain, options.cleaning, order))
     clean.assert_usable(curated, roles, options.cleaning)
     clean.verify(curated, roles, options.cleaning)
     series = series_ops.build_series(curated, roles, options.cleaning)
