@@ -1,4 +1,4 @@
-"""Linear trend plus calendar-month effects with normal 95% bounds."""
+"""Linear trend plus calendar-month effects with normal 95% bounds, and effects of regressors where there are any."""
 
 from __future__ import annotations
 
@@ -8,7 +8,43 @@ from pyspark.sql import functions as F
 Z95 = 1.96
 
 
-def fitted(frame: DataFrame) -> DataFrame:
+def _line_and_season(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Add `name`: the value's line plus month effects, from training rows (where `value` is not null there)."""
+    fold = Window.partitionBy("group_id", "fold")
+    month = Window.partitionBy("group_id", "fold", "_month")
+    at, seen = F.col("t").cast("double"), F.when(F.col("part") == "train", F.col(value))
+    line = F.coalesce(F.regr_slope(seen, at).over(fold), F.lit(0.0))
+    base = F.coalesce(F.regr_intercept(seen, at).over(fold), F.avg(seen).over(fold))
+    rows = rows.withColumn("_line", base + line * at).withColumn("_off", F.when(F.col("part") == "train", F.col(value)) - F.col("_line"))
+    return rows.withColumn(name, F.col("_line") + F.coalesce(F.avg("_off").over(month), F.lit(0.0))).drop("_line", "_off")
+
+
+def with_regressors(rows: DataFrame, regressors: list[str]) -> DataFrame:
+    """Add `effect`: least squares of what trend and season leave on what they leave of the regressors.
+
+    Regressors are made independent of each other one after the other, so each
+    takes one sum of products over its fold. All windows share one
+    partitioning. A regressor without spread has no effect, nor has a missing value.
+    """
+    fold = Window.partitionBy("group_id", "fold")
+    over = lambda product: F.sum(F.when((F.col("part") == "train") & F.col("_left").isNotNull(), product)).over(fold)
+    rows = rows.withColumn("_left", F.col("train_y") - F.col("fit")).withColumn("effect", F.lit(0.0))
+    done: list[str] = []
+    for k, regressor in enumerate(regressors):
+        own, made = f"_x{k}", f"_made{k}"
+        rows = rows.withColumn(own, F.col(regressor).cast("double"))
+        rows = _line_and_season(rows, own, made).withColumn(own, F.col(own) - F.col(made)).drop(made)
+        for other in done:
+            share = over(F.col(own) * F.col(other)) / F.nullif(over(F.col(other) * F.col(other)), F.lit(0.0))
+            rows = rows.withColumn(own, F.col(own) - F.coalesce(share, F.lit(0.0)) * F.col(other))
+        size = over(F.col(own) * F.col(own))
+        slope = F.when(size > 1e-9, over(F.col("_left") * F.col(own)) / size)
+        rows = rows.withColumn("effect", F.col("effect") + F.coalesce(slope * F.col(own), F.lit(0.0)))
+        done.append(own)
+    return rows.drop("_left", *done)
+
+
+def fitted(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:
     """Frame rows with the fit of their own fold. Windows only: test rows read the fit in place."""
     fold = Window.partitionBy("group_id", "fold")
     month = Window.partitionBy("group_id", "fold", "_month")
@@ -19,11 +55,15 @@ def fitted(frame: DataFrame) -> DataFrame:
     out = out.withColumn("_rest", F.col("train_y") - (F.col("intercept") + F.col("slope") * at))
     out = out.withColumn("season", F.coalesce(F.avg("_rest").over(month), F.lit(0.0)))
     out = out.withColumn("sigma", F.coalesce(F.stddev_samp(F.col("_rest") - F.col("season")).over(fold), F.lit(0.0)))
-    return out.withColumn("fit", F.col("intercept") + F.col("slope") * at + F.col("season"))
+    out = out.withColumn("fit", F.col("intercept") + F.col("slope") * at + F.col("season"))
+    if not regressors:
+        return out
+    out = with_regressors(out, list(regressors)).withColumn("fit", F.col("fit") + F.col("effect"))
+    return out.withColumn("sigma", F.coalesce(F.stddev_samp(F.col("train_y") - F.col("fit")).over(fold), F.lit(0.0)))
 
 
-def predict(frame: DataFrame) -> DataFrame:
-    rows = fitted(frame).where((F.col("part") == "test") & F.col("fit").isNotNull())
+def predict(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:
+    rows = fitted(frame, regressors).where((F.col("part") == "test") & F.col("fit").isNotNull())
     return rows.select(
         "group_id", F.lit("trend_seasonal").alias("model_name"), "fold", "step", "ds", F.col("y").alias("actual"),
         F.col("fit").alias("value"),

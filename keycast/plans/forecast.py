@@ -55,7 +55,7 @@ def predict(series: DataFrame, options: RunOptions = RunOptions(), regressors: l
             frames[tuple(kept)] = folds.frame(series, options.backtest, options.horizon, kept)
         frame = frames[tuple(kept)].where(F.col("n") >= spec.min_rows)
         if spec.name in FORECASTERS:
-            parts.append(FORECASTERS[spec.name](frame))
+            parts.append(FORECASTERS[spec.name](frame, kept) if kept else FORECASTERS[spec.name](frame))
         else:
             parts.append(trees.predict(frame, spec.name, horizon=options.horizon, test_horizon=options.backtest.horizon, regressors=kept))
     return reduce(DataFrame.unionByName, parts)

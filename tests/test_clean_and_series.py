@@ -213,3 +213,28 @@ def test_duplicate_month_rows_stop_a_run(spark):
     rows = [(dt.date(2020, 1, 1), float(i), "a") for i in range(20)]
     with pytest.raises(DataError, match="more than one row"):
         clean.verify(spark.createDataFrame(rows, "ts date, y double, k string"), R)
+
+
+def test_regressors_change_the_trend_forecast(spark):
+    """Joint least squares on what trend and months leave, against numpy."""
+    rng = np.random.default_rng(3)
+    n = 36
+    promo, price = rng.integers(0, 2, n).astype(float), rng.random(n)
+    y = 50 + 2 * np.arange(n) + 30 * promo - 10 * price + rng.normal(0, 0.1, n)
+    rows = [("g", t, n, dt.date(2020 + t // 12, t % 12 + 1, 1), float(y[t]), float(promo[t]), float(price[t])) for t in range(n)]
+    series = spark.createDataFrame(rows, "group_id string, t int, n int, ds date, y double, promo double, price double")
+    frame = folds.frame(series, Backtest(), 3, ["promo", "price"])
+    month = np.arange(n) % 12
+
+    def left(v):
+        slope, base = np.polyfit(np.arange(n), v, 1)
+        rest = v - base - slope * np.arange(n)
+        return rest - np.array([rest[month == m].mean() for m in month])
+
+    x = np.stack([left(promo), left(price)], axis=1)
+    want = y - left(y) + x @ np.linalg.lstsq(x, left(y), rcond=None)[0]
+    got = {r.t: r.fit for r in trend.fitted(frame, ["promo", "price"]).where("fold = -1 and part = 'train'").collect()}
+    assert [got[t] for t in range(n)] == pytest.approx(want.tolist(), rel=1e-6)
+    plain = {r.step: r.value for r in trend.predict(frame).where("fold = -1").collect()}
+    more = {r.step: r.value for r in trend.predict(frame, ["promo", "price"]).where("fold = -1").collect()}
+    assert all(abs(plain[k] - more[k]) > 1 for k in (1, 2, 3))
