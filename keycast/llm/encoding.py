@@ -19,7 +19,7 @@ import json
 import os
 import re
 import unicodedata
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -27,6 +27,7 @@ import regex
 _CUT = re.compile(r" (?=\S)")
 _RUNS = regex.compile(r" ?\p{L}+|\P{L}+")
 _GROWS = "\u0130"  # the one letter that becomes two characters in lower case
+_SPACE_LETTER = "\u0120"  # a space in the alphabet of byte-level vocabularies
 _SPACES = re.compile(r"\s\s")
 _LONGEST = 64  # characters of a piece worth remembering
 
@@ -52,7 +53,7 @@ def cut_mode(path: str) -> str:
 class Pieces:
     """Something kept per distinct piece; `compute` is called with new pieces only."""
 
-    def __init__(self, mode: str, compute, most: int = 300_000):
+    def __init__(self, mode: str, compute, most: int = 150_000):
         self.mode, self.compute, self.most = mode, compute, most
         self.first: dict = {}  # pieces at the beginning of a text
         self.rest: dict = {}  # pieces after a space, without it
@@ -67,8 +68,8 @@ class Pieces:
             known = {p: held[p] for p in used}
             held.clear()
             held.update(known)
-        new = sorted(missing)
-        made = dict(zip(new, self.compute([lead + p for p in new]), strict=True))
+        new = list(missing)
+        made = dict(zip(new, self.compute([lead + p for p in new] if lead else new), strict=True))
         held.update(made)
         self.brief += [(held, p) for p in new if len(p) > _LONGEST]
         return held
@@ -97,12 +98,9 @@ class Pieces:
         return [[first[head], *map(rest, part)] for head, part in zip(heads, parts, strict=True)]
 
 
-def _absent(parts: list[list], held: dict) -> set:
+def _absent(parts: list, held: dict) -> set:
     """The distinct pieces that are not held."""
-    found: set = set()
-    for part in parts:
-        found.update(filterfalse(held.__contains__, part))
-    return found
+    return set(filterfalse(held.__contains__, chain.from_iterable(parts)))
 
 
 class Encoder:
@@ -118,25 +116,25 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}
-        self.most_runs = 1_000_000
+        self.most_runs = 300_000
         self.pieces = Pieces(cut_mode(path), self._encode)
+        self.marked = self._marked()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each piece, put together from its runs of letters and of other characters where tokens never span two runs."""
         if self.pieces.mode == "none":
             return self._one_by_one(texts)
-        split = [self._split(t) for t in texts]
-        wanted = {run for runs in split for run in runs}
-        missing = wanted - self.runs.keys()
+        split = list(map(self._split, texts))
+        missing = _absent(split, self.runs)
         if len(self.runs) + len(missing) > self.most_runs:
-            known = {run: self.runs[run] for run in wanted & self.runs.keys()}
+            used = set().union(*split) - missing
+            known = {run: self.runs[run] for run in used}
             self.runs.clear()
             self.runs.update(known)
-        made = self._encode_runs(sorted(missing))
-        self.runs.update(made)
+        self.runs.update(self._encode_runs(list(missing)))
         get = self.runs.__getitem__
         out = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in split]
-        for run in made:
+        for run in missing:
             if len(run) > _LONGEST:
                 del self.runs[run]
         return out
@@ -171,15 +169,26 @@ class Encoder:
         out = dict(zip(alone, self._one_by_one(alone), strict=True))
         for start in range(0, len(words), 4096):
             part = words[start : start + 4096]
-            found = self.library.encode(joint.join(part), add_special_tokens=False)
+            found = self.library.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0]
             ids = np.array(found.ids, dtype=self.dtype)
-            begins = np.cumsum([0, *(len(t) + len(joint) for t in part)])
-            places = np.fromiter((x for x, _ in found.offsets), dtype=np.int64, count=len(ids))
-            cuts = (np.searchsorted(places, begins) * self.dtype.itemsize).tolist()
-            raw = ids.tobytes()
-            out.update((r, raw[a:b]) for r, a, b in zip(part, cuts, cuts[1:], strict=False))
+            # A word starts with the one token that holds its space, or ends with the one that is marked as an end.
+            marks = np.flatnonzero(self.marked[ids])
+            cuts = (np.append(marks, len(ids)) if joint == "" else np.append(0, marks + 1)) * self.dtype.itemsize
+            if len(cuts) != len(part) + 1:
+                out.update(zip(part, self._one_by_one(part), strict=True))
+                continue
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            out.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         return out
 
+    def _marked(self) -> np.ndarray:
+        """Which ids begin with a space (keep mode) or end a word (drop mode)."""
+        table = np.zeros(self.library.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            table[i] = bool(suffix and token.endswith(suffix)) if self.pieces.mode == "drop" else token.startswith(_SPACE_LETTER)
+        return table
+
     def ids(self, texts: list[str]) -> list[bytes]:
         return [b"".join(x) for x in self.pieces.of(texts)]
 
