@@ -258,12 +258,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_shingles, component_id (smallest id it is linked to, itself included), n_links and kept.
+    """Per document: n_shingles, component_id (smallest id it is linked to, itself included), n_links, kept, text_hash and component_key.
 
     Documents with equal shingle sets are linked by their set and are not
     compared again. A text without words, or null, is linked with nothing. A
-    null id never is a component's smallest; its row is kept only if it stands
-    alone. Rows that repeat an id stay rows of their own. `n_links` counts the
+    null id never is a component's smallest; its row is kept only if no row of its
+    component has an id. Rows that repeat an id stay rows of their own. Ids may
+    be null or repeat, so `component_key` (smallest set of the component, null
+    without words) and not component_id tells components apart. `n_links` counts the
     other distinct sets that the document's set was compared with and found
     similar to; members that are linked through their centre are not compared.
     """
@@ -287,27 +289,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     grouped = rows.groupBy("set_id").agg(F.min("doc_id").alias("least")).where(F.col("set_id").isNotNull())
     grouped = grouped.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = grouped.join(least, "component").join(degree, "set_id", "left").select("set_id", "component_id", "n_links")
+    known = grouped.join(least, "component").join(degree, "set_id", "left").select("set_id", "component_id", "n_links", F.col("component").alias("component_key"))
     # A third of all rows may share one set; the join's other side has one row per set, so a large partition can be split.
     result = rows.select("doc_id", "text_hash", "set_id", "n_shingles").join(known, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash",
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component_key",
     )
 
 
 def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of `docs`, with all their columns, of which one per component stays; texts without words all stay.
 
-    Where rows repeat the id that is kept, one of them stays: the smallest hash of its text decides, equal rows leave one.
+    The least id of the component stays, a null one only where none has an id. Where
+    rows repeat that id, the smallest hash of their texts decides, equal rows leave one.
     """
     found = near_duplicates(docs, settings)
-    found = stored(found.groupBy("doc_id", "text_hash", "component_id", "kept").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles")), "verdicts")
+    found = stored(found.groupBy("doc_id", "text_hash", "component_key", "kept").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles")), "verdicts")
     rest = found.where("kept and n_shingles > 0")
-    # One row per component and text of the kept id: as good as always one.
-    chosen = rest.groupBy("component_id").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("copies"))
-    winners = chosen.select(F.struct(F.col("component_id").alias("doc_id"), "text_hash").alias("_key"), (F.col("copies") > 1).alias("_again"))
+    # What is kept of one component has one id, or none.
+    chosen = rest.groupBy("component_key", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("copies").alias("copies"))
+    winners = chosen.select(F.struct("doc_id", "text_hash").alias("_key"), (F.col("copies") > 1).alias("_again"))
     empty = found.where("n_shingles = 0").select(F.struct("doc_id", "text_hash").alias("_key"), F.lit(False).alias("_again")).distinct()
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     joined = docs.join(winners.union(empty), own == F.col("_key"))

@@ -321,6 +321,18 @@ def test_one_row_per_group_stays(docs):
     assert sum(not shingles(r.text) for r in left) == sum(not shingles(r.text) for r in rows)
 
 
+def test_components_are_told_apart_whatever_their_ids(spark):
+    rnd = random.Random(12)
+    make = lambda: " ".join("".join(rnd.choice("aeioustrnl") for _ in range(6)) for _ in range(40))
+    alone, same_id, group = [make() for _ in range(20)], [make(), make()], make()
+    rows = [(None, t) for t in alone] + [(5, t) for t in same_id] + [(None, group), (None, group), (None, group + " x")]
+    rows += [(7, alone[0]), (9, alone[0] + " y"), (None, None), (None, "")]
+    got = Counter(map(tuple, minhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert sum(got[(None, t)] for t in (group, group + " x")) == 1
+    got -= Counter([(None, group), (None, group + " x")])
+    assert got == Counter([(None, t) for t in alone[1:]] + [(5, t) for t in same_id] + [(7, alone[0]), (None, None), (None, "")])
+
+
 def test_large_group_of_near_copies(spark):
     rnd = random.Random(6)
     words = [f"w{rnd.randrange(9999)}" for _ in range(60)]
