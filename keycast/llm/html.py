@@ -4,7 +4,7 @@ Every page becomes a tree of elements. What is never article text goes by its
 element or its role; of the rest, the hash of each element's subtree is counted
 over the pages of its host, and subtrees that recur on many of them go too:
 menus, notices and adverts that no name gives away. A subtree counts once for
-each distinct article beside it, so copies of one page do not make a template
+each distinct page that holds it, so copies of one page do not make a template
 of their own text; and plain paragraphs and headings inside an article stay,
 since passages may recur in articles.
 """
@@ -52,7 +52,7 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is a template if it recurs on this many articles of its host, and on this share of them."""
+    """A subtree is a template if it recurs on this many distinct pages of its host, and on this share of them."""
 
     least_pages: int = 3
     least_share: float = 0.2
@@ -135,59 +135,55 @@ def parse(html: str) -> _Node:
     return tree.root
 
 
-def blocks(root: _Node, templates: frozenset = frozenset()) -> tuple[list[str], list[bool], set[int]]:
-    """Texts of the blocks in page order, whether each is inside an article element, and hashes of the subtrees that may be templates.
+def blocks(root: _Node, templates: frozenset = frozenset()) -> tuple[list[str], set[int]]:
+    """Texts of the blocks in page order, and hashes of the subtrees that may be templates.
 
     Walks without recursion, as pages may nest without bound.
     """
     texts: list[str] = []
-    inside: list[bool] = []
     hashes: set[int] = set()
     open_text: list[str] = []
 
-    def flush(node: _Node) -> None:
+    def flush() -> None:
         text = " ".join("".join(open_text).split())
         open_text.clear()
         if text:
             texts.append(text)
-            inside.append(node.kept_as_article)
 
     stack = [(root, 0, xxhash.xxh64(root.tag), len(texts))]
     while stack:
         node, at, digest, mark = stack.pop()
         if at == len(node.parts):
             if node.tag in BLOCKS:
-                flush(node)
+                flush()
             value = digest.intdigest() - (1 << 63)
             shielded = node.kept_as_article and (node.tag in PROSE or node.tag not in BLOCKS or node.tag in ("article", "main"))
             eligible = node.parent is not None and node.tag != "body" and not shielded and node.tag in BLOCKS
             if eligible and len(texts) > mark:
                 hashes.add(value)
                 if value in templates:
-                    del texts[mark:], inside[mark:]
+                    del texts[mark:]
             if stack:
                 stack[-1][2].update(b"<" + digest.digest())
             continue
         part = node.parts[at]
         stack.append((node, at + 1, digest, mark))
         if part is None:
-            flush(node)
+            flush()
         elif isinstance(part, str):
             open_text.append(part)
             digest.update(" ".join(part.split()).encode("utf-8", "surrogatepass"))
         else:
             if part.tag in BLOCKS:
-                flush(node)
+                flush()
             stack.append((part, 0, xxhash.xxh64(part.tag), len(texts)))
-    flush(root)
-    return texts, inside, hashes
+    flush()
+    return texts, hashes
 
 
-def _article(texts: list[str], inside: list[bool]) -> int:
-    """What tells one article from another: its longest block, or where no element marks it the page's two longest ones."""
-    own = [t for t, x in zip(texts, inside, strict=True) if x]
-    chosen = [max(own, key=len)] if own else sorted(texts, key=lambda t: (-len(t), t))[:2]
-    return xxhash.xxh64("\n".join(chosen).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
+def _whole(texts: list[str]) -> int:
+    """What tells one page from another: all its blocks, so that only copies are one page."""
+    return xxhash.xxh64("\n".join(texts).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
 
 
 def _host(url):
@@ -196,29 +192,29 @@ def _host(url):
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """page (row hash), host, article (what tells it from others) and the hashes of the subtrees that may be templates."""
+    """page (row hash), host, whole (what tells it from others) and the hashes of the subtrees that may be templates."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            articles, found = [], []
+            wholes, found = [], []
             for html in batch["html"].fillna(""):
-                texts, inside, hashes = blocks(parse(html))
-                articles.append(_article(texts, inside))
+                texts, hashes = blocks(parse(html))
+                wholes.append(_whole(texts))
                 found.append(np.array(sorted(hashes), dtype=np.int64))
-            yield pd.DataFrame({"page": batch["page"], "host": batch["host"], "article": articles, "subtrees": found})
+            yield pd.DataFrame({"page": batch["page"], "host": batch["host"], "whole": wholes, "subtrees": found})
 
-    return in_python(pages.where("host is not null"), run, "page long, host string, article long, subtrees array<long>")
+    return in_python(pages.where("host is not null"), run, "page long, host string, whole long, subtrees array<long>")
 
 
 def templates(found: DataFrame, settings: Settings) -> DataFrame:
-    """host and subtree of what recurs on many articles of the host.
+    """host and subtree of what recurs on many distinct pages of the host.
 
-    Counting runs on distinct (host, subtree, article), first within tasks, so
+    Counting runs on distinct (host, subtree, page), first within tasks, so
     a host with a third of all pages is spread over its subtrees.
     """
-    each = found.select("host", "article", F.explode("subtrees").alias("subtree")).distinct()
+    each = found.select("host", "whole", F.explode("subtrees").alias("subtree")).distinct()
     count = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= settings.least_pages)
-    all_ = found.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    all_ = found.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     return count.join(all_, "host").where(F.col("pages") >= settings.least_share * F.col("all_pages")).select("host", "subtree")
 
 

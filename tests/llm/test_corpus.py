@@ -106,6 +106,17 @@ def test_page_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def page_texts(spark, rows):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_notices_longer_than_articles_go(spark):
+    law = "".join(f'<div class="q{k}"><p>' + f"Terms and conditions {k} of this site apply to all. " * 9 + "</p></div>" for k in range(2))
+    rows = [(i, f"http://law.example.com/{i}", f"<body>{law}<div><p>Short text {i}.</p></div></body>") for i in range(6)]
+    rows += [(10 + i, f"http://main.example.com/{i}", f"<main>{law}<p>Short text {i}.</p></main>") for i in range(6)]
+    assert page_texts(spark, rows) == {i: f"Short text {i % 10}." for i in [*range(6), *range(10, 16)]}
+
+
 # -- 3 ------------------------------------------------------------------------
 
 PLAIN = {
