@@ -52,10 +52,12 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is a template if it recurs on this many distinct pages of its host, and on this share of them."""
+    """A subtree is a template if it recurs on this many distinct pages of its host, and on this share of them or on enough pages."""
 
     least_pages: int = 3
     least_share: float = 0.2
+    enough_pages: int = 20  # whatever the share
+    enough_prose: int = 1000  # for a lone paragraph, heading or item: short ones recur by chance
 
 
 class _Node:
@@ -156,7 +158,8 @@ def blocks(root: _Node, templates: frozenset = frozenset()) -> tuple[list[str],
         if at == len(node.parts):
             if node.tag in BLOCKS:
                 flush()
-            value = digest.intdigest() - (1 << 63)
+            # The lowest bit tells prose from what holds it.
+            value = ((digest.intdigest() - (1 << 63)) & ~1) | (node.tag in PROSE)
             shielded = node.kept_as_article and (node.tag in PROSE or node.tag not in BLOCKS or node.tag in ("article", "main"))
             eligible = node.parent is not None and node.tag != "body" and not shielded and node.tag in BLOCKS
             if eligible and len(texts) > mark:
@@ -187,8 +190,13 @@ def _whole(texts: list[str]) -> int:
 
 
 def _host(url):
-    """Host of an address, in lower case and without user, port and a leading www; null if there is none."""
-    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", ""), F.lit(""))
+    """Host of an address, in lower case and without user, port and a leading www; empty if there is none.
+
+    Without a scheme, what stands before the first slash is the host if it has a dot or follows two slashes.
+    """
+    full = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    bare = F.regexp_extract(url, r"^([^/?#:@\s]+\.[^/?#:@\s]+)(?:[/?#:]|$)", 1)
+    return F.coalesce(F.regexp_replace(F.lower(F.when(full != "", full).otherwise(bare)), r"^www\.", ""), F.lit(""))
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
@@ -203,7 +211,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
                 found.append(np.array(sorted(hashes), dtype=np.int64))
             yield pd.DataFrame({"page": batch["page"], "host": batch["host"], "whole": wholes, "subtrees": found})
 
-    return in_python(pages.where("host is not null"), run, "page long, host string, whole long, subtrees array<long>")
+    return in_python(pages, run, "page long, host string, whole long, subtrees array<long>")
 
 
 def templates(found: DataFrame, settings: Settings) -> DataFrame:
@@ -215,14 +223,15 @@ def templates(found: DataFrame, settings: Settings) -> DataFrame:
     each = found.select("host", "whole", F.explode("subtrees").alias("subtree")).distinct()
     count = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= settings.least_pages)
     all_ = found.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
-    return count.join(all_, "host").where(F.col("pages") >= settings.least_share * F.col("all_pages")).select("host", "subtree")
+    enough = F.when(F.col("subtree").bitwiseAND(1) == 1, settings.enough_prose).otherwise(settings.enough_pages)
+    return count.join(all_, "host").where(F.col("pages") >= F.least(enough, settings.least_share * F.col("all_pages"))).select("host", "subtree")
 
 
 def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per page: page_id, url, text and n_chars, from the whole html.
 
-    A null or empty html has the empty text. Pages without a host take part in
-    no template. Null ids and repeated rows stay rows of their own; other
+    A null or empty html has the empty text. Pages without a host count as pages
+    of one host. Null ids and repeated rows stay rows of their own; other
     columns are not read.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -117,6 +117,17 @@ def test_notices_longer_than_articles_go(spark):
     assert page_texts(spark, rows) == {i: f"Short text {i % 10}." for i in [*range(6), *range(10, 16)]}
 
 
+def test_boxes_on_a_small_share_of_a_host_go(spark):
+    box = '<div class="q7"><p>Our shop is open on Sundays.</p></div>'
+    rows = [(i, f"http://big.example.com/{i}", f"<body>{box if i % 10 == 0 else ''}<p>Text {i}.</p>{'<p>Yes.</p>' if i % 10 == 1 else ''}</body>") for i in range(400)]
+    urls = [None, "/local/{}", "Bare.example.com/{}", "//www.bare.example.com:80/{}"]
+    rows += [(1000 + i, urls[i % 4] and urls[i % 4].format(i), f"<body>{box}<p>Text {i}.</p></body>") for i in range(40)]
+    want = {i: f"Text {i}." + (" Yes." if i % 10 == 1 else "") for i in range(400)}  # a short paragraph recurs by chance
+    assert page_texts(spark, rows) == want | {1000 + i: f"Text {i}." for i in range(40)}
+    hosts = spark.createDataFrame([(u,) for u in ("Bare.example.com/a", "//u@www.bare.example.com:80/", "ftp://bare.example.com")], "url string")
+    assert {r[0] for r in hosts.select(html._host(F.col("url"))).collect()} == {"bare.example.com"}
+
+
 # -- 3 ------------------------------------------------------------------------
 
 PLAIN = {
