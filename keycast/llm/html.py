@@ -1,7 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 Every page becomes a tree of elements. What is never article text goes by its
-element or its role; of the rest, the hash of each element's subtree is counted
+element or its role, and by a name in its class or id if it is a small part of
+the page beside the article; of the rest, the hash of each element's subtree is counted
 over the pages of its host, and subtrees that recur on many of them go too:
 menus, notices and adverts that no name gives away. A subtree counts once for
 each distinct page that holds it, so copies of one page do not make a template
@@ -11,7 +12,6 @@ since passages may recur in articles.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -40,14 +40,13 @@ CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "aside", "nav", "footer", "header", "form"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
-# Words of class and id names that give such a part away.
+# Classes and ids, as whole names, that make an element such a part unless it holds the article.
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice",
     "notices", "alert", "popup", "modal", "overlay", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "widget",
     "footer", "masthead", "comment", "comments", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup",
     "login", "search", "toolbar", "skip",
 }
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass(frozen=True)
@@ -73,6 +72,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.here = _Node("html", None, False, False)
+        self.named: list[_Node] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         here = self.here
@@ -82,7 +82,7 @@ class _Tree(HTMLParser):
             for name in SIBLINGS[tag]:
                 self._end(name, {"ul", "ol", "dl", "table"} | ({"select"} if tag == "option" else set()))
         here = self.here
-        gone = here.gone or tag in DROPPED or (tag == "header" and not here.kept_as_article) or (tag not in ("html", "body", "article", "main") and _by_name(attrs))
+        gone = here.gone or tag in DROPPED or (tag == "header" and not here.kept_as_article) or (tag not in ("html", "body", "article", "main") and _by_role(attrs))
         if tag in VOID:
             if not here.gone:
                 here.parts.append(" " if tag not in BLOCKS else None)
@@ -90,6 +90,8 @@ class _Tree(HTMLParser):
         node = _Node(tag, here, gone, here.kept_as_article or tag in ("article", "main"))
         if not gone:
             here.parts.append(node)
+            if tag not in ("html", "body", "article", "main") and _named(attrs):
+                self.named.append(node)
         self.here = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -117,23 +119,50 @@ class _Tree(HTMLParser):
             self.here.parts.append(data)
 
 
-def _by_name(attrs: list) -> bool:
+def _by_role(attrs: list) -> bool:
     for key, value in attrs:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "role" and (value or "").strip().lower() in ROLES:
             return True
-        if key in ("class", "id") and value:
-            for word in value.split():
-                if not NAMES.isdisjoint(x.lower() for x in _NAME.findall(word)):
-                    return True
     return False
 
 
+def _named(attrs: list) -> bool:
+    return any(key in ("class", "id") and value and not NAMES.isdisjoint(value.lower().split()) for key, value in attrs)
+
+
+def _drop_named(root: _Node, named: list[_Node]) -> None:
+    """Drop the named elements that hold less than half of the page's text, and no article unless a longer one stands outside such elements."""
+    nodes, names = [root], set(map(id, named))
+    for node in nodes:  # parents before their parts
+        nodes.extend(part for part in node.parts if isinstance(part, _Node))
+    under: dict[int, bool] = {}
+    size: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    outside = 0
+    for node in nodes:
+        under[id(node)] = id(node) in names or (node.parent is not None and under[id(node.parent)])
+        size[id(node)] = sum(len(part.strip()) for part in node.parts if isinstance(part, str))
+        if node.kept_as_article and not under[id(node)]:
+            outside += size[id(node)]
+    for node in reversed(nodes):
+        holds[id(node)] = holds.get(id(node), False) or node.tag in ("article", "main")
+        if node.parent is not None:
+            size[id(node.parent)] += size[id(node)]
+            holds[id(node.parent)] = holds.get(id(node.parent), False) or holds[id(node)]
+    for node in named:
+        if 2 * size[id(node)] < size[id(root)] and (not holds[id(node)] or outside > size[id(node)]):
+            node.parts = []
+            node.gone = True
+
+
 def parse(html: str) -> _Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if tree.named:
+        _drop_named(tree.root, tree.named)
     return tree.root
 
 
@@ -176,7 +205,7 @@ def blocks(root: _Node, templates: frozenset = frozenset()) -> tuple[list[str],
         elif isinstance(part, str):
             open_text.append(part)
             digest.update(" ".join(part.split()).encode("utf-8", "surrogatepass"))
-        else:
+        elif not part.gone:
             if part.tag in BLOCKS:
                 flush()
             stack.append((part, 0, xxhash.xxh64(part.tag), len(texts)))

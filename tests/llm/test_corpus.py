@@ -128,6 +128,18 @@ def test_boxes_on_a_small_share_of_a_host_go(spark):
     assert {r[0] for r in hosts.select(html._host(F.col("url"))).collect()} == {"bare.example.com"}
 
 
+def test_names_do_not_empty_an_article(spark):
+    body = "<p>The whole article stands here and is the longest part of its page.</p>"
+    names = ["content has-sidebar", "no-sidebar", "layout-sidebar-right", "nav-open", "share-enabled", "search-page", "notice-board", "related", "content sidebar"]
+    pages = [f'<body><div class="{n}"><div class="ad">Buy</div>{body}</div><div class="menu">Go home</div></body>' for n in names]
+    pages += [f'<body><div id="{n}"><article>{body}</article></div><div>{"Other text. " * 20}</div></body>' for n in ("related-work", "search")]
+    pages += [f'<main>{body * 3}</main><div id="comments"><article>First!</article></div><div class="related"><p>More</p></div>']
+    got = page_texts(spark, [(i, f"http://n{i}.example.com/", p) for i, p in enumerate(pages)])
+    text = body[3:-4]
+    want = [text] * len(names) + [" ".join([text, *["Other text."] * 20])] * 2 + [" ".join([text] * 3)]
+    assert got == dict(enumerate(want))
+
+
 # -- 3 ------------------------------------------------------------------------
 
 PLAIN = {
