@@ -31,6 +31,8 @@ PATTERNS = {
 }
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Groups of digits joined by single separators, as numbers are written in the base patterns, from the start of a token.
+_RUN = r"(?<!\S)[^\s\p{L}0-9@+(]*+[+(]{0,2}[0-9]++(?:(?:[\x20.-]?\(|\)[\x20.-]?|[\x20.-])[0-9]++(?![\p{L}@_]))++"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 _EMPTY_SPANS = f"cast(array() as {_SPAN})"
 
@@ -42,7 +44,7 @@ class Bootstrap:
     rounds: int = 3
     least_values: int = 3  # distinct strings behind a pattern that is trusted at all
     bar: float = 0.8  # score of an accepted string
-    longest: int = 64  # characters of a string looked at, and of the text before it
+    before: int = 64  # characters of the text before a string that are looked at
 
 
 def _digits(value: Column) -> Column:
@@ -112,29 +114,49 @@ def _shape(value: Column) -> Column:
         F.when(value.rlike(r"^[^@]+@[^@]+$"), 0)
         .when(value.rlike(r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,7}$") & (digits >= 4), 1)
         .when(value.rlike(r"^[0-9 -]+$") & digits.between(12, 22), 2)
-        .when(value.rlike(r"^[+(]?[0-9().+-]+$") & digits.between(7, 15), 3)
+        .when(value.rlike(r"^[+(]{0,2}[0-9\x20().+-]+$") & digits.between(7, 15), 3)
         .cast("int")
     )
 
 
 def strings(rows: DataFrame, settings: Bootstrap, text: str = "text") -> DataFrame:
-    """Add `strings`: identifier-shaped strings that do not touch a base span, and `seeds`: (context, kind, value) of the base ones."""
-    pattern = F.lit(_TOKEN)
-    rows = rows.withColumn("_m", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, pattern, 0)))
-    rows = rows.withColumn("_b", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
+    """Add `strings`: identifier-shaped strings that do not touch a base span, and `seeds`: (context, kind, value) of the base ones.
+
+    A string is a token without white space, or a run of digit groups over
+    single separators. Where a whole run looks like no kind, its longest start
+    of whole groups that does stands for it.
+    """
+    numbers = F.col(text).rlike("[0-9@]")
+    for name, pattern in (("token", _TOKEN), ("run", _RUN)):
+        rows = rows.withColumn(f"_m_{name}", F.when(numbers, F.regexp_extract_all(text, F.lit(pattern), 0)))
+        rows = rows.withColumn(f"_b_{name}", F.when(F.size(f"_m_{name}") > 0, F.split(text, F.lit(pattern), -1)))
 
     def before(part: Column) -> Column:
-        words = F.regexp_extract(F.lower(F.right(part, F.lit(settings.longest))), r"(?:\S+\s+)?\S+\s*$", 0)
+        """The last two words, or one, as far back as a token with a digit."""
+        words = F.regexp_extract(F.lower(F.right(part, F.lit(settings.before))), r"(?:(?<!\S)[^\s0-9@]+\s+)?(?<!\S)[^\s0-9@]+\s*$", 0)
         return F.trim(F.regexp_replace(words, r"\s+", " "))
 
-    def trimmed(s: Column, i: Column) -> Column:
-        lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9@+(]*+", 0))
-        value = F.regexp_replace(F.substring(s["value"], lead + 1, F.length(s["value"])), r"[^\p{L}0-9]{1,8}$", "")
-        start = s["start"] + lead
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before(F.col("_b")[i]).alias("context"))
+    def string(start: Column, value: Column, part: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before(part).alias("context"))
 
-    short = F.filter(F.transform(_places(F.col("_m"), F.col("_b"), F.lit(-1)), trimmed), lambda s: F.length(s["value"]) <= settings.longest)
-    rows = rows.withColumn("_s", F.when(F.size("_m") > 0, short))
+    def lead(value: Column) -> Column:
+        return F.length(F.regexp_extract(value, r"^[^\p{L}0-9@+(]*+", 0))
+
+    def trimmed(s: Column, i: Column) -> Column:
+        value = F.regexp_replace(F.substring(s["value"], lead(s["value"]) + 1, F.length(s["value"])), r"[^\p{L}0-9]{1,8}$", "")
+        return string(s["start"] + lead(s["value"]), value, F.col("_b_token")[i])
+
+    def shaped_start(s: Column, i: Column) -> Column:
+        run = F.substring(s["value"], lead(s["value"]) + 1, F.length(s["value"]))
+        starts = [run, *(F.regexp_extract(run, rf"^(?:[^0-9]{{0,3}}[0-9]){{7,{most}}}(?![0-9])", 0) for most in (22, 15))]
+        value = F.coalesce(*(F.when(_shape(v).isNotNull(), v) for v in starts), run)
+        return string(s["start"] + lead(s["value"]), value, F.col("_b_run")[i])
+
+    places = lambda name: _places(F.col(f"_m_{name}"), F.col(f"_b_{name}"), F.lit(-1))
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,context:string>>)")
+    tokens = F.when(F.size("_m_token") > 0, F.transform(places("token"), trimmed)).otherwise(none)
+    runs = F.when(F.size("_m_run") > 0, F.transform(places("run"), shaped_start)).otherwise(none)
+    rows = rows.withColumn("_s", F.array_distinct(F.concat(tokens, runs)))
     rows = rows.withColumn("_s", F.filter("_s", lambda s: F.length(s["context"]) > 0))
     touches = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     free = F.filter("_s", lambda s: ~touches(s))
@@ -151,7 +173,7 @@ def strings(rows: DataFrame, settings: Bootstrap, text: str = "text") -> DataFra
         lambda s: s["span"].isNotNull(),
     )
     seeds = F.transform(seeds, lambda s: F.struct(s["context"].alias("context"), s["span"]["kind"].alias("kind"), s["span"]["value"].alias("value")))
-    return rows.withColumn("strings", shaped).withColumn("seeds", seeds).drop("_m", "_b", "_s")
+    return rows.withColumn("strings", shaped).withColumn("seeds", seeds).drop("_s", *(f"_{x}_{name}" for name in ("token", "run") for x in "mb"))
 
 
 def discover(found: DataFrame, settings: Bootstrap) -> DataFrame:
@@ -197,11 +219,25 @@ def _with_discovered(found: DataFrame, settings: Bootstrap) -> DataFrame:
     more = asked.join(accepted, (F.col("s.kind") == F.col("kind")) & (F.col("s.value") == F.col("value"))).groupBy("key").agg(
         F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))).alias("more")
     )
+    more = more.withColumn("more", _outermost(F.col("more")))
     joined = found.join(more, F.struct("doc_id", "text_hash") == F.col("key"), "left")
     spans = F.sort_array(F.concat("base", F.coalesce("more", F.expr(_EMPTY_SPANS))))
     return joined.select("doc_id", "text_hash", "base", spans.alias("spans"))
 
 
+def _outermost(spans: Column) -> Column:
+    """The spans without those that lie within another one: a group of digits may be known by itself."""
+    longest_first = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    start = F.struct(F.lit(-1).cast("bigint").alias("at"), F.expr(_EMPTY_SPANS).alias("spans"))
+
+    def step(held: Column, s: Column) -> Column:
+        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["back"]).alias("end"), s["value"].alias("value"))
+        spans = F.when(-s["back"] <= held["at"], held["spans"]).otherwise(F.concat(held["spans"], F.array(span)))
+        return F.struct(F.greatest(held["at"], -s["back"]).alias("at"), spans.alias("spans"))
+
+    return F.aggregate(longest_first, start, step, lambda held: held["spans"])
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of all spans, joined by commas."""
     names = F.array(*map(F.lit, KINDS))

@@ -201,6 +201,19 @@ def test_personal_data(spark):
     assert pii.report(table.limit(0)).count() == 0
 
 
+def test_spaced_numbers_are_discovered(spark):
+    cards = ["4111 1111 1111 1111", "5555 5555 5555 4444", "3782 822463 10005", "6011 1111 1111 1117", "5105 1051 0510 5100", "4012 8888 8888 1881"]
+    rows = [(i, f"pay with card {c} now") for i, c in enumerate(cards)]
+    rows += [(20 + i, f"please call me at +1 (201) 555-0{i}00 today") for i in range(12)]
+    long = "a" * 70 + "@home"
+    rows += [(40 + i, f"you should write to someone{i}@mail.example.com today") for i in range(6)]
+    odd = {60: ("pay with card ", "4111 1111 1111 1112", " now", "card"), 61: ("he would call me at ", "(555) 123-4567", " soon", "phone"), 62: ("call me at ", "020 7946 0958", "", "phone"),
+           63: ("call me at ", "(555) 123-4569 2000", " 3000 4000", "phone"), 64: ("write to ", long, " now", "email")}
+    rows += [(i, a + b + c) for i, (a, b, c, _) in odd.items()] + [(70, "the years 2019 2020 2021 and 1 2 3 4 5 6 7 8")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_discovered}
+    assert got == {i: f"{kind}:{len(a)}:{len(a + b)}" for i, (a, b, _, kind) in odd.items()}
+
+
 def test_masking_keeps_all_else(spark):
     rows = [(1, "Write a@b.cc or +1 201 555 0100.", "k"), (2, None, "k"), (3, "clean", None), (None, "a@b.cc", "k"), (1, "clean", "k")]
     table = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_chars", F.length("text").cast("long"))
