@@ -1,9 +1,9 @@
 """I-Match fingerprints over a lexicon of terms from a band of inverse document frequencies, randomised many times.
 
-Terms are words hashed into a fixed number of buckets, so that the statistics
-of any corpus fit one table of known size. A bucket's document frequency counts
-all documents; buckets inside the band make the lexicon, one bitmap of fixed
-size. The lexicon is thinned again and again by halves, and each thinned lexicon
+Terms are hashes of words, long enough to tell them apart, and a term's document
+frequency counts all documents. The terms inside the band make the lexicon, a
+Bloom filter sized by their counted number, so that at every size of corpus a
+term outside the band passes in under 0.3 % of cases, and one inside always. The lexicon is thinned again and again by halves, and each thinned lexicon
 is cut at random into subsets. A document's terms in a subset, distinct and
 sorted, are hashed to one part of its fingerprint. A text uses the three
 thinnings in which its subsets hold about one term or fewer, so that long and
@@ -15,15 +15,20 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keycast.llm.shared import stored
 
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 1 << 20  # a power of two
+    term_bits: int = 50  # of a term's hash
+    bits_per_term: int = 16  # of the lexicon's filter, at least
+    probes: int = 4
     rarest: int = 2  # documents of a term, at least
     commonest: float = 0.05  # share of all documents, at most
     subsets: int = 64  # of each thinned lexicon
@@ -32,16 +37,22 @@ class Settings:
 
 
 def terms(text: Column, settings: Settings) -> Column:
-    """Distinct term buckets of a text: lower-case runs of letters and digits."""
+    """Distinct terms of a text: lower-case runs of letters and digits."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    buckets = F.transform(words, lambda w: F.when(w == "", None).otherwise(F.xxhash64(w).bitwiseAND(F.lit(settings.buckets - 1)).cast("int")))
-    return F.array_compact(F.array_distinct(buckets))
+    hashes = F.transform(words, lambda w: F.when(w == "", None).otherwise(F.xxhash64(w).bitwiseAND(F.lit((1 << settings.term_bits) - 1))))
+    return F.array_compact(F.array_distinct(hashes))
 
 
-def lexicon(rows: DataFrame, settings: Settings, text: str = "text") -> Column:
-    """The band as a bitmap of longs: `buckets` / 8 bytes whatever the corpus.
+def _probe(term: Column, k: int, bits: int) -> Column:
+    """The k-th place of a term in a filter of `bits`, a power of two."""
+    mask = F.lit(bits - 1).cast("long")
+    return (F.xxhash64(term).bitwiseAND(mask) + term.bitwiseAND(mask) * k).bitwiseAND(mask)
 
-    Counts are summed within tasks first and have at most `buckets` rows.
+
+def lexicon(rows: DataFrame, settings: Settings, text: str = "text") -> tuple[Column, int]:
+    """The band as a filter: a bitmap of longs, and its number of bits.
+
+    Counts are summed within tasks first.
     """
     total = rows.count()
     each = rows.select(F.explode(terms(F.col(text), settings)).alias("term"))
@@ -49,21 +60,28 @@ def lexicon(rows: DataFrame, settings: Settings, text: str = "text") -> Column:
     # In a corpus of few documents the share alone would leave no term.
     most = max(10, int(settings.commonest * total))
     band = count.where(F.col("documents").between(min(settings.rarest, max(1, total)), most))
-    words = band.groupBy(F.shiftright("term", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, term % 64)")).alias("bits"))
-    all_words = rows.sparkSession.range(settings.buckets // 64).select(F.col("id").cast("int").alias("word"))
+    band = stored(band.select("term"), "lexicon")
+    size = 1 << max(10, math.ceil(math.log2(max(1, settings.bits_per_term * band.count()))))
+    places = band.select(F.explode(F.array(*(_probe(F.col("term"), k, size) for k in range(settings.probes)))).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    all_words = rows.sparkSession.range(size // 64).select(F.col("id").alias("word"))
     filled = all_words.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     bits = filled.agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bitmap")).first()["bitmap"]
     # A constant the planner folds once; higher-order functions take no subqueries.
-    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), size
 
 
-def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column, settings: Settings) -> DataFrame:
+def with_fingerprint(rows: DataFrame, text: str, name: str, lexicon: tuple[Column, int], settings: Settings) -> DataFrame:
     """Add the parts of a text's fingerprint, sorted by subset: one hash per subset that holds terms of the text.
 
     A text without terms of the lexicon has its own hash as its only part, an empty text none.
     """
+    bitmap, size = lexicon
+
     def known(t: Column) -> Column:
-        return F.getbit(F.element_at(bitmap, F.shiftright(t, 6) + 1), t % 64) == 1
+        places = [_probe(t, k, size) for k in range(settings.probes)]
+        found = [F.getbit(F.element_at(bitmap, (F.shiftright(p, 6) + 1).cast("int")), (p % 64).cast("int")) == 1 for p in places]
+        return reduce(and_, found)
 
     # Steps are columns of their own, each worked out once per row.
     rows = rows.withColumn("_found", F.filter(terms(F.col(text), settings), known))
@@ -78,14 +96,14 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column, sett
         """(level, subset, term) for each level that the term reaches, as one number that sorts by all three."""
         subset = F.pmod(F.shiftright(x["h"], 40), F.lit(settings.subsets))
         reached = [F.pmod(x["h"], F.col("_step") * 2**k) == 0 for k in range(settings.levels)]
-        keys = [((F.col("_first") + k).cast("long") * settings.subsets + subset) * settings.buckets + x["t"] for k in range(settings.levels)]
+        keys = [((F.col("_first") + k).cast("long") * settings.subsets + subset) * (1 << settings.term_bits) + x["t"] for k in range(settings.levels)]
         return F.array_compact(F.array(*(F.when(r, k) for r, k in zip(reached, keys, strict=True))))
 
     rows = rows.withColumn("_keys", F.sort_array(F.flatten(F.transform(thin, places))))
     start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("hash"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
     def step(held: Column, key: Column) -> Column:
-        slot = F.floor(key / settings.buckets)
+        slot = F.shiftright(key, settings.term_bits)
         same = slot == held["slot"]
         return F.struct(
             slot.alias("slot"),
@@ -147,14 +165,14 @@ def compared(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     text is empty; null ids come first; repeated rows are rows of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bitmap = lexicon(rows, settings)
+    terms_kept = lexicon(rows, settings)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    own = with_fingerprint(rows, "text", "own", bitmap, settings)
+    own = with_fingerprint(rows, "text", "own", terms_kept, settings)
     both = with_next(own, ["text", "own"]).select(
         "doc_id", n.cast("long").alias("n_chars"), "own", "next_own",
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
-    parts = with_fingerprint(both, "edited", "edited_parts", bitmap, settings).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    parts = with_fingerprint(both, "edited", "edited_parts", terms_kept, settings).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return parts.select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_parts")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited_parts")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
