@@ -416,20 +416,6 @@ def test_fingerprints(spark, docs, nothing):
     assert imatch.compared(nothing).count() == 0
 
 
-def test_words_of_one_document_stay_out_of_a_large_lexicon(spark):
-    words = lambda kind, i: " ".join(f"{kind}{i}x{k}" for k in range(2000))
-    rows = [(i, words("once", i)) for i in range(300)] + [(1000 + i, words("twice", i // 2)) for i in range(40)]
-    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    settings = imatch.Settings()
-    bitmap, size = imatch.lexicon(table, settings)
-    held = imatch.with_fingerprint(table, "text", "parts", (bitmap, size), settings)
-    probe = lambda k: F.getbit(F.element_at(bitmap, (F.shiftright(imatch._probe(F.col("t"), k, size), 6) + 1).cast("int")), (imatch._probe(F.col("t"), k, size) % 64).cast("int"))
-    each = table.select("doc_id", F.explode(imatch.terms(F.col("text"), settings)).alias("t")).select((F.col("doc_id") >= 1000).alias("twice"), sum(probe(k) for k in range(settings.probes)).alias("n"))
-    found = {r.twice: r.share for r in each.groupBy("twice").agg(F.avg((F.col("n") == settings.probes).cast("int")).alias("share")).collect()}
-    assert found[True] == 1 and found[False] < 0.005
-    assert held.count() == len(rows)
-
-
 # -- 8 ------------------------------------------------------------------------
 
 
