@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from keycast.llm import oracles
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -94,3 +96,10 @@ def op10_ngram_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from keycast.llm.toxicity import toxicity
 
     return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query("op11_rare_token_licences", oracles.licence_sql())
+def op11_rare_token_licences(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.licences import licence_scan
+
+    return licence_scan(_table(spark, sf, "documents")).drop("found")
