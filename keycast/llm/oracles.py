@@ -53,3 +53,35 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
     coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(share, 0)::DOUBLE AS score
 FROM docs LEFT JOIN bases USING (rid) LEFT JOIN labelled USING (rid)
 """
+
+
+# crc32 of a string, bit by bit; 3988292384 is the reversed polynomial of the standard.
+_CRC32 = """xor(4294967295, list_reduce(string_to_array({text}, ''), lambda crc, c:
+    list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, ascii(c)::BIGINT)), 4294967295::BIGINT))"""
+
+TRIE_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns, {_CRC32.format(text="conv_id::VARCHAR")} % 6 AS share FROM turns GROUP BY conv_id
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(list_slice(b.turns, 1, o.share), []), list_slice(o.turns, o.share + 1, len(o.turns))) AS turns
+    FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), starts AS (
+    SELECT conv_id, list_slice(turns, 1, depth) AS prefix, depth, depth = len(turns) AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends FROM starts GROUP BY prefix, depth
+), linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = list_slice(n.prefix, 1, n.depth - 1)
+), children AS (
+    SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), valued AS (
+    SELECT linked.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(prefix[depth].text) ELSE 0 END AS saved FROM linked LEFT JOIN children USING (conv_id, depth)
+), above AS (
+    SELECT list_slice(prefix, 1, k) AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(depth + 1)) AS k FROM valued) GROUP BY 1
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM valued JOIN above USING (prefix)
+"""

@@ -103,3 +103,10 @@ def op11_rare_token_licences(spark: SparkSession, sf: str) -> DataFrame:
     from keycast.llm.licences import licence_scan
 
     return licence_scan(_table(spark, sf, "documents")).drop("found")
+
+
+@query("op12_centroid_prefix_trie", oracles.TRIE_SQL)
+def op12_centroid_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.turn_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf, "conversations"))
