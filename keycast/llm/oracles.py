@@ -85,3 +85,36 @@ SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_con
     saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM valued JOIN above USING (prefix)
 """
+
+
+def audit_sql(filters: str = "ABCDE") -> str:
+    """Flags per document, counts per order and step."""
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(filters))
+    fails = " ".join(f"WHEN '{c}' THEN {c.lower()}" for c in filters)
+    return f"""
+WITH words AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), least AS (SELECT text, min(doc_id) AS least FROM words GROUP BY text),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e
+    FROM words JOIN least USING (text) LEFT JOIN known USING (doc_id)
+), orders(filter_order) AS (VALUES {orders}),
+states AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+steps AS (
+    SELECT part, filter_order, step, n, good, toxic, substr(filter_order, step, 1) AS letter, a::INT + b::INT + c::INT + d::INT + e::INT AS failed,
+        CASE substr(filter_order, step, 1) {fails} END AS fails,
+        list_bool_or(list_transform(range(1, step), lambda k: CASE substr(filter_order, k, 1) {fails} END)) AS earlier
+    FROM states, orders, (SELECT unnest(range(1, {len(filters) + 1})) AS step)
+), report AS (
+    SELECT part, filter_order, step, letter, sum(n) FILTER (WHERE NOT coalesce(earlier, false) AND NOT fails) AS kept, sum(n) FILTER (WHERE NOT coalesce(earlier, false) AND fails) AS removed,
+        sum(n) FILTER (WHERE earlier AND fails) AS redundant, sum(n) FILTER (WHERE fails AND failed = 1) AS unique_fails,
+        sum(good) FILTER (WHERE NOT coalesce(earlier, false) AND fails) AS good_lost, sum(toxic) FILTER (WHERE NOT coalesce(earlier, false) AND fails) AS toxic_lost
+    FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+    coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM report
+"""

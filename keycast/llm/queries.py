@@ -110,3 +110,10 @@ def op12_centroid_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     from keycast.llm.turn_trie import prefix_trie
 
     return prefix_trie(_table(spark, sf, "conversations"))
+
+
+@query("op13_trie_filter_audit", oracles.audit_sql())
+def op13_trie_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    from keycast.llm.filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
