@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keycast.llm.shared import ship, stored
@@ -36,10 +36,14 @@ class Settings:
     distinct_percent: int = 50
     capitals_percent: int = 3
     signs: str = "#$%&*|"
-    range_bytes: int = 64 << 20  # of text in one range, and in one task's trie
+    range_share: float = 1e-5  # of all text in one range, within the next two bounds
+    range_bytes: int = 1 << 20
+    most_range_bytes: int = 64 << 20
+    task_bytes: int = 32 << 20  # of text for one task, on the average: tasks grow in number with the table
+    trie_bytes: int = 16 << 20  # a trie is walked and dropped at the end of the range in which it grows beyond
     first_prefix: int = 2  # bytes; a heavy prefix grows by `growth`
     growth: int = 4
-    broadcast_rows: int = 1_000_000  # of eight bytes: heavy prefixes beyond this are joined by a shuffle
+    broadcast_rows: int = 2_000_000  # of eight bytes: heavy prefixes beyond this are joined by a shuffle
 
 
 # -- filters of one text --------------------------------------------------------
@@ -180,8 +184,8 @@ def _prefix_of(text: Column, length: int) -> Column:
 def heavy_prefixes(texts: DataFrame, settings: Settings) -> tuple[list[tuple[int, DataFrame, bool]], int]:
     """For each prefix length that is not enough: the hashes of its heavy prefixes, and whether they may be broadcast; and the bytes of all texts.
 
-    Texts that are all equal cannot be cut and need not be. There are at most
-    total / range_bytes heavy prefixes of a length.
+    Texts that are all equal cannot be cut and need not be. A length has at most
+    as many heavy prefixes as ranges of the bound fit into the table.
     """
     levels, length, rest, total = [], settings.first_prefix, texts.select(F.col("text").cast("binary").alias("text")), None
     while True:
@@ -191,7 +195,8 @@ def heavy_prefixes(texts: DataFrame, settings: Settings) -> tuple[list[tuple[int
         sized = stored(sized, "prefixes")
         if total is None:
             total = sized.agg(F.sum("bytes")).first()[0] or 0
-        heavy = sized.where((F.col("bytes") > settings.range_bytes) & (F.col("low") < F.col("high"))).select("prefix")
+            bound = min(settings.most_range_bytes, max(settings.range_bytes, int(settings.range_share * total)))
+        heavy = sized.where((F.col("bytes") > bound) & (F.col("low") < F.col("high"))).select("prefix")
         count = heavy.count()
         if not count:
             return levels, total
@@ -225,11 +230,11 @@ def masks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     levels, total = heavy_prefixes(rows, settings)
-    limit, schema = settings.range_bytes, "doc_id long, part string, mask int, text binary"
+    limit, schema = settings.trie_bytes, "doc_id long, part string, mask int, text binary"
     marked = rows.select("doc_id", "part", own_mask(F.col("text"), settings).alias("mask"), F.col("text").cast("binary").alias("text"))
     first = marked.mapInArrow(lambda batches: _settled(batches, limit, False), schema)
     ranged = with_range(first, levels, settings)
-    ranges = max(1, math.ceil(total / limit), docs.sparkSession.sparkContext.defaultParallelism)
+    ranges = max(1, math.ceil(total / settings.task_bytes), docs.sparkSession.sparkContext.defaultParallelism)
     dealt = ranged.repartition(ranges, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda batches: _settled(batches, limit, True), schema).drop("text")
 
@@ -256,9 +261,8 @@ def audited(masked: DataFrame, labels: DataFrame) -> DataFrame:
         of(~earlier & ~fails).alias("kept"), of(~earlier & fails).alias("removed"), of(earlier & fails).alias("redundant"),
         of(F.col("mask") == F.col("bit")).alias("unique_fails"), of(~earlier & fails, "good").alias("good_lost"), of(~earlier & fails, "toxic").alias("toxic_lost"),
     )
-    worth = report.groupBy("part", "letter").agg(F.sum("removed").cast("long").alias("shapley"))
-    columns = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
-    return report.join(worth, ["part", "letter"]).select(*columns)
+    # A filter has one row per order here.
+    return report.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "letter"))).drop("letter")
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

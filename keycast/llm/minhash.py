@@ -126,7 +126,7 @@ def shingled(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_c
             for low, high in bundles(texts, 1_000_000):
                 part = signatures(texts[low:high], settings.words, settings.screen)[["set_id", "n_shingles", "signature"]]
                 for name in ("text_hash", "doc_id"):
-                    part.insert(0, name, batch[name].iloc[low:high].astype("Int64").to_numpy())
+                    part.insert(0, name, batch[name].iloc[low:high].astype("Int64").array)
                 yield part
 
     text = F.col(text_col).cast("string")

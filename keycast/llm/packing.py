@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,21 +112,22 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 30_000) -> D
     held = kept(pieces.select(*columns))
     groups = max(1, math.ceil(held.count() / group_rows))
 
-    def place(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["_row"], ignore_index=True)
+    def place(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("_row")
         sequence, offset = np.zeros(len(batch), dtype="int64"), np.zeros(len(batch), dtype="int64")
-        lengths, base = batch["length"].tolist(), int(batch["_group"].iloc[0]) << 32
+        lengths, base = batch["length"].to_pylist(), batch["_group"][0].as_py() << 32
         for number, members in enumerate(best_two_fit(lengths, capacity)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = base + number, at
                 at += lengths[i]
-        return batch[columns].assign(sequence_id=sequence, offset=offset)
+        # Arrow throughout: beside a null id pandas would turn ids into floats.
+        return batch.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     # The rows come from files that no longer change, so a row keeps its number when a task runs again.
     numbered = held.withColumn("_row", F.monotonically_increasing_id())
     dealt = numbered.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("_group").applyInPandas(place, PLACES)
+    return dealt.groupBy("_group").applyInArrow(place, PLACES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

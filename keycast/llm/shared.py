@@ -6,9 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -55,10 +60,40 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(archive)
 
 
-def in_python(df: DataFrame, function, schema) -> DataFrame:
-    """`mapInPandas` with this package at hand in the workers."""
+def exact_frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """The batch as pandas, whole numbers staying whole numbers: beside a null they would turn into floats and lose digits."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        of = column.type
+        if pa.types.is_integer(of) and column.null_count:
+            out[name] = column.to_pandas(types_mapper={of: pd.Int64Dtype()}.get)
+        elif pa.types.is_list(of) and pa.types.is_integer(of.value_type) and column.flatten().null_count:
+            out[name] = pd.Series(column.to_pylist(), dtype=object)
+        else:
+            out[name] = column.to_pandas()
+    return pd.DataFrame(out)
+
+
+def exact_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    """The columns of `schema` from a pandas frame."""
+    return pa.RecordBatch.from_arrays([pa.array(frame[f.name], f.type, from_pandas=True) for f in schema], schema=schema)
+
+
+def in_python(df: DataFrame, function, schema: str) -> DataFrame:
+    """Like `mapInPandas`, with this package at hand in the workers and whole numbers kept exact beside nulls.
+
+    What a task has taken for its work is given back at its end, since Spark keeps the worker for later tasks.
+    """
     ship(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in function(exact_frame(batch) for batch in batches):
+            if len(frame):
+                yield exact_batch(frame, arrow)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def bundles(texts: list[str], limit: int = 2_000_000):

@@ -128,9 +128,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 ids = decode_block(row.n_tokens, row.ranks, row.control, row.data).astype("<u4")
                 at, raw, rows = 0, ids.tobytes(), []
                 for doc, n in zip(row.doc_ids, row.lengths, strict=True):
-                    rows.append((None if doc is None or doc != doc else int(doc), row.base + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])))
+                    rows.append((row.base + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])))
                     at += n
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                out = pd.DataFrame(rows, columns=["start", "n_tokens", "ids_crc32"])
+                out["doc_id"] = pd.array(list(row.doc_ids), dtype="Int64")
                 if with_ids:
                     out["ids"] = np.split(ids.astype(np.int64), np.cumsum(row.lengths)[:-1])
                 yield out
