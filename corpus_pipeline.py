@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keycast.llm import minhash, mixing, packing, pii, toxicity
-from keycast.llm.shared import shared_folder
+from keycast.llm.shared import free, shared_folder
 
 THRESHOLD = 0.7
 
@@ -19,8 +19,9 @@ THRESHOLD = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold, learnt from the labels that are not held out."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    [name] = free(docs, "_toxicity")
+    scored = toxicity.score(docs, model, name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keycast.llm.shared import bundles, in_python, kept, mix, running_hash, span_hash, stored
+from keycast.llm.shared import bundles, free, in_python, kept, mix, running_hash, span_hash, stored
 
 
 @dataclass(frozen=True)
@@ -305,20 +305,21 @@ def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) ->
     The least id of the component stays, a null one only where none has an id. Where
     rows repeat that id, the smallest hash of their texts decides, equal rows leave one.
     """
+    key, again = free(docs, "_key", "_again")
     found = near_duplicates(docs, settings)
     found = stored(found.groupBy("doc_id", "text_hash", "component_key", "kept").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles")), "verdicts")
     rest = found.where("kept and n_shingles > 0")
     # What is kept of one component has one id, or none.
     chosen = rest.groupBy("component_key", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("copies").alias("copies"))
-    winners = chosen.select(F.struct("doc_id", "text_hash").alias("_key"), (F.col("copies") > 1).alias("_again"))
-    empty = found.where("n_shingles = 0").select(F.struct("doc_id", "text_hash").alias("_key"), F.lit(False).alias("_again")).distinct()
+    winners = chosen.select(F.struct("doc_id", "text_hash").alias(key), (F.col("copies") > 1).alias(again))
+    empty = found.where("n_shingles = 0").select(F.struct("doc_id", "text_hash").alias(key), F.lit(False).alias(again)).distinct()
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    joined = docs.join(winners.union(empty), own == F.col("_key"))
+    joined = docs.join(winners.union(empty), own == F.col(key))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if winners.where("_again").isEmpty():
+    if winners.where(F.col(again)).isEmpty():
         return joined.select(*columns)
-    once = joined.where("_again").dropDuplicates(["_key"])
-    return joined.where("not _again").select(*columns).union(once.select(*columns))
+    once = joined.where(F.col(again)).dropDuplicates([key])
+    return joined.where(~F.col(again)).select(*columns).union(once.select(*columns))
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keycast.llm.shared import kept, stored
+from keycast.llm.shared import free, kept, stored
 
 
 @dataclass(frozen=True)
@@ -143,18 +143,19 @@ def mixed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     All columns stay; n_chars is set anew. Rows without words have nothing to
     give and stay out; rows that repeat id, text and source share their part of the mix evenly.
     """
+    key_name, size, taken, copy, new_text = free(docs, "_key", "_size", "_taken", "_copy", "_text")
     part = mix(docs, settings).where("taken > 0")
-    part = part.groupBy("doc_id", "source", "text_hash").agg(F.first("size").alias("_size"), F.avg("taken").cast("long").alias("_taken"))
+    part = part.groupBy("doc_id", "source", "text_hash").agg(F.first("size").alias(size), F.avg("taken").cast("long").alias(taken))
     key = F.struct("doc_id", "source", "text_hash")
-    part = part.select(key.alias("_key"), "_size", "_taken")
+    part = part.select(key.alias(key_name), size, taken)
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text).alias("text_hash"))
-    joined = docs.join(part, own == F.col("_key"))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))
-    rows = joined.withColumn("_copy", F.explode(copies))
-    words = F.least("_size", F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
+    joined = docs.join(part, own == F.col(key_name))
+    copies = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)))
+    rows = joined.withColumn(copy, F.explode(copies))
+    words = F.least(size, F.col(taken) - (F.col(copy) - 1) * F.col(size))
     # The words of a text with the space before each; the first `words` of them make the cut text.
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0), F.lit(1), words.cast("int")), "")
-    new = F.when(words < F.col("_size"), cut).otherwise(F.col("text"))
-    columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return rows.withColumn("_text", new).select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    new = F.when(words < F.col(size), cut).otherwise(F.col("text"))
+    columns = {"text": F.col(new_text), "n_chars": F.length(new_text).cast("long")}
+    return rows.withColumn(new_text, new).select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keycast.llm.shared import kept, stored
+from keycast.llm.shared import free, kept, stored
 
 # Kinds in the order that spans with one start are listed in. The patterns find what the plain ones of the
 # contract find, written so that no input makes them go back over what they have read.
@@ -259,12 +259,13 @@ def masked(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
 
     All other columns and rows stay; overlapping spans become one mark, of the first of them; null texts stay null.
     """
+    key_name, spans_name, text_name = free(docs, "_key", "_spans", "_text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = stored(strings(base_spans(rows.withColumn("text_hash", F.xxhash64("text"))), settings).drop("text"), "personal")
     spans = _with_discovered(found, settings).where(F.size("spans") > 0)
-    spans = spans.select(F.struct("doc_id", "text_hash").alias("_key"), "spans").dropDuplicates(["_key"]).withColumnRenamed("spans", "_spans")
+    spans = spans.select(F.struct("doc_id", "text_hash").alias(key_name), F.col("spans").alias(spans_name)).dropDuplicates([key_name])
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
-    joined = docs.join(spans, key == F.col("_key"), "left")
+    joined = docs.join(spans, key == F.col(key_name), "left")
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -277,7 +278,7 @@ def masked(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
         )
 
     rest = lambda held: F.concat(held["out"], F.substring(F.col("text"), (held["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", start, step, rest)).otherwise(F.col("text"))
-    out = joined.withColumn("_text", text)
-    columns = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
+    text = F.when(F.col(spans_name).isNotNull(), F.aggregate(spans_name, start, step, rest)).otherwise(F.col("text"))
+    out = joined.withColumn(text_name, text)
+    columns = {"text": F.col(text_name), "n_chars": F.coalesce(F.length(text_name), F.lit(0)).cast("long")}
     return out.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

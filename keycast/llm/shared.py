@@ -96,6 +96,16 @@ def in_python(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def bundles(texts: list[str], limit: int = 2_000_000):
     """Slices of `texts` of about `limit` characters, so that arrays built from them stay bounded."""
     start, size = 0, 0

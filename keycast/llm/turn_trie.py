@@ -127,25 +127,24 @@ def trie(conversations: DataFrame, settings: Settings = Settings()) -> tuple[Dat
     found = stored(found, "nodes")
     parent = found.select((F.col("depth") + 1).alias("depth"), F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("node").alias("above"))
     keyed = found.withColumn("p1", F.col("x1").bitwiseXOR(F.col("s1"))).withColumn("p2", F.col("x2").bitwiseXOR(F.col("s2")))
-    root = convs.agg(F.min("conv_id").alias("root"), F.count(F.lit(1)).alias("n_convs"), F.sum(F.col("turns") + 1).alias("weight")).where("root is not null")
+    # The root holds everyone: three numbers.
+    root, members, weight = convs.agg(F.min("conv_id"), F.count(F.lit(1)), F.sum(F.col("turns") + 1)).first()
+    number = lambda x: F.lit(x).cast("long")
     known = keyed.where("depth > 1").join(parent, ["depth", "p1", "p2"])
-    # The parents of depth 1 are the root: one row, joined as a constant.
-    top = keyed.where("depth = 1").join(F.broadcast(root.select(F.lit(1).cast("long").alias("depth"), F.col("root").alias("above"))), "depth")
+    top = keyed.where("depth = 1").withColumn("above", number(root))
     columns = ("node", "depth", "above", "n_convs", "weight", "chars", "x1", "x2")
     linked = stored(known.select(*columns).union(top.select(*columns)), "linked")
     nodes = linked.select(F.col("node").alias("conv_id"), "depth", F.col("above").alias("parent_conv_id"), "n_convs", "weight", "chars")
-    nothing = F.lit(None).cast("long")
-    whole = root.select(F.col("root").alias("conv_id"), F.lit(0).cast("long").alias("depth"), nothing.alias("parent_conv_id"), "n_convs", "weight", F.lit(0).cast("long").alias("chars"))
-    nodes = nodes.union(whole)
+    whole = {"conv_id": root, "depth": 0, "parent_conv_id": None, "n_convs": members, "weight": weight, "chars": 0}
+    nodes = nodes.union(conversations.sparkSession.range(1 if members else 0).select(*(number(v).alias(k) for k, v in whole.items())))
 
     placed = turns.select("conv_id", "depth", "turns", "x1", "x2").join(linked.select("depth", "x1", "x2", "node", "above"), ["depth", "x1", "x2"])
     placed = stored(placed.select("conv_id", "depth", "turns", "node", F.col("above").alias("up")), "paths")
     # A conversation that is not the smallest of its own last node is the smallest of none.
     leading = placed.where("depth = turns and node = conv_id").select("conv_id")
     paths = placed.join(leading, "conv_id").select("conv_id", "depth", "node", "up")
-    empty = convs.where("turns = 0").join(F.broadcast(root.select(F.lit(0).cast("long").alias("turns"), "root")), "turns")
     ends = placed.where("depth = turns").select(F.col("node").alias("conv_id"), "depth", F.col("conv_id").alias("member"))
-    ends = ends.union(empty.select(F.col("root").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.col("conv_id").alias("member")))
+    ends = ends.union(convs.where("turns = 0").select(number(root).alias("conv_id"), number(0).alias("depth"), F.col("conv_id").alias("member")))
     return nodes, paths, ends
 
 
@@ -241,9 +240,10 @@ def _finish(parts: DataFrame, names: list[str], settings: Settings) -> DataFrame
 
 def rolled_up(nodes: DataFrame, paths: DataFrame, names: list[str], settings: Settings = Settings()) -> DataFrame:
     """conv_id, depth and the totals over the node's subtree of the columns `names` (long, not null)."""
-    key = lambda conv, depth: F.struct(F.col(conv).alias("conv_id"), F.col(depth).alias("depth"))
-    top = F.broadcast(nodes.where("depth = 0").select(F.lit(True).alias("all"), key("conv_id", "depth").alias("top")))
-    open_nodes = nodes.withColumn("all", F.lit(True)).join(top, "all").select("conv_id", "depth", "parent_conv_id", "top", "weight", *names)
+    # At first there is one component, whose top is the root; its id is the smallest of all.
+    root = nodes.agg(F.min("conv_id")).first()[0]
+    whole = F.struct(F.lit(root).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"))
+    open_nodes = nodes.select("conv_id", "depth", "parent_conv_id", whole.alias("top"), "weight", *names)
     credits = []
     while True:
         sizes = stored(open_nodes.groupBy("top").agg(F.count(F.lit(1)).alias("size"), F.max("weight").alias("total")), "sizes")

@@ -36,3 +36,17 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == Counter(
         tuple(r)[:5] for r in after
     )
+
+
+def test_stages_stand_any_column_names_and_an_empty_table(spark, tmp_path):
+    clashing = ["_toxicity", "_key", "_again", "_spans", "_text", "_size", "_taken", "_copy"]
+    docs = spark.createDataFrame([(*r, *range(8)) for r in corpus()[:40]], DOCS + "".join(f", {c} int" for c in clashing))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(27, 1), (30, 0), (33, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == docs.columns and {tuple(r)[-8:] for r in after.collect()} == {tuple(range(8))}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
