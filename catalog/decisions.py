@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.fixtures import CLOSED_FORM, SERIES, SUPPLIER_ROLES, once, supplier_months, supplier_run, supplier_series, table, with_
 from catalog.modelling import EVALUATION_CHAIN, long, r_, rounded
-from keycast.config import Drift, Roles
+from keycast.config import Drift, Importance, Roles
 from keycast.functions import samples as S
 from keycast.functions.skew import stable
 from keycast.operators import clean, drift, features, importance, ranking, selection
@@ -467,5 +467,58 @@ def _(spark, sf):
 
 @query("importance_permutation")
 def _(spark, sf):
-    rows = full_matrix(spark, sf)
-    return trees.permutation_importance(rows, trees.estimator("random_forest").fit(trees.assembled(rows)))
+    records = trees.importance_records(full_matrix(spark, sf), "random_forest", Importance(holdout=True))
+    return records.drop("significant_changes")
+
+
+# -- attribution of one pooled model to keys: a fixed linear model, so that SQL can follow it --------
+
+_LINEAR = {"lag_1": 0.3, "lag_2": -0.5, "lag_12": 0.15, "rolling_mean_6": -0.2, "month": 40.0}
+
+
+def _mixed(first: str) -> str:
+    """The whole-number hash of `samples.draw` as nested SQL over its starting value."""
+    h = f"(({first}) & 4294967295)"
+    h = f"((xor({h}, {h} >> 15) * 739982445) & 4294967295)"
+    h = f"(SELECT (xor(x, x >> 12) * 695872825) & 4294967295 FROM (SELECT {h} AS x))"
+    return f"(SELECT xor(x, x >> 15) FROM (SELECT {h} AS x))"
+
+
+_CHANGE = " + ".join(f"{w!r} * {f}" for f, w in _LINEAR.items())
+_GAINS = f"""located AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY t) - 1 AS p, count(*) OVER (PARTITION BY group_id) AS c, {_CHANGE} AS change FROM matrix),
+hashed AS (SELECT *, {_mixed("42 * 7919 + (p + 1) * 104729 + 8 * 1299709 + 42 * 15485863")} % 2000000000 AS h FROM located),
+turned AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY h, p) - 1 AS place FROM hashed),
+gained AS (""" + " UNION ALL ".join(
+    f"SELECT a.group_id, a.p, a.c, '{f}' AS feature, abs(a.change + {_LINEAR.get(f, 0.0)!r} * (b.{f} - a.{f}) - a.label) - abs(a.change - a.label) AS gain FROM turned a JOIN turned b ON b.group_id = a.group_id AND b.place = a.p" for f in NAMES) + f"""),
+drawn AS (SELECT group_id, r, {_mixed("r * 7919 + (p + 1) * 104729 + 7 * 1299709 + 42 * 15485863")} % c AS p, count(*) AS times FROM located, range(3) x(r) GROUP BY 1, 2, 3),
+parted AS (SELECT *, 'point' AS vector_id, 1 AS times FROM gained
+    UNION ALL SELECT g.*, 'resample_' || r, times FROM gained g JOIN drawn d ON d.group_id = g.group_id AND d.p = g.p
+    UNION ALL SELECT *, 'segment_' || least(p // (c // 2), 1), 1 FROM gained WHERE c >= 16
+    UNION ALL SELECT *, 'tail_0.5', 1 FROM gained WHERE p >= c - greatest(8, c // 2) UNION ALL SELECT *, 'tail_1.0', 1 FROM gained),
+weighed AS (SELECT group_id, vector_id, feature, greatest(0, sum(gain * times) / sum(times)) AS weight FROM parted GROUP BY 1, 2, 3),
+shares AS (SELECT group_id, vector_id, feature, coalesce(weight / nullif(sum(weight) OVER (PARTITION BY group_id, vector_id), 0), weight) AS weight FROM weighed)"""
+
+
+def attributed_vectors(spark, sf) -> dict[str, DataFrame]:
+    def build():
+        rows = matrix(spark, sf).select("group_id", "t", "label", F.lit(1.0).alias("width"), *[F.col(c).cast("double").alias(c) for c in NAMES])
+        change = sum((F.col(f) * w for f, w in _LINEAR.items()), F.lit(0.0))
+        found = trees.gains(rows, lambda r: r.withColumn("change", change), NAMES)
+        return {k: stable(v) for k, v in trees.attributed(found, "linear").items()}
+
+    return once(spark, f"attributed:{sf}", build)
+
+
+@query("importance_key_attribution", with_(SERIES, _MATRIX, _GAINS) + "SELECT group_id, vector_id, feature, round(weight, 6) AS weight FROM shares")
+def _(spark, sf):
+    found = attributed_vectors(spark, sf)
+    every = found["point"].unionByName(found["window"]).unionByName(found["horizon"])
+    return every.select("group_id", "vector_id", "feature", F.round("weight", 6).alias("weight"))
+
+
+@query("importance_key_drivers", with_(SERIES, _MATRIX, _GAINS) + """SELECT dominant_feature, count(*) AS keys FROM (
+    SELECT group_id, feature AS dominant_feature, row_number() OVER (PARTITION BY group_id ORDER BY weight DESC, feature) AS rk FROM shares WHERE vector_id = 'point') WHERE rk = 1 GROUP BY 1""")
+def _(spark, sf):
+    found = attributed_vectors(spark, sf)
+    lead = importance.dominant(found["point"], found["window"])
+    return lead.groupBy("dominant_feature").agg(F.count(F.lit(1)).alias("keys"))

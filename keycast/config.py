@@ -208,6 +208,18 @@ class Importance:
     plausibility: float = 0.3
     horizon: float = 0.3
     fallback_score: float = 1.0
+    holdout: bool = False  # shuffle on each key's newest rows, under a model fitted without them
+    seeds: tuple = (42, 1000, 1001)
+
+
+@dataclass(frozen=True)
+class Search:
+    """Budget of a parameter search: settings of a model family, and chronological splits they are judged on."""
+
+    trials: int = 8
+    splits: int = 3
+    min_rows: int = 48  # of a series that takes part
+    seed: int = 42
 
 
 @dataclass(frozen=True)
@@ -218,7 +230,8 @@ class Drift:
     shapiro_max_rows: int = 2000
     alpha: float = 0.05
     ks_min_rows: int = 30
-    method: str = "auto"  # auto percentile bootstrap kernel_density
+    method: str = "auto"  # auto percentile bootstrap kernel_density, or a registered null
+    algorithm: str = "auto"  # or a statistic, built in or registered, for every key
     percentile: float = 0.95
     bootstrap_from: int = 24
     kde_from: int = 60
@@ -246,11 +259,12 @@ MODELS = (
     ModelSpec("seasonal_naive", 2, candidate=False),
 )
 FALLBACK_MODEL = "seasonal_naive"
+EXTRA_MODELS: list[ModelSpec] = []  # see keycast.registry
 
 
 def resolve_models(selected: list[str] | None = None) -> tuple[ModelSpec, ...]:
     """Candidate specs for a run; unknown names and the fallback are refused."""
-    candidates = {m.name: m for m in MODELS if m.candidate}
+    candidates = {m.name: m for m in (*MODELS, *EXTRA_MODELS) if m.candidate}
     if selected is None:
         return tuple(candidates.values())
     unknown = [name for name in selected if name not in candidates]
@@ -261,7 +275,7 @@ def resolve_models(selected: list[str] | None = None) -> tuple[ModelSpec, ...]:
 
 def offered_models(skipped: set[str] = frozenset()) -> list[str]:
     """Candidate names minus those a deployment is known to skip."""
-    return [m.name for m in MODELS if m.candidate and m.name not in skipped]
+    return [m.name for m in (*MODELS, *EXTRA_MODELS) if m.candidate and m.name not in skipped]
 
 
 def resolve_features(selected: list[str] | None = None) -> dict[str, list]:
@@ -293,6 +307,7 @@ class RunOptions:
     ranking: Ranking = field(default_factory=Ranking)
     importance: Importance = field(default_factory=Importance)
     drift: Drift = field(default_factory=Drift)
+    search: Search | None = field(default_factory=Search)  # None: defaults only
     horizon: int = 12
     models: tuple[str, ...] | None = None
     derived_features: tuple[str, ...] | None = None

@@ -14,6 +14,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keycast import registry
+
 PSI = "population_stability_index"
 KS = "kolmogorov_smirnov"
 WASSERSTEIN = "wasserstein_distance"
@@ -170,8 +172,10 @@ def two_sample(df: DataFrame, algorithm: Column, reference: Column, current: Col
         F.when(F.col("_alg") == PSI, stability_index("_a", "_b", "_edges"))
         .when(F.col("_alg") == KS, kolmogorov_smirnov("_a", "_b"))
         .when(F.col("_alg") == WASSERSTEIN, wasserstein("_a", "_b"))
-        .otherwise(jensen_shannon("_a", "_b"))
     )
+    for name, build in registry.STATISTICS.items():
+        value = value.when(F.col("_alg") == name, build("_a", "_b"))
+    value = value.otherwise(jensen_shannon("_a", "_b"))
     return df.withColumn(out, value).drop("_alg", "_a", "_b", "_edges")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keycast import registry
 from keycast.config import Drift
 from keycast.functions import samples as S
 from keycast.functions.skew import spread
@@ -63,6 +64,8 @@ def choose_algorithm(samples: DataFrame, options: Drift = Drift()) -> DataFrame:
         .when(n >= options.ks_min_rows, S.KS)
         .otherwise(S.JS)
     )
+    if options.algorithm != "auto":
+        algorithm = F.lit(options.algorithm)
     tested = lambda c: F.when(~discrete, F.col(c))
     return (
         out.withColumn("algorithm", algorithm)
@@ -121,7 +124,10 @@ def null_statistics(chosen: DataFrame, options: Drift = Drift()) -> DataFrame:
     """
     n = F.col("sample_size")
     ready = spread(chosen.where(n >= 2), "group_id").withColumn("method", threshold_method(n, options))
-    pairs = F.when(F.col("method") == "percentile", _chunk_pairs(n)).otherwise(_resample_pairs(n, options))
+    pairs = F.when(F.col("method") == "percentile", _chunk_pairs(n))
+    for method, build in registry.NULLS.items():
+        pairs = pairs.when(F.col("method") == method, build(n))
+    pairs = pairs.otherwise(_resample_pairs(n, options))
     ready = S.pinned(ready, _pairs=pairs)  # a generator over the raw expression would evaluate it twice
     rows = ready.select("group_id", "algorithm", "method", F.inline("_pairs"))
     rows = rows.where((F.size("a") > 0) & (F.size("b") > 0))

@@ -120,7 +120,7 @@ def composite(window: Column, plausible: Column, horizon: Column, options: Impor
     return weighted_mean([(window, options.stability), (plausible, options.plausibility), (horizon, options.horizon)])
 
 
-def assemble(point: DataFrame, correlations: DataFrame, window_vectors: DataFrame, horizon_vectors: DataFrame, options: Importance = Importance()) -> DataFrame:
+def assemble(point: DataFrame, correlations: DataFrame, window_vectors: DataFrame, horizon_vectors: DataFrame, options: Importance = Importance(), method: str = "native_importance") -> DataFrame:
     """One record per (group, model) that has a point vector."""
     joined = (
         plausibility(point, correlations, options)
@@ -129,7 +129,7 @@ def assemble(point: DataFrame, correlations: DataFrame, window_vectors: DataFram
         .join(dominant(point, window_vectors.unionByName(horizon_vectors), options), PAIR, "left")
     )
     score = composite(F.col("window_stability"), F.col("plausibility"), F.col("horizon_stability"), options)
-    return joined.withColumn("importance_score", score).withColumn("method", F.lit("native_importance"))
+    return joined.withColumn("importance_score", score).withColumn("method", F.lit(method))
 
 
 def for_survivors(survivors: DataFrame, records: DataFrame, options: Importance = Importance()) -> DataFrame:

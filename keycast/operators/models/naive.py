@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,16 @@ def tests(regressors: list[str] = ()):
     return F.collect_list(F.when(F.col("part") == "test", row)).alias("tests")
 
 
+def newest(frame: DataFrame, rows: int) -> DataFrame:
+    """Add `_newest`: whether a training row is among the newest `rows` of its fold, so that no more of them are ever gathered."""
+    last = F.max(F.when(F.col("part") == "train", F.col("t"))).over(Window.partitionBy("group_id", "fold"))
+    return frame.withColumn("_newest", (F.col("part") == "train") & (F.col("t") > last - rows))
+
+
 def predict(frame: DataFrame, period: int = 12) -> DataFrame:
     """A series shorter than one period repeats its last value."""
-    per_fold = frame.groupBy("group_id", "fold").agg(
-        F.sort_array(F.collect_list(F.when(F.col("part") == "train", F.struct("t", "y")))).alias("history"),
+    per_fold = newest(frame, period).groupBy("group_id", "fold").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_newest"), F.struct("t", "y")))).alias("history"),
         tests(),
     )
     full = F.size("history") >= period

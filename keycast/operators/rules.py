@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keycast import registry
 from keycast.config import DEFAULT_SEASON_LENGTH, REASONS, SEASON_LENGTH, Rules
 from keycast.operators.metrics import finite
 
@@ -111,7 +112,7 @@ def _measures() -> dict[str, Column]:
 
 
 def rule_outcomes(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Ten rows per (group, model). A measure that cannot be computed lets the rule pass."""
+    """A row per rule, ten and the registered ones, of every (group, model). A measure that cannot be computed lets the rule pass."""
     out = judged
     for name, measure in _measures().items():
         out = out.withColumn(f"m_{name}", measure)
@@ -131,6 +132,9 @@ def rule_outcomes(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "missing_seasonality": (seasonal & (c("m_season") < rules.min_season_range), F.when(seasonal, c("m_season"))),
         "missing_trend": (trending & (c("m_kept") < rules.min_trend_kept), F.when(trending, c("m_kept"))),
     }
+    reasons = dict(REASONS)
+    for rule, (reason, build) in registry.RULES.items():
+        fails[rule], reasons[rule] = build(rules), reason
     enough = (F.coalesce(c("n"), F.lit(0)) >= rules.min_history) & (c("steps") > 0)
     rows = []
     for position, (rule, (failed, measure)) in enumerate(fails.items()):
@@ -139,7 +143,7 @@ def rule_outcomes(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
         passed = ~F.coalesce(failed, F.lit(False))
         rows.append(F.struct(
             F.lit(position).alias("rule_position"), F.lit(rule).alias("rule_id"), passed.alias("passed"),
-            F.when(~passed, F.lit(REASONS[rule])).alias("reason"), measure.alias("measure"),
+            F.when(~passed, F.lit(reasons[rule])).alias("reason"), measure.alias("measure"),
         ))
     return out.where(enough).select("group_id", "model_name", F.inline(F.array(*rows)))
 

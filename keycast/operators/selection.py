@@ -29,10 +29,20 @@ def rejected(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("winner_rank").isNull() | (F.col("final_rank") < F.col("winner_rank")))
 
 
-def select_production(groups: DataFrame, judged: DataFrame, naive: DataFrame) -> DataFrame:
+def failures(trained: DataFrame, judged: DataFrame) -> DataFrame:
+    """`group_id, failure_reason`: what went wrong on the way, by step and model, of every group with a failed step."""
+    say = lambda step, reason: F.concat(F.lit(step), F.col("model_name"), F.lit(": "), reason)
+    unfit = trained.where("status = 'Failed'").select("group_id", say("training ", F.coalesce("detail", F.lit("no forecast for the whole horizon"))).alias("r"))
+    unjudged = judged.where("error IS NOT NULL").select("group_id", say("drift ", F.col("error")).alias("r"))
+    return unfit.unionByName(unjudged).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("r")), "; ").alias("failure_reason"))
+
+
+def select_production(groups: DataFrame, judged: DataFrame, naive: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row per group: winner or fallback, its status and how it came about.
 
-    `groups` is every group; `naive` the fallback's forward forecast rows.
+    `groups` is every group; `naive` the fallback's forward forecast rows;
+    `failed` what `failures` lists. A group without winner and fallback is
+    "Failed" if one of its steps failed, else "No Model Available". Other groups are what they are without it.
     """
     tried = judged.groupBy("group_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "model_name"))), lambda r: r["model_name"]).alias("original_candidates"),
@@ -50,13 +60,14 @@ def select_production(groups: DataFrame, judged: DataFrame, naive: DataFrame) ->
     )
     able = naive.where(F.col("value").isNotNull()).select("group_id").distinct().withColumn("has_fallback", F.lit(True))
     out = groups.select("group_id").join(tried, "group_id", "left").join(able, "group_id", "left")
+    out = out.withColumn("failure_reason", F.lit(None).cast("string")) if failed is None else out.join(failed, "group_id", "left")
     fallback = F.col("won").isNull()
     count = F.size(F.coalesce("original_candidates", F.array().cast("array<string>")))
     trigger = F.when(
         count > 0,
         F.concat(F.lit("All "), count.cast("string"), F.lit(" evaluated model(s) failed validation ("), F.array_join("original_candidates", ", "), F.lit(").")),
     ).otherwise(F.lit(NO_CANDIDATE))
-    status = F.when(~fallback, "Selected").when(F.coalesce("has_fallback", F.lit(False)), "Fallback Model Used").otherwise("No Model Available")
+    status = F.when(~fallback, "Selected").when(F.coalesce("has_fallback", F.lit(False)), "Fallback Model Used").when(F.col("failure_reason").isNotNull(), "Failed").otherwise("No Model Available")
     name = F.when(~fallback, F.col("won.model_name")).when(F.coalesce("has_fallback", F.lit(False)), F.lit(FALLBACK_MODEL))
     return out.select(
         "group_id",
@@ -72,7 +83,7 @@ def select_production(groups: DataFrame, judged: DataFrame, naive: DataFrame) ->
         F.col("won.statistic").alias("statistic"),
         F.col("won.threshold").alias("threshold"),
         F.coalesce("original_candidates", F.array().cast("array<string>")).alias("original_candidates"),
-        "rejected_candidates",
+        "rejected_candidates", "failure_reason",
     )
 
 
