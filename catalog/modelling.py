@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.fixtures import AUTO, FRAME, NAIVE, PREDICTIONS, SERIES, TREND, once, supplier_run, supplier_series, with_
-from keycast.config import MODELS, Backtest, resolve_models
-from keycast.operators import folds, metrics, rules, training
+from keycast.config import MODELS, Backtest, Roles, resolve_models
+from keycast.functions.skew import stable
+from keycast.operators import clean, folds, metrics, rules, training
+from keycast.operators import series as series_ops
 from keycast.operators.models import autoregressive, naive, trend
 
 
@@ -255,3 +257,39 @@ def _(spark, sf):
     CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, CAST(sum(folds) AS BIGINT) AS folds_evaluated FROM evaluated""")
 def _(spark, sf):
     return rules.evaluation_report(supplier_run(spark, sf).evaluated)
+
+
+# -- trend with a regressor: the mean discount of each supplier's month, on folds of whole years ------
+
+_DISCOUNT_FOLDS = Backtest(strategy="expanding", min_train=36, horizon=3, max_folds=3)
+
+
+def discount_series(spark, sf):
+    def build():
+        roles = Roles("l_shipdate", "revenue", ("l_suppkey",), ("l_discount",))
+        rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_discount", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+        months = clean.to_months(rows, roles).withColumn("revenue", F.round("revenue", 4)).withColumn("l_discount", F.round("l_discount", 8))
+        return stable(series_ops.build_series(months, roles))
+
+    return once(spark, f"discounts:{sf}", build)
+
+
+_JOINT = """months AS (SELECT CAST(l_suppkey AS VARCHAR) AS group_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds,
+    round(sum(l_extendedprice * (1 - l_discount)), 4) AS y, round(avg(l_discount), 8) AS x FROM lineitem GROUP BY 1, 2),
+series AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ds) - 1 AS t, count(*) OVER (PARTITION BY group_id) AS n FROM months),
+ends AS (SELECT group_id, k AS fold, 36 + 3 * k AS train_end FROM (SELECT DISTINCT group_id, n FROM series), range(3) r(k) WHERE n >= 39 + 3 * k UNION ALL SELECT DISTINCT group_id, -1, n FROM series),
+spacing AS (SELECT group_id, max(n) AS n, max(ds) AS last_ds, max_by(x, ds) AS x, median(gap) AS step_days FROM (SELECT *, date_diff('day', lag(ds) OVER (PARTITION BY group_id ORDER BY t), ds) AS gap FROM series) GROUP BY 1),
+learnt AS (SELECT s.*, e.fold, month(s.ds) AS m FROM ends e JOIN series s ON s.group_id = e.group_id AND s.t < e.train_end),
+tested AS (SELECT s.group_id, e.fold, s.t - e.train_end + 1 AS step, s.t, s.ds, s.x FROM ends e JOIN series s ON s.group_id = e.group_id AND e.fold >= 0 AND s.t >= e.train_end AND s.t < e.train_end + 3
+    UNION ALL SELECT group_id, -1, s + 1, n + s, last_ds + CAST(floor(step_days * (s + 1)) AS INTEGER), x FROM spacing, range(12) r(s)),
+within AS (SELECT *, y - avg(y) OVER w AS dy, t - avg(t) OVER w AS dt, x - avg(x) OVER w AS dx FROM learnt WINDOW w AS (PARTITION BY group_id, fold, m)),
+slopes AS (SELECT group_id, fold, (sum(dx * dx) * sum(dt * dy) - sum(dt * dx) * sum(dx * dy)) / (sum(dt * dt) * sum(dx * dx) - sum(dt * dx) * sum(dt * dx)) AS bt,
+    (sum(dt * dt) * sum(dx * dy) - sum(dt * dx) * sum(dt * dy)) / (sum(dt * dt) * sum(dx * dx) - sum(dt * dx) * sum(dt * dx)) AS bx FROM within GROUP BY 1, 2),
+means AS (SELECT group_id, fold, m, avg(y) AS my, avg(t) AS mt, avg(x) AS mx FROM learnt GROUP BY 1, 2, 3)"""
+
+
+@query("model_trend_regressor", with_(_JOINT) + """SELECT t.group_id, CAST(t.fold AS BIGINT) AS fold, CAST(step AS BIGINT) AS step, ds, round(my + bt * (t.t - mt) + bx * (t.x - mx), 1) AS value
+    FROM tested t JOIN slopes USING (group_id, fold) JOIN means ON means.group_id = t.group_id AND means.fold = t.fold AND means.m = month(t.ds)""")
+def _(spark, sf):
+    frame = folds.frame(discount_series(spark, sf), _DISCOUNT_FOLDS, 12, ["l_discount"])
+    return trend.predict(frame, ["l_discount"]).select("group_id", *long("fold", "step"), "ds", F.round("value", 1).alias("value"))

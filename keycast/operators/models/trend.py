@@ -1,51 +1,90 @@
-"""Linear trend plus calendar-month effects with normal 95% bounds, and effects of regressors where there are any."""
+"""Linear trend plus calendar-month effects with normal 95% bounds; with regressors, least squares of all three together."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.96
+RIDGE = 1e-11
 
 
-def _line_and_season(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Add `name`: the value's line plus month effects, from training rows (where `value` is not null there)."""
-    fold = Window.partitionBy("group_id", "fold")
-    month = Window.partitionBy("group_id", "fold", "_month")
-    at, seen = F.col("t").cast("double"), F.when(F.col("part") == "train", F.col(value))
-    line = F.coalesce(F.regr_slope(seen, at).over(fold), F.lit(0.0))
-    base = F.coalesce(F.regr_intercept(seen, at).over(fold), F.avg(seen).over(fold))
-    rows = rows.withColumn("_line", base + line * at).withColumn("_off", F.when(F.col("part") == "train", F.col(value)) - F.col("_line"))
-    return rows.withColumn(name, F.col("_line") + F.coalesce(F.avg("_off").over(month), F.lit(0.0))).drop("_line", "_off")
+def solved(matrix: Column) -> Column:
+    """Solution of a system given as rows [coefficients..., right side], by elimination; an unknown without a pivot is 0.
 
+    For normal equations: symmetric, not negative. One expression whatever the size.
+    """
+    size = F.size(matrix)
 
-def with_regressors(rows: DataFrame, regressors: list[str]) -> DataFrame:
-    """Add `effect`: least squares of what trend and season leave on what they leave of the regressors.
+    def eliminate(rows: Column, k: Column) -> Column:
+        lead = F.get(rows, k)
+        pivot = F.get(lead, k)
+        usable = pivot > 0
+        scaled = F.transform(lead, lambda v: F.when(usable, v / pivot).otherwise(F.lit(0.0)))
+        other = lambda row: F.zip_with(row, scaled, lambda v, s: v - F.get(row, k) * s)
+        return F.transform(rows, lambda row, i: F.when(i == k, scaled).otherwise(F.when(usable, other(row)).otherwise(row)))
 
-    Regressors are made independent of each other one after the other, so each
-    takes one sum of products over its fold. All windows share one
-    partitioning. A regressor without spread has no effect, nor has a missing value.
-    """
+    done = F.aggregate(F.sequence(F.lit(0), size - 1), matrix, eliminate)
+    return F.transform(done, lambda row: F.element_at(row, -1))
+
+
+def _terms(regressors: list[str]) -> list[Column]:
+    """The design: one, time, twelve months, regressors."""
+    months = [(F.col("_month") == m).cast("double") for m in range(1, 13)]
+    return [F.lit(1.0), F.col("_at"), *months, *[F.col(f"_x{k}") for k in range(len(regressors))]]
+
+
+def _prepared(frame: DataFrame, regressors: list[str]) -> DataFrame:
+    """Frame rows with the design's columns; a missing regressor counts as its mean over the fold's training rows."""
     fold = Window.partitionBy("group_id", "fold")
-    over = lambda product: F.sum(F.when((F.col("part") == "train") & F.col("_left").isNotNull(), product)).over(fold)
-    rows = rows.withColumn("_left", F.col("train_y") - F.col("fit")).withColumn("effect", F.lit(0.0))
-    done: list[str] = []
+    out = frame.withColumn("_month", F.month("ds")).withColumn("_at", F.col("t").cast("double"))
     for k, regressor in enumerate(regressors):
-        own, made = f"_x{k}", f"_made{k}"
-        rows = rows.withColumn(own, F.col(regressor).cast("double"))
-        rows = _line_and_season(rows, own, made).withColumn(own, F.col(own) - F.col(made)).drop(made)
-        for other in done:
-            share = over(F.col(own) * F.col(other)) / F.nullif(over(F.col(other) * F.col(other)), F.lit(0.0))
-            rows = rows.withColumn(own, F.col(own) - F.coalesce(share, F.lit(0.0)) * F.col(other))
-        size = over(F.col(own) * F.col(own))
-        slope = F.when(size > 1e-9, over(F.col("_left") * F.col(own)) / size)
-        rows = rows.withColumn("effect", F.col("effect") + F.coalesce(slope * F.col(own), F.lit(0.0)))
-        done.append(own)
-    return rows.drop("_left", *done)
+        value = F.col(regressor).cast("double")
+        mean = F.avg(F.when(F.col("part") == "train", value)).over(fold)
+        out = out.withColumn(f"_x{k}", F.coalesce(value, mean, F.lit(0.0)))
+    return out
+
+
+def joint_fit(frame: DataFrame, regressors: list[str]) -> DataFrame:
+    """Per (group, fold): `beta` and `sigma` of least squares over trend, months and regressors together.
+
+    Only sums of products are gathered per fold, whose number the design sets;
+    they make the normal equations, solved as one array expression. Months and
+    regressors carry a penalty of a 10**11th of their own sum of squares: nothing where
+    the data decide, and where they do not (a fold of a single year, a regressor without
+    spread) it leaves the trend to the line and the rest to the months.
+    """
+    prepared = _prepared(frame, regressors).where("part = 'train' AND train_y IS NOT NULL")
+    terms = [*_terms(regressors), F.col("train_y")]
+    size = len(terms) - 1
+    pairs = [(a, b) for a in range(len(terms)) for b in range(a, len(terms)) if not (2 <= a < b < 14)]  # two months never meet
+    sums = prepared.groupBy("group_id", "fold").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(terms[a] * terms[b]).alias(f"_s{a}_{b}") for a, b in pairs])
+
+    def entry(a: int, b: int) -> Column:
+        a, b = min(a, b), max(a, b)
+        value = F.col(f"_s{a}_{b}") if (a, b) in known else F.lit(0.0)
+        return value * (1 + RIDGE) if a == b and a >= 2 else value
+
+    known = set(pairs)
+    matrix = F.array(*[F.array(*[entry(a, b) for b in range(size + 1)]) for a in range(size)])
+    rows = sums.withColumn("_matrix", matrix).withColumn("beta", solved(F.col("_matrix")))
+    # Squares that the fit leaves: y'y - beta'X'y, since the fit solves the normal equations.
+    explained = F.aggregate(F.zip_with("beta", F.col("_matrix"), lambda b, row: b * F.element_at(row, -1)), F.lit(0.0), lambda total, v: total + v)
+    left = F.greatest(F.lit(0.0), F.col(f"_s{size}_{size}") - explained)
+    return rows.select("group_id", "fold", "beta", F.when(F.col("_n") > 1, F.sqrt(left / (F.col("_n") - 1))).otherwise(F.lit(0.0)).alias("sigma"))
+
+
+def with_regressors(frame: DataFrame, regressors: list[str]) -> DataFrame:
+    """Frame rows with `fit` and `sigma` of `joint_fit`."""
+    rows = _prepared(frame, regressors).join(joint_fit(frame, regressors), ["group_id", "fold"])
+    fit = F.aggregate(F.zip_with("beta", F.array(*_terms(regressors)), lambda b, x: b * x), F.lit(0.0), lambda total, v: total + v)
+    return rows.withColumn("fit", fit).drop("beta", "_at", "_month", *[f"_x{k}" for k in range(len(regressors))])
 
 
 def fitted(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:
-    """Frame rows with the fit of their own fold. Windows only: test rows read the fit in place."""
+    """Frame rows with the fit of their own fold. Without regressors by windows only: test rows read the fit in place."""
+    if regressors:
+        return with_regressors(frame, list(regressors))
     fold = Window.partitionBy("group_id", "fold")
     month = Window.partitionBy("group_id", "fold", "_month")
     at = F.col("t").cast("double")
@@ -56,10 +95,7 @@ def fitted(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:
     out = out.withColumn("season", F.coalesce(F.avg("_rest").over(month), F.lit(0.0)))
     out = out.withColumn("sigma", F.coalesce(F.stddev_samp(F.col("_rest") - F.col("season")).over(fold), F.lit(0.0)))
     out = out.withColumn("fit", F.col("intercept") + F.col("slope") * at + F.col("season"))
-    if not regressors:
-        return out
-    out = with_regressors(out, list(regressors)).withColumn("fit", F.col("fit") + F.col("effect"))
-    return out.withColumn("sigma", F.coalesce(F.stddev_samp(F.col("train_y") - F.col("fit")).over(fold), F.lit(0.0)))
+    return out
 
 
 def predict(frame: DataFrame, regressors: list[str] = ()) -> DataFrame:

@@ -215,26 +215,33 @@ def test_duplicate_month_rows_stop_a_run(spark):
         clean.verify(spark.createDataFrame(rows, "ts date, y double, k string"), R)
 
 
-def test_regressors_change_the_trend_forecast(spark):
-    """Joint least squares on what trend and months leave, against numpy."""
+def test_regressors_are_fitted_jointly_with_trend_and_months(spark):
+    """Equal to least squares on the full design, on whole and on broken years."""
     rng = np.random.default_rng(3)
-    n = 36
-    promo, price = rng.integers(0, 2, n).astype(float), rng.random(n)
-    y = 50 + 2 * np.arange(n) + 30 * promo - 10 * price + rng.normal(0, 0.1, n)
-    rows = [("g", t, n, dt.date(2020 + t // 12, t % 12 + 1, 1), float(y[t]), float(promo[t]), float(price[t])) for t in range(n)]
-    series = spark.createDataFrame(rows, "group_id string, t int, n int, ds date, y double, promo double, price double")
-    frame = folds.frame(series, Backtest(), 3, ["promo", "price"])
-    month = np.arange(n) % 12
-
-    def left(v):
-        slope, base = np.polyfit(np.arange(n), v, 1)
-        rest = v - base - slope * np.arange(n)
-        return rest - np.array([rest[month == m].mean() for m in month])
-
-    x = np.stack([left(promo), left(price)], axis=1)
-    want = y - left(y) + x @ np.linalg.lstsq(x, left(y), rcond=None)[0]
-    got = {r.t: r.fit for r in trend.fitted(frame, ["promo", "price"]).where("fold = -1 and part = 'train'").collect()}
-    assert [got[t] for t in range(n)] == pytest.approx(want.tolist(), rel=1e-6)
-    plain = {r.step: r.value for r in trend.predict(frame).where("fold = -1").collect()}
-    more = {r.step: r.value for r in trend.predict(frame, ["promo", "price"]).where("fold = -1").collect()}
-    assert all(abs(plain[k] - more[k]) > 1 for k in (1, 2, 3))
+    n = 41
+    promo, price = rng.integers(0, 2, n).astype(float), rng.random(n) * 1000
+    gone = np.arange(n) == 17
+    y = 50 + 2 * np.arange(n) + 30 * promo - 0.01 * price + 5 * (np.arange(n) % 12 == 3) + rng.normal(0, 0.1, n)
+    rows = [("g", t, n, dt.date(2020 + t // 12, t % 12 + 1, 1), float(y[t]), float(promo[t]), None if gone[t] else float(price[t]), 7.0) for t in range(n)]
+    series = spark.createDataFrame(rows, "group_id string, t int, n int, ds date, y double, promo double, price double, same double")
+    frame = folds.frame(series, Backtest(), 3, ["promo", "price", "same"])
+    filled = np.where(gone, price[~gone].mean(), price)
+    design = lambda t, a, b: np.stack([np.ones(len(t)), t, *[(t % 12 == m).astype(float) for m in range(12)], a, b], axis=1)
+    x = design(np.arange(n), promo, filled)
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    fitted = trend.fitted(frame, ["promo", "price", "same"]).where("fold = -1").collect()
+    got = {r.t: r.fit for r in fitted}
+    assert [got[t] for t in range(n)] == pytest.approx((x @ beta).tolist(), rel=1e-7)
+    ahead = design(np.arange(n, n + 3), np.full(3, promo[-1]), np.full(3, price[-1])) @ beta
+    assert [got[t] for t in range(n, n + 3)] == pytest.approx(ahead.tolist(), rel=1e-7)
+    assert fitted[0].sigma == pytest.approx(np.std(y - x @ beta, ddof=1), rel=1e-4)
+
+
+def test_a_fold_of_one_year_keeps_to_its_line(spark):
+    """With a row per month the months take what the line leaves, as without regressors."""
+    rows = [("g", t, 15, dt.date(2020 + t // 12, t % 12 + 1, 1), 100.0 + 3 * t + (t * 7 % 5), float(t % 2)) for t in range(15)]
+    series = spark.createDataFrame(rows, "group_id string, t int, n int, ds date, y double, promo double")
+    frame = folds.frame(series, Backtest(), 3, ["promo"]).where("fold = 0")
+    plain = {r.step: r.value for r in trend.predict(frame).collect()}
+    more = {r.step: r.value for r in trend.predict(frame.withColumn("promo", F.lit(1.0)), ["promo"]).collect()}
+    assert len(plain) == 3 and more == pytest.approx(plain, rel=1e-4)
