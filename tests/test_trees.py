@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keycast import registry
 from keycast.config import Backtest, ConfigurationError, Drift, Importance, ModelSpec, RunOptions, Search
-from keycast.operators import drift, folds, selection
+from keycast.operators import drift, folds, results, selection
 from keycast.operators.models import trees
 from keycast.plans import forecast
 
@@ -139,6 +139,9 @@ def test_a_run_tunes_and_keeps_to_the_chosen_features(spark):
     chosen = run.tuning.collect()
     assert [(r.model_name, r.tuned) for r in chosen] == [("random_forest", True)] and run.trials.count() == 3
     assert run.forecasts.count() == 12 and run.forecasts.where("value IS NULL").isEmpty()
+    none = rows.sparkSession.createDataFrame([], "group_id string, model_name string, params map<string,string>")
+    records = {r.model_name: r for r in results.hyperparameters(run.trained, run.scores, run.ranked, run.selection, none, run.tuning).where("group_id = 'a'").collect()}
+    assert records["random_forest"].tuned and records["random_forest"].params == {k: str(v) for k, v in json.loads(chosen[0].params).items()}
     drivers = {r.dominant_feature for r in run.explained.collect()}
     assert drivers <= {"time_index", "lag_1", "month", None}
     with pytest.raises(ConfigurationError):
