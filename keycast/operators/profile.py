@@ -154,29 +154,49 @@ def missing_share(df: DataFrame, target: str) -> DataFrame:
 
 
 def quality_report(df: DataFrame, roles: Roles, grain: str | None, options: Quality = Quality()) -> DataFrame:
-    """The one-row report the suitability verdict is read from."""
-    number = as_number(df, roles.target)
-    parsed = as_date(df, roles.date)
-    facts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(number.isNotNull()).alias("total_observations"),
-        (F.coalesce(F.min(number) == F.max(number), F.lit(True))).alias("constant_target"),
-        F.count_if(~present(df, roles.target)).alias("missing_target_values"),
-        F.count_if(present(df, roles.target) & number.isNull()).alias("invalid_target_values"),
-        F.count_if(F.col(roles.date).isNotNull() & parsed.isNull()).alias("invalid_date_values"),
-        F.min(parsed).alias("date_range_start"),
-        F.max(parsed).alias("date_range_end"),
+    """The one-row report the suitability verdict is read from, in one scan.
+
+    Equal rows are counted first, then rows per (key, date as given), per (key,
+    date read), per key, and in all: each aggregate works on what the one before has
+    left and carries its sums, so repeats and hot keys collapse map-side.
+    """
+    taken = {c.lower() for c in df.columns}
+    name = lambda c: c if c.lower() not in taken else name(f"{c}_")
+    n, dupes, low, high = (name(c) for c in ("_n", "_dupes", "_low", "_high"))
+    sums = {c: name(f"_{c}") for c in ("total_observations", "missing_target_values", "invalid_target_values", "invalid_date_values")}
+    rows = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(n))
+    number, parsed, there = as_number(rows, roles.target), as_date(rows, roles.date), present(rows, roles.target)
+    flags = {
+        "total_observations": number.isNotNull(), "missing_target_values": ~there, "invalid_target_values": there & number.isNull(),
+        "invalid_date_values": F.col(roles.date).isNotNull() & parsed.isNull(),
+    }
+    first = lambda c: F.coalesce(F.sum(F.when(flags[c], F.col(n))), F.lit(0)).alias(sums[c])
+    on = lambda *extra: [F.col(f"`{c}`") for c in (*roles.keys, *extra)]
+    carried = lambda: [F.sum(n).alias(n), F.sum(dupes).alias(dupes), F.min(low).alias(low), F.max(high).alias(high), *[F.sum(c).alias(c) for c in sums.values()]]
+    stamp, repeats, seen = name("_stamp"), name("_repeats"), name("_seen")
+    # A column of the date as given and as read; both may repeat, one within the other.
+    dated = rows.withColumn(stamp, parsed).groupBy(*on(roles.date), stamp).agg(
+        F.sum(n).alias(n), F.sum(F.col(n) - 1).alias(dupes), F.min(number).alias(low), F.max(number).alias(high), *[first(c) for c in flags]
     )
-    one_row_parts = (
-        duplicate_rows(df).withColumnRenamed("duplicates", "duplicate_rows"),
-        duplicate_rows(df, [*roles.keys, roles.date]).withColumnRenamed("duplicates", "duplicate_timestamps"),
-        key_count(df, roles),
-        missing_periods(df, roles, grain, options),
+    read = dated.withColumn(repeats, F.col(n) - 1).groupBy(*on(), stamp).agg(F.sum(repeats).alias(repeats), *carried())
+    per_key = read.groupBy(*on()).agg(F.sum(repeats).alias(repeats), *carried(), F.count(stamp).alias(seen), F.min(stamp).alias("date_range_start"), F.max(stamp).alias("date_range_end"))
+    whole = F.lit(True)
+    for key in roles.keys:
+        whole = whole & F.col(f"`{key}`").isNotNull()
+    gaps, known = F.lit(None).cast("long"), F.lit(False)
+    if options.count_missing_periods and grain in PERIOD_UNIT:
+        absent = F.greatest(expected_periods(F.col("date_range_start"), F.col("date_range_end"), grain) - F.col(seen), F.lit(0))
+        gaps = F.sum(F.when(whole & (F.col(seen) >= 2), absent).otherwise(F.lit(0)))
+        known = F.max(seen) > 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per_key.agg(
+        total(n).alias("total_rows"), *[total(sums[c]).alias(c) for c in ("total_observations",)],
+        F.coalesce(F.min(low) == F.max(high), F.lit(True)).alias("constant_target"),
+        *[total(sums[c]).alias(c) for c in ("missing_target_values", "invalid_target_values", "invalid_date_values")],
+        F.min("date_range_start").alias("date_range_start"), F.max("date_range_end").alias("date_range_end"),
+        total(dupes).alias("duplicate_rows"), total(repeats).alias("duplicate_timestamps"),
+        (F.count(F.lit(1)) if roles.keys else F.lit(1).cast("long")).alias("distinct_keys"), F.when(known, gaps).cast("long").alias("missing_periods"),
     )
-    facts = facts.withColumn("_one", F.lit(1))
-    for part in one_row_parts:
-        facts = facts.join(part.withColumn("_one", F.lit(1)), "_one", "left")
-    return facts.drop("_one")
 
 
 def suitability(report: DataFrame, roles: Roles, options: Quality = Quality()) -> DataFrame:

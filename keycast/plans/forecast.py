@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keycast import registry
-from keycast.config import ConfigurationError, Roles, RunOptions, check_horizon, resolve_features, resolve_models
+from keycast.config import ConfigurationError, DataError, Roles, RunOptions, check_horizon, resolve_features, resolve_models
 from keycast.functions.skew import spread, stable
 from keycast.operators import importance as explain
 from keycast.operators import clean, drift, folds, metrics, profile, ranking, rules, selection, training
@@ -158,6 +158,9 @@ def run(table: DataFrame, roles: Roles, options: RunOptions = RunOptions(), orde
     """From a raw table to selected forecasts; stops with a clear error where the data cannot be used."""
     roles.check(table.columns)
     grain = profile.frequency(table, roles.date).first().frequency
+    report = profile.suitability(profile.quality_report(table.select(*dict.fromkeys(roles.columns)), roles, grain, options.quality), roles, options.quality).first()
+    if report.suitability == "Not Suitable":
+        raise DataError(f"The data cannot be forecast: {', '.join(report.reasons)}.")
     # Written once: the gates and the series below read the curated rows, not the raw table again.
     curated = stable(clean.prepare(table, roles, grain, options.cleaning, order))
     clean.assert_usable(curated, roles, options.cleaning)
