@@ -330,10 +330,32 @@ def _(spark, sf):
     return supplier_run(spark, sf).thresholds.select("group_id", "method", F.round("threshold", 6).alias("threshold"), "null_size")
 
 
-@query("drift_threshold_kernel_density")
+def _drawn(iteration: str, position: int, side: int, size: str) -> str:
+    """`samples.draw` as nested SQL."""
+    return f"{_mixed(f'{iteration} * 7919 + {position} * 104729 + {side} * 1299709 + 42 * 15485863')} % {size}"
+
+
+def _mixed(first: str) -> str:
+    """The whole-number hash of `samples.draw` over its starting value."""
+    h = f"(({first}) & 4294967295)"
+    h = f"((xor({h}, {h} >> 15) * 739982445) & 4294967295)"
+    h = f"(SELECT (xor(x, x >> 12) * 695872825) & 4294967295 FROM (SELECT {h} AS x))"
+    return f"(SELECT xor(x, x >> 15) FROM (SELECT {h} AS x))"
+
+
+_KDE = f"""placed AS (SELECT group_id, statistic, row_number() OVER (PARTITION BY group_id ORDER BY statistic) - 1 AS r, count(*) OVER (PARTITION BY group_id) AS size FROM nulls),
+density AS (SELECT group_id, CAST(count(*) AS BIGINT) AS size, stddev_samp(statistic) AS spread, quantile_cont(statistic, 0.95) AS read FROM nulls GROUP BY 1),
+turns AS (SELECT i, sqrt(-2 * ln(({_drawn("i", 5, 5, "1000000")} + 0.5) / 1000000.0)) * cos(({_drawn("i", 6, 6, "1000000")} + 0.5) / 1000000.0 * 6.283185307179586) AS normal FROM range(2000) x(i)),
+picks AS (SELECT group_id, spread * pow(size, -0.2) * normal AS noise, {_drawn("i", 4, 4, "size")} AS r FROM density, turns),
+smoothed AS (SELECT p.group_id, quantile_cont(statistic + noise, 0.95) AS threshold FROM picks p JOIN placed s ON s.group_id = p.group_id AND s.r = p.r GROUP BY 1)"""
+
+
+@query("drift_threshold_kernel_density", with_(SERIES, *_BOOT, _KDE) + """SELECT c.group_id, 'kernel_density' AS method, round(greatest(0, coalesce(CASE WHEN spread > 0 THEN s.threshold ELSE read END, 0)), 5) AS threshold, coalesce(size, 0) AS null_size
+    FROM chosen c LEFT JOIN density USING (group_id) LEFT JOIN smoothed s ON s.group_id = c.group_id""")
 def _(spark, sf):
     chosen, options = supplier_run(spark, sf).chosen, Drift(method="kernel_density")
-    return drift.thresholds(chosen, drift.null_statistics(chosen, options), options)
+    limits = drift.thresholds(chosen, drift.null_statistics(chosen, options), options)
+    return limits.select("group_id", "method", F.round("threshold", 5).alias("threshold"), "null_size")
 
 
 @query("drift_samples", with_(*EVALUATION_CHAIN, WINDOWED) + """SELECT group_id, any_value(m) AS history_rows, round(sum(y), 2) AS history_sum FROM win GROUP BY 1""")
@@ -385,6 +407,51 @@ def _(spark, sf):
     return run.selection.select("group_id", "model_name", "status", "fallback_used", F.round("composite_score", 6).alias("composite_score"), *long("final_rank"))
 
 
+_RAW_DAYS = ("round(sum(l_extendedprice * (1 - l_discount)), 4) AS y FROM lineitem GROUP BY 1, 2", """sum(revenue) AS y
+    FROM (SELECT DISTINCT l_suppkey, l_shipdate, round(l_extendedprice * (1 - l_discount), 2) AS revenue FROM lineitem) GROUP BY 1, 2""")
+
+
+@query("run_from_raw_days", with_(*DECISION).replace(*_RAW_DAYS) + "SELECT group_id, model_name, status, fallback_used, round(composite_score, 5) AS composite_score, CAST(final_rank AS BIGINT) AS final_rank FROM picked")
+def _(spark, sf):
+    """A whole run from daily rows as they lie: grain, quality gate, types, duplicates, missing values and roll-up all inside it."""
+    revenue = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+    days = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", revenue.alias("revenue"))
+    run = once(spark, f"raw-days:{sf}", lambda: forecast.run(days, SUPPLIER_ROLES, CLOSED_FORM))
+    return run.selection.select("group_id", "model_name", "status", "fallback_used", F.round("composite_score", 5).alias("composite_score"), *long("final_rank"))
+
+
+# A gate at the median of the null instead of its 95th percentile: candidates are refused and groups fall back.
+_TIGHT = Drift(percentile=0.5)
+_TIGHT_SQL = with_(*DECISION).replace("quantile_cont(statistic, 0.95)", "quantile_cont(statistic, 0.5)")
+
+
+def tight_gate(spark, sf):
+    def build():
+        run = supplier_run(spark, sf)
+        limits = drift.thresholds(run.chosen, drift.null_statistics(run.chosen, _TIGHT), _TIGHT)
+        kept = run.forecasts.join(run.ranked.select("group_id", "model_name"), ["group_id", "model_name"], "left_semi")
+        judged = stable(selection.judged_candidates(run.ranked, drift.drift_verdicts(run.chosen, limits, drift.forecast_samples(kept))))
+        groups = run.series.select("group_id").distinct()
+        return judged, stable(selection.select_production(groups, judged, run.naive, selection.failures(run.trained, judged)))
+
+    return once(spark, f"tight:{sf}", build)
+
+
+@query("selection_rejected_tight", _TIGHT_SQL + "SELECT group_id, model_name, CAST(final_rank AS BIGINT) AS final_rank, algorithm, round(statistic, 6) AS statistic, round(threshold, 6) AS threshold FROM walk WHERE winner_rank IS NULL OR final_rank < winner_rank")
+def _(spark, sf):
+    out = selection.rejected(tight_gate(spark, sf)[0])
+    return out.select("group_id", "model_name", *long("final_rank"), "algorithm", *rounded(6, "statistic", "threshold"))
+
+
+@query("selection_production_tight", _TIGHT_SQL + """SELECT p.group_id, p.model_name, status, fallback_used, CASE WHEN NOT fallback_used THEN NULL WHEN c.names IS NULL THEN 'No ranked candidate survived earlier validation stages.'
+        ELSE 'All ' || k || ' evaluated model(s) failed validation (' || names || ').' END AS fallback_trigger, coalesce(gone, 0) AS refused
+    FROM picked p LEFT JOIN (SELECT group_id, count(*) AS k, string_agg(model_name, ', ' ORDER BY final_rank) AS names, count(*) FILTER (winner_rank IS NULL OR final_rank < winner_rank) AS gone FROM walk GROUP BY 1) c USING (group_id)""")
+def _(spark, sf):
+    out = tight_gate(spark, sf)[1]
+    refused = F.when(F.col("rejected_candidates").isNull(), 0).otherwise(F.size("rejected_candidates"))
+    return out.select("group_id", "model_name", "status", "fallback_used", "fallback_trigger", refused.cast("long").alias("refused"))
+
+
 @query("selection_rejected", with_(*DECISION) + "SELECT group_id, model_name, CAST(final_rank AS BIGINT) AS final_rank, algorithm, round(statistic, 6) AS statistic, round(threshold, 6) AS threshold FROM walk WHERE winner_rank IS NULL OR final_rank < winner_rank")
 def _(spark, sf):
     out = selection.rejected(supplier_run(spark, sf).judged)
@@ -476,14 +543,6 @@ def _(spark, sf):
 _LINEAR = {"lag_1": 0.3, "lag_2": -0.5, "lag_12": 0.15, "rolling_mean_6": -0.2, "month": 40.0}
 
 
-def _mixed(first: str) -> str:
-    """The whole-number hash of `samples.draw` as nested SQL over its starting value."""
-    h = f"(({first}) & 4294967295)"
-    h = f"((xor({h}, {h} >> 15) * 739982445) & 4294967295)"
-    h = f"(SELECT (xor(x, x >> 12) * 695872825) & 4294967295 FROM (SELECT {h} AS x))"
-    return f"(SELECT xor(x, x >> 15) FROM (SELECT {h} AS x))"
-
-
 _CHANGE = " + ".join(f"{w!r} * {f}" for f, w in _LINEAR.items())
 _GAINS = f"""located AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY t) - 1 AS p, count(*) OVER (PARTITION BY group_id) AS c, {_CHANGE} AS change FROM matrix),
 hashed AS (SELECT *, {_mixed("42 * 7919 + (p + 1) * 104729 + 8 * 1299709 + 42 * 15485863")} % 2000000000 AS h FROM located),
