@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keycast.config import COARSER_THAN_MONTHLY, SUB_MONTHLY, Roles
-from keycast.functions.skew import global_positions
+from keycast.functions.ranges import rows_at
 from keycast.operators.coercion import as_date, as_number, is_datetime, is_number, present
 from keycast.operators.profile import frequency, key_count
 
@@ -19,13 +19,9 @@ CHECK = "check_name string, status string, detail string"
 
 def even_sample(df: DataFrame, column: str, order: list[str], size: int = SAMPLE_ROWS) -> DataFrame:
     """`size` non-missing rows evenly spaced over the stated order (all rows when fewer)."""
-    placed = global_positions(df.where(present(df, column)), order, "_position")
-    n = placed.count()
-    if n <= size:
-        return placed.drop("_position")
-    gaps, last = size - 1, n - 1
-    nearest = F.ceil(F.col("_position") * gaps / F.lit(last))
-    return placed.where(F.floor(nearest * last / F.lit(gaps)) == F.col("_position")).drop("_position")
+    # Position i * last // gaps for each of the sample's places; the rows between them are counted, not sorted.
+    spaced = lambda n: list(range(n)) if n <= size else [i * (n - 1) // (size - 1) for i in range(size)]
+    return rows_at(df.where(present(df, column)), order, spaced).drop("_position")
 
 
 def _read(df: DataFrame, column: str, reader) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from keycast.functions.skew import global_positions
+from keycast.functions.ranges import rows_at
 from keycast.functions.text import safe_key
 
 READABLE = (".csv", ".parquet")
@@ -112,15 +112,14 @@ def full_series(curated: DataFrame, date: str, target: str, key_values: dict | N
 def page(curated: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
     """Rows of one page in the stated order; ties are broken by all other columns, so pages never overlap.
 
-    Positions are global, so no task ever sorts or skips the whole table,
-    however deep the page.
+    A page reads its own ranges of the order, which are found by counting;
+    nothing sorts, skips or writes the whole table, however deep the page.
     """
     number, size = max(number, 1), max(1, size)
     start = (number - 1) * size
     whole = curated.withColumn("_tie", F.xxhash64(*curated.columns))
-    placed = global_positions(whole, [*order, "_tie"], "_position")
-    wanted = (F.col("_position") >= start) & (F.col("_position") < start + size)
-    return placed.where(wanted).orderBy("_position").select(*curated.columns)
+    placed = rows_at(whole, [*order, "_tie"], lambda n: list(range(start, min(n, start + size))))
+    return placed.orderBy("_position").select(*curated.columns)
 
 
 def page_totals(curated: DataFrame, size: int) -> DataFrame:
