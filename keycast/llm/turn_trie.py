@@ -243,7 +243,7 @@ def rolled_up(nodes: DataFrame, paths: DataFrame, names: list[str], settings: Se
     # At first there is one component, whose top is the root; its id is the smallest of all.
     root = nodes.agg(F.min("conv_id")).first()[0]
     whole = F.struct(F.lit(root).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"))
-    open_nodes = nodes.select("conv_id", "depth", "parent_conv_id", whole.alias("top"), "weight", *names)
+    open_nodes = stored(nodes.select("conv_id", "depth", "parent_conv_id", whole.alias("top"), "weight", *names), "open")
     credits = []
     while True:
         sizes = stored(open_nodes.groupBy("top").agg(F.count(F.lit(1)).alias("size"), F.max("weight").alias("total")), "sizes")
