@@ -42,6 +42,21 @@ def _(spark, sf):
     return folds.fold_table(facts, Backtest(strategy="expanding", newest_first=True)).select("group_id", *long("fold", "train_start", "train_end"))
 
 
+@query("folds_all", with_(SERIES) + """SELECT group_id, CAST(k AS BIGINT) AS fold, CAST(3 * k AS BIGINT) AS train_start, CAST(12 + 3 * k AS BIGINT) AS train_end
+    FROM (SELECT DISTINCT group_id, n FROM series), range(1000) r(k) WHERE n >= 15 + 3 * k""")
+def _(spark, sf):
+    facts = supplier_series(spark, sf).groupBy("group_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return folds.fold_table(facts, Backtest(max_folds=None)).select("group_id", *long("fold", "train_start", "train_end"))
+
+
+@query("backtest_all_folds", with_(FRAME.replace("range(5) r(k)", "range(1000) r(k)"), TREND) + f"""SELECT group_id, count(DISTINCT fold) AS folds, {r_(6, 'wmape')}, {r_(2, 'mae')} FROM (
+    SELECT group_id, fold, sum(abs(actual - value)) OVER (PARTITION BY group_id) / nullif(sum(abs(actual)) OVER (PARTITION BY group_id), 0) * 100 AS wmape, avg(abs(actual - value)) OVER (PARTITION BY group_id) AS mae FROM trend WHERE fold >= 0) GROUP BY group_id, wmape, mae""")
+def _(spark, sf):
+    """Every fold of a series judges it, the newest months too."""
+    frame = folds.frame(supplier_series(spark, sf), Backtest(max_folds=None))
+    return metrics.overall(trend.predict(frame)).select("group_id", *long("folds"), *rounded(6, "wmape"), *rounded(2, "mae"))
+
+
 @query("folds_frame", with_(FRAME) + "SELECT group_id, CAST(fold AS BIGINT) AS fold, part, CAST(step AS BIGINT) AS step, CAST(t AS BIGINT) AS t, ds, round(y, 4) AS y FROM frame")
 def _(spark, sf):
     return frame_of(spark, sf).select("group_id", *long("fold"), "part", *long("step", "t"), "ds", F.round("y", 4).alias("y"))

@@ -157,7 +157,7 @@ class Backtest:
     horizon: int = 3
     min_train: int = 12
     step: int | None = None
-    max_folds: int = 5
+    max_folds: int | None = 5  # None: all that fit
     window: int | None = None
     newest_first: bool = False
 

@@ -8,6 +8,7 @@ recompute the array expression for every element.
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -212,6 +213,47 @@ def shapiro_weights(n: int) -> list[float]:
     return [-last, -second, *inner, second, last]
 
 
+# Coefficients of the normal quantile, algorithm AS 241, lowest power first; for the middle and for the tails.
+_MIDDLE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+_TAIL = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9),
+)
+
+
+def inverse_normal(p: Column) -> Column:
+    """Normal quantile for probabilities from 1e-10 to 1 - 1e-10."""
+
+    def ratio(x: Column, of: tuple) -> Column:
+        powers = lambda c: functools.reduce(lambda total, k: total * x + F.lit(k), reversed(c[:-1]), F.lit(c[-1]))
+        return powers(of[0]) / powers(of[1])
+
+    q = p - 0.5
+    tail = ratio(F.sqrt(-F.ln(F.least(p, 1 - p))) - 1.6, _TAIL)
+    return F.when(F.abs(q) <= 0.425, q * ratio(F.lit(0.180625) - q * q, _MIDDLE)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+
+
+def with_shapiro_weights(lengths: DataFrame, size: str, name: str) -> DataFrame:
+    """Add the weights of `shapiro_weights` for each row's sample size, as array expressions."""
+    n = F.col(size)
+    scores = F.transform(F.sequence(F.lit(1), n), lambda i: inverse_normal((i - 0.375) / (n + 0.25)))
+    out = pinned(lengths, _scores=scores)
+    out = pinned(out, _total=F.aggregate("_scores", F.lit(0.0), lambda s, m: s + m * m), _u=1 / F.sqrt(n.cast("double")))
+    u, top, next_ = F.col("_u"), F.element_at("_scores", -1), F.element_at("_scores", -2)
+    last = top / F.sqrt("_total") + u * (0.221157 + u * (-0.147981 + u * (-2.071190 + u * (4.434685 - u * 2.706056))))
+    second = next_ / F.sqrt("_total") + u * (0.042981 + u * (-0.293762 + u * (-1.752461 + u * (5.682633 - u * 3.582633))))
+    out = pinned(out, _last=last, _second=second)
+    phi = (F.col("_total") - 2 * top * top - 2 * next_ * next_) / (1 - 2 * F.col("_last") * F.col("_last") - 2 * F.col("_second") * F.col("_second"))
+    out = pinned(out, _root=F.sqrt(phi))
+    weight = lambda m, i: (
+        F.when(i == 0, -F.col("_last")).when(i == 1, -F.col("_second")).when(i == n - 1, F.col("_last")).when(i == n - 2, F.col("_second")).otherwise(m / F.col("_root"))
+    )
+    return out.withColumn(name, F.transform("_scores", weight)).drop("_scores", "_total", "_u", "_last", "_second", "_root")
+
+
 def shapiro_z(w: Column, n: Column) -> Column:
     """Normal score of the Shapiro–Wilk W for n >= 12; its p-value is 1 - Φ(z)."""
     x = F.ln(n)

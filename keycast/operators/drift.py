@@ -12,8 +12,6 @@ from keycast.functions.skew import spread
 from keycast.operators.metrics import finite
 from keycast.operators.rules import reference_window
 
-MAX_WEIGHT_ROWS = 180  # longest window: three times the longest horizon
-
 
 def history_samples(series: DataFrame, grain: str | None, horizon: int) -> DataFrame:
     """`group_id, history`: the reference window in time order. Its length is bounded by the grain and horizon."""
@@ -30,16 +28,14 @@ def forecast_samples(forecasts: DataFrame) -> DataFrame:
 def normality(samples: DataFrame, options: Drift = Drift()) -> DataFrame:
     """Add `normality_test` and `p_value`.
 
-    Shapiro–Wilk is a dot product of the sorted sample with fixed weights; the
-    weight table has one row per window length that can occur. Longer samples
-    use D'Agostino–Pearson from their moments.
+    Shapiro–Wilk is a dot product of the sorted sample with weights that its
+    length sets; they are worked out once per length that occurs. Samples longer than
+    `shapiro_max_rows` use D'Agostino–Pearson from their moments.
     """
-    spark = samples.sparkSession
-    longest = min(options.shapiro_max_rows, MAX_WEIGHT_ROWS)
-    table = [(n, S.shapiro_weights(n)) for n in range(12, longest + 1)]
-    weights = spark.createDataFrame(table, "sample_size int, weights array<double>")
     out = S.pinned(samples.withColumn("sample_size", F.size("history")), _sorted=F.sort_array("history"))
-    out = out.join(F.broadcast(weights), "sample_size", "left")  # fixed size: a few thousand numbers
+    lengths = out.select("sample_size").where(F.col("sample_size").between(12, options.shapiro_max_rows)).distinct()
+    # One row per length up to shapiro_max_rows, 16 MB if all 2,000 occur.
+    out = out.join(F.broadcast(S.with_shapiro_weights(lengths, "sample_size", "weights")), "sample_size", "left")
     out = S.pinned(out, _m=S.moments(F.col("_sorted")))
     dot = F.aggregate(F.zip_with("_sorted", "weights", lambda x, a: x * a), F.lit(0.0), lambda s, v: s + v)
     out = S.pinned(out, _w=F.when(F.col("weights").isNotNull(), dot * dot / F.nullif(F.col("_m.m2"), F.lit(0.0))))

@@ -14,7 +14,9 @@ FORWARD = -1  # fold number of the full-history fit
 def fold_count(n: Column, options: Backtest = Backtest()) -> Column:
     step = options.step or options.horizon
     room = n - options.min_train - options.horizon
-    return F.when(room >= 0, F.least(F.lit(options.max_folds), F.floor(room / step) + 1)).otherwise(0).cast("int")
+    fit = F.floor(room / step) + 1
+    kept = fit if options.max_folds is None else F.least(F.lit(options.max_folds), fit)
+    return F.when(room >= 0, kept).otherwise(0).cast("int")
 
 
 def _folds(n: Column, options: Backtest) -> Column:

@@ -112,3 +112,27 @@ def test_trend_has_a_wider_null_than_flat_and_repeats(spark):
     assert first == second
     assert first["trend"][0] > first["flat"][0]
     assert first["mod"][1:] == ("bootstrap", 200) and first["trend"][1] == "kernel_density"
+
+
+def test_shapiro_weights_of_any_length_equal_the_closed_form(spark):
+    """Quantiles by expression against the standard library, up to 2,000 values."""
+    from statistics import NormalDist
+
+    ps = [1e-6, 0.0003, 0.01, 0.074, 0.075, 0.2, 0.5, 0.8, 0.926, 0.99, 0.9997]
+    got = [r.z for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").orderBy("i").select(S.inverse_normal(F.col("p")).alias("z")).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-13, abs=1e-15)
+    made = S.with_shapiro_weights(spark.createDataFrame([(n,) for n in (12, 36, 200, 1999)], "n int"), "n", "w").collect()
+    for r in made:
+        assert r.w == pytest.approx(S.shapiro_weights(r.n), rel=1e-11, abs=1e-14)
+
+
+def test_long_samples_are_judged_by_shapiro_wilk(spark):
+    import random
+
+    from keycast.operators import drift
+
+    rnd = random.Random(4)
+    rows = [("normal", [rnd.gauss(5, 2) for _ in range(900)]), ("skewed", [rnd.expovariate(1) for _ in range(900)]), ("long", [rnd.gauss(0, 1) for _ in range(2100)])]
+    found = {r.group_id: r for r in drift.normality(spark.createDataFrame(rows, "group_id string, history array<double>")).collect()}
+    assert found["normal"].normality_test == found["skewed"].normality_test == "Shapiro-Wilk" and found["long"].normality_test == "D'Agostino-Pearson"
+    assert found["normal"].p_value > 0.05 and found["skewed"].p_value < 1e-6 and found["long"].p_value > 0.01
