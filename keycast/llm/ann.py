@@ -5,13 +5,13 @@ one line, sorted. A query starts with a narrow window around its own position
 on every line. Windows widen together, by a fixed factor (virtual rehashing:
 no table is built again), and every vector that enters a window collides once
 more. A vector with enough collisions is verified by its exact distance. A query
-ends when enough vectors were verified and the k-th verified distance lies
-within what the windows have covered, or when a set share of the vectors was
-verified.
+ends when the k-th verified distance is at most `reach` times the windows' half
+width, and a set share of the block's vectors, which is a floor, was verified; or
+when the windows hold everything.
 
-Vectors are dealt into blocks of bounded size, each with its own sorted lines,
-so an index of any size is built and searched in bounded memory, block by
-block; queries travel to the blocks in groups, never all of them at once.
+Vectors are dealt into blocks of bounded size. A block's sorted lines are built
+once, by one task, which then reads the queries as a stream: an index of any size
+is built and searched in bounded memory, and only the queries are copied, once per block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keycast.llm.shared import kept, ship
+from keycast.llm.shared import in_python, kept
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,8 @@ class Settings:
     start: float = 0.5  # half width of the first window, in units of the block's spread
     widen: float = 1.25
     verify: float = 0.05  # of a block's vectors are verified before a query may end
+    reach: float = 4.0  # half widths that the k-th verified distance may span
     block_rows: int = 32_768
-    query_rows: int = 256
     seed: int = 7
 
 
@@ -75,6 +75,8 @@ class Lines:
         hits = np.zeros(n, dtype=np.uint16)
         need, half = math.ceil(s.share * lines), s.start * self.unit
         least = min(n, max(4 * k, math.ceil(s.verify * n)))
+        known, squares = np.zeros(n, dtype=bool), np.full(n, np.inf)
+        known[self.ids == query_id] = True  # never its own neighbour
         while True:
             for j in range(lines):
                 line = self.sorted[j]
@@ -83,13 +85,17 @@ class Lines:
                 hits[self.order[j, a : low[j]]] += 1  # a line names a vector once, so no index repeats
                 hits[self.order[j, high[j] : b]] += 1
                 low[j], high[j] = min(a, low[j]), max(b, high[j])
-            # Stop with enough vectors over the bar, or with all of them inside all windows.
-            if (hits >= need).sum() >= least or (high - low).min() == n:
-                break
+            over = hits >= need
+            if over.sum() >= least or (high - low).min() == n:
+                fresh = np.flatnonzero(over & ~known)
+                known[fresh] = True
+                squares[fresh] = ((self.data[fresh] - query) ** 2).sum(axis=1)
+                kth = np.partition(squares, k - 1)[k - 1] if n >= k else np.inf
+                if (high - low).min() == n or kth <= (s.reach * half) ** 2:
+                    break
             half *= s.widen
-        found = np.flatnonzero(hits >= need)
-        found = found[self.ids[found] != query_id]
-        distance = np.sqrt(((self.data[found] - query) ** 2).sum(axis=1))
+        found = np.flatnonzero(np.isfinite(squares))
+        distance = np.sqrt(squares[found])
         best = np.lexsort((self.ids[found], distance))[:k]
         return self.ids[found[best]], distance[best]
 
@@ -100,30 +106,34 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, settings: Se
     Both tables have vec_id and embedding (see `vectors`). Only vectors of the
     query's own dimension are candidates. Ties go to the smaller vec_id; with
     fewer than k candidates all come back; a query without any has no rows.
-    Ids should not repeat; rows that repeat one count as one neighbour each.
+    Rows of one table that repeat an id count as one neighbour each, but none of them is a neighbour of a query with that id.
     """
     candidates, queries = kept(candidates), kept(queries)
     blocks = max(1, math.ceil(candidates.count() / settings.block_rows))
-    groups = max(1, math.ceil(queries.count() / settings.query_rows))
-    ship(candidates.sparkSession)
-    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(blocks)).cast("int"))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    # Every (block, group of queries) is one piece of work with both sides bounded.
-    split = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    keys = ["block", "group", "n"]
-    dealt, asked = (t.withColumn("n", F.size("embedding")) for t in (split, asked))
-
-    def search(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(right) and len(left):
-            lines = Lines(right["vec_id"].to_numpy(np.int64), np.stack(right["embedding"].to_numpy()), settings)
-            for query_id, vector in zip(left["vec_id"], left["embedding"], strict=True):
-                ids, scores = lines.search(query_id, np.asarray(vector), k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    rows = dealt.unionByName(asked).withColumn("n", F.size("embedding")).select("block", "n", "asks", "vec_id", "embedding")
+    # A block's vectors of one dimension come first, its queries behind them.
+    placed = rows.repartition(blocks, "block", "n").sortWithinPartitions("block", "n", "asks")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, data, lines = None, [], [], None
+        for batch in batches:
+            out = []
+            for block, n, asks, vec_id, vector in zip(batch["block"], batch["n"], batch["asks"], batch["vec_id"], batch["embedding"], strict=True):
+                if (block, n) != at:
+                    at, ids, data, lines = (block, n), [], [], None
+                if not asks:
+                    ids.append(vec_id)
+                    data.append(vector)
+                elif ids:
+                    lines = lines or Lines(np.array(ids, np.int64), np.stack(data), settings)
+                    near, scores = lines.search(vec_id, np.asarray(vector, np.float64), k)
+                    out.append(pd.DataFrame({"query_id": vec_id, "vec_id": near, "score": scores}))
+            if out:
+                yield pd.concat(out)
+
+    found = in_python(placed, search, "query_id long, vec_id long, score double")
     # At most k rows of a query come from each block, and Spark keeps k per task before the shuffle.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

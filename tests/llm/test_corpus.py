@@ -64,7 +64,7 @@ def test_neighbours_find_nearly_all_and_score_exactly(spark):
     rows = [(i, data[i].tolist(), "x") for i in range(1200)]
     rows += [(5000, None, "x"), (5100, [0.0] * 24, "x"), (5200, [float("nan")] * 24, "x"), (5300, [None] * 24, "x"), (5400, [float("inf")] * 24, "x"), (None, [1.0] * 24, "x"), (6000, [1.0, 2.0], "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string")
-    settings = ann.Settings(block_rows=300, query_rows=5)
+    settings = ann.Settings(block_rows=300)
     got = defaultdict(list)
     for r in ann.nearest_every(table, 100, 10, settings).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
