@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keycast.config import FALLBACK_MODEL
 
 PAIR = ["group_id", "model_name"]
+# Fixed values, here and in `select_production`: statuses and fallback triggers that readers of the table match on.
 NO_CANDIDATE = "No ranked candidate survived earlier validation stages."
 
 
