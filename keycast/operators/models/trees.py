@@ -61,8 +61,9 @@ def together(work: list[Callable]) -> list:
     """Results of several Spark actions that run side by side, in order."""
     if not work:
         return []
+    inherits = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(min(AT_ONCE, len(work))) as pool:
-        return list(pool.map(lambda run: run(), [inheritable_thread_target(w) for w in work]))
+        return list(pool.map(lambda run: run(), [inherits(w) for w in work]))
 
 
 # -- calendar borders -------------------------------------------------------------
