@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -39,6 +40,9 @@ class PrefixCounter:
         self.rank = {pair: r for r, pair in enumerate(merges)}
         self.parts = {a + b: (r, a, b) for r, (a, b) in reversed(list(enumerate(merges)))}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(a != b and a in b for a in self.special for b in self.special):
+            raise ValueError("Special strings that hold one another are not supported.")
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.space = self.split.pre_tokenize_str(" ")[0][0]
         self.letters: dict[str, str] = {}  # characters in the vocabulary's alphabet of bytes
         self.together: dict[tuple[str, str], bool] = {}
@@ -144,14 +148,24 @@ class PrefixCounter:
         """counts[i]: exact token count of the first i characters, from one pass over the words.
 
         Inside a word its own prefix counts serve. Where a shorter prefix may
-        split into other words (next to white space, apostrophes and special
-        strings) the last two words are counted anew.
+        split into other words (next to white space and apostrophes) the last
+        two words are counted anew. Special strings are cut out first, as the
+        library does; what a prefix holds of one that it does not finish is plain text.
         """
+        if not any(s in text for s in self.special):
+            return self._plain_prefixes(text)
+        counts, at, base = np.zeros(len(text) + 1, dtype=np.int64), 0, 0
+        for found in self.specials.finditer(text):
+            start, end = found.span()
+            before = self._plain_prefixes(text[at : end - 1])
+            counts[at:end] = base + before
+            base += int(before[start - at]) + 1
+            counts[end], at = base, end
+        counts[at:] = base + self._plain_prefixes(text[at:])
+        return counts
+
+    def _plain_prefixes(self, text: str) -> np.ndarray:
         counts = np.zeros(len(text) + 1, dtype=np.int64)
-        if any(s in text for s in self.special):
-            for i in range(len(text) + 1):
-                counts[i] = len(self.library.encode(text[:i], add_special_tokens=False).ids)
-            return counts
         words, base, ends = self.split.pre_tokenize_str(text), 0, []
         for word, (start, end) in words:
             inside, at = self.word(word), 0

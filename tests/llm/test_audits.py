@@ -263,3 +263,20 @@ def test_large_ids_beside_null_ids_stay_exact(spark):
     assert scored == {d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1 for d in want}
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"))
     assert ids(html.main_text(pages), "page_id") == want
+
+
+def test_prefix_counts_of_texts_with_special_strings_are_exact_and_linear():
+    import time
+
+    counter = prefix_tokens.PrefixCounter(BYTE_BPE)
+    special = counter.special[0]
+    rnd = random.Random(8)
+    words = ["one", " two", "  ", "don't", "é🙂", "\n", special, special[:-1], special[1:], "<|", "7"]
+    for _ in range(25):
+        text = "".join(rnd.choice(words) for _ in range(rnd.randint(1, 14)))
+        want = [len(counter.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert counter.every_prefix(text).tolist() == want, text
+    text = ("some words of a text " * 400 + special) * 8
+    start = time.perf_counter()
+    assert counter.every_prefix(text)[-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
+    assert time.perf_counter() - start < 20
