@@ -402,7 +402,7 @@ def _(spark, sf):
 
 @query("run_from_raw", with_(*DECISION) + "SELECT group_id, model_name, status, fallback_used, round(composite_score, 6) AS composite_score, CAST(final_rank AS BIGINT) AS final_rank FROM picked")
 def _(spark, sf):
-    """A whole run, gates included, from unprepared rows."""
+    """A whole run, gates included, from rows that are monthly already."""
     run = once(spark, f"raw-run:{sf}", lambda: forecast.run(supplier_months(spark, sf), SUPPLIER_ROLES, CLOSED_FORM))
     return run.selection.select("group_id", "model_name", "status", "fallback_used", F.round("composite_score", 6).alias("composite_score"), *long("final_rank"))
 
