@@ -1,8 +1,10 @@
 """Near duplicates by MinHash: an inverted join on the coordinates of signatures.
 
 Sets of shingles are posted under the (coordinate, value) keys of their
-signatures; a pair is worth a look if it meets under at least `matches` keys.
-Rules that skip the rest without losing such a pair: a key that one set alone
+signatures; a pair is meant to be looked at if it meets under at least `matches`
+keys. The keys a pair has in common are not counted one by one: skip and prefix rules
+leave out what cannot reach the bar, and what is left is judged by a sketch.
+The rules lose no pair that reaches it: a key that one set alone
 has joins nothing; a set with fewer shared keys than matches has no partner;
 and of its shared keys, rarest first, all but the last `matches - 1` are
 enough to meet every partner (prefix rule).

@@ -6,6 +6,8 @@ two of them together encode to themselves. So the last token of prefix i is the
 one candidate that may follow the last token of the prefix it extends, and
 count[i] = count[i - len(token)] + 1. Words are independent of each other, so
 counts at prefixes of a whole text are running sums over its words.
+`prefix_counts` stores them all; `token_counts` runs the same programme and keeps
+what a document needs, its total and the cut for a budget.
 """
 
 from __future__ import annotations
