@@ -15,6 +15,7 @@ whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -30,6 +31,7 @@ _GROWS = "\u0130"  # the one letter that becomes two characters in lower case
 _SPACE_LETTER = "\u0120"  # a space in the alphabet of byte-level vocabularies
 _SPACES = re.compile(r"\s\s")
 _LONGEST = 64  # characters of a piece worth remembering
+MANY = 1_000_000  # pieces a worker may remember where it has some 120 MB for them; new words never stop, and a lost one is encoded again
 
 
 def cut_mode(path: str) -> str:
@@ -76,6 +78,16 @@ class Pieces:
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the kept values of its pieces, in order."""
+        # Nothing made here refers back to itself, and the collector would walk the memory again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._of(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _of(self, texts: list[str]) -> list[list]:
         if self.mode == "none":
             return [[v] for v in self.compute(texts)]
         for held, piece in self.brief:  # long pieces live for one batch only
@@ -106,7 +118,7 @@ def _absent(parts: list, held: dict) -> set:
 class Encoder:
     """Token ids of texts as little-endian bytes, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,8 +128,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}
-        self.most_runs = 300_000
-        self.pieces = Pieces(cut_mode(path), self._encode)
+        self.most_runs = max(300_000, most)
+        self.pieces = Pieces(cut_mode(path), self._encode, most)
         self.marked = self._marked()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -193,11 +205,11 @@ class Encoder:
         return [b"".join(x) for x in self.pieces.of(texts)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = 150_000) -> Encoder:
+    """One encoder per worker process and size of its memory."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]

@@ -13,7 +13,6 @@ what a document needs, its total and the cut for a budget.
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keycast.llm.encoding import Encoder, Pieces, cut_mode
+from keycast.llm.encoding import MANY, Encoder, Pieces, cut_mode
 from keycast.llm.shared import bundles, in_python
 
 
@@ -50,7 +49,8 @@ class PrefixCounter:
         self.together: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, bool], list] = {}
         self.words: dict[str, int] = {}
-        self.pieces = Pieces("keep", self._totals)
+        self.most_words = MANY
+        self.pieces = Pieces("keep", self._totals, MANY)
 
     def edge(self, token: str, right: bool) -> list[tuple[str, int, int]]:
         """The parts that stand at one edge of a token while it is being merged, each with the ranks of the merges that make and end it."""
@@ -89,16 +89,22 @@ class PrefixCounter:
 
     def word(self, word: str, count: list[int] | None = None, last: list[str] | None = None, known: int = 0) -> list[int]:
         """Counts at all prefixes of one word, of which the first `known` are in `count` and `last` already."""
-        vocab, follows, longest = self.vocab, self.follows, self.longest
+        vocab, together, follows, longest = self.vocab, self.together, self.follows, self.longest
         count, last = count if count is not None else [0], last if last is not None else [""]
         del count[known + 1 :], last[known + 1 :]
         for end in range(known + 1, len(word) + 1):
             for start in range(max(0, end - longest), end):
                 token = word[start:end]
-                if token in vocab and (not start or follows(last[start], token)):
-                    count.append(count[start] + 1)
-                    last.append(token)
-                    break
+                if token in vocab:
+                    fits = True
+                    if start:
+                        fits = together.get((last[start], token))
+                        if fits is None:
+                            fits = follows(last[start], token)
+                    if fits:
+                        count.append(count[start] + 1)
+                        last.append(token)
+                        break
             else:
                 raise ValueError("The vocabulary lacks a byte.")
         return count
@@ -126,18 +132,24 @@ class PrefixCounter:
         Words come in order, so that a word starts from the prefix it shares with the one before.
         """
         split = []
+        joint = "\n".join(pieces)
+        special = [s for s in self.special if s in joint]
         for piece in pieces:
-            if any(s in piece for s in self.special):  # the library takes these strings out first
+            if special and any(s in piece for s in special):  # the library takes these strings out first
                 split.append(len(self.library.encode(piece, add_special_tokens=False).ids))
             else:
                 split.append(self._split(piece) if piece else [])
         new = sorted({w for x in split if isinstance(x, list) for w in x} - self.words.keys())
-        if len(self.words) + len(new) > 400_000:
+        if len(self.words) + len(new) > self.most_words:
             self.words.clear()
             new = sorted({w for x in split if isinstance(x, list) for w in x})
         count, last, before, totals = [0], [""], "", self.words
         for w in new:
-            shared = len(os.path.commonprefix((before, w)))
+            shared = 0
+            for a, b in zip(before, w, strict=False):
+                if a != b:
+                    break
+                shared += 1
             totals[w] = self.word(w, count, last, shared)[-1]
             before = w
         return [x if isinstance(x, int) else sum(map(totals.__getitem__, x)) for x in split]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import itertools
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keycast.llm import ann, html, imatch, minhash, mixing, packing, pii, prefix_tokens, tokenfile, toxicity
+from keycast.llm import ann, encoding, html, imatch, minhash, mixing, packing, pii, prefix_tokens, tokenfile, toxicity
 from keycast.llm.encoding import Encoder
 from keycast.llm.shared import shared_folder
 
@@ -503,3 +504,14 @@ def test_toxicity(spark, nothing):
     model = toxicity.train(table, known, toxicity.Settings(most_per_label=400))
     scored = toxicity.score(table, model, "_t")
     assert scored.columns == [*table.columns, "_t"] and scored.count() == len(rows)
+
+
+def test_token_operators_remember_many_pieces_and_leave_the_collector_alone(spark, monkeypatch):
+    pieces, seen = prefix_tokens.PrefixCounter(BYTE_BPE).pieces, []
+    assert pieces.most == encoding.MANY and Encoder(WORD_BPE).pieces.most < encoding.MANY
+    assert encoding.encoder(WORD_BPE, encoding.MANY).pieces.most == encoding.encoder(WORD_BPE, encoding.MANY).most_runs == encoding.MANY
+    assert encoding.encoder(WORD_BPE, encoding.MANY) is not encoding.encoder(WORD_BPE)
+    compute = pieces.compute
+    monkeypatch.setattr(pieces, "compute", lambda new: (seen.append(gc.isenabled()), compute(new))[1])
+    pieces.of(["a text", "another text"])
+    assert seen and not any(seen) and gc.isenabled()
