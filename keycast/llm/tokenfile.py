@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keycast.llm.encoding import encoder
+from keycast.llm.encoding import MANY, encoder
 from keycast.llm.shared import bundles, in_python, shared_folder
 
 BLOCK = "part int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, ranks binary, control binary, data binary"
@@ -75,7 +75,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bl
     placed = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, number = encoder(tokenizer, MANY), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=np.uint32)
         names: list = []
         held: list[np.ndarray] = []
