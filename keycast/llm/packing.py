@@ -19,15 +19,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = f"{PIECES}, sequence_id long, offset long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", most: int = 150_000) -> DataFrame:
     """One row per piece of at most `capacity` tokens of a document and its end id.
 
     A null text is empty (its piece holds the end id alone); a null id stays
     null; repeated rows give repeated pieces; other columns are not read.
+    A worker remembers the ids of at most `most` pieces of text.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer, most), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             for low, high in bundles(texts):
@@ -130,6 +131,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 30_000) -> D
     return dealt.groupBy("_group").applyInArrow(place, PLACES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, most: int = 150_000) -> DataFrame:
     """Tokenize, cut and pack whole documents."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, most=most), capacity)
