@@ -14,6 +14,7 @@ from keycast.llm import minhash, mixing, packing, pii, toxicity
 from keycast.llm.shared import free, shared_folder
 
 THRESHOLD = 0.7
+REMEMBERED = 50_000  # pieces a packing worker remembers: earlier stages leave little of an executor's memory
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), most=REMEMBERED)
 
 
 STAGES = [

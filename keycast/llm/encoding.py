@@ -20,12 +20,16 @@ import json
 import os
 import re
 import unicodedata
+from contextlib import contextmanager
 from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _CUT = re.compile(r" (?=\S)")
+_LOOSE = re.compile(r" (?:\s|\Z)")  # a space that belongs to a longer run, or ends the text
 _RUNS = regex.compile(r" ?\p{L}+|\P{L}+")
 _GROWS = "\u0130"  # the one letter that becomes two characters in lower case
 _SPACE_LETTER = "\u0120"  # a space in the alphabet of byte-level vocabularies
@@ -52,6 +56,18 @@ def cut_mode(path: str) -> str:
     return "none"
 
 
+@contextmanager
+def _uncollected():
+    """Nothing made here refers back to itself, and the collector would walk the memory again and again."""
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collects:
+            gc.enable()
+
+
 class Pieces:
     """Something kept per distinct piece; `compute` is called with new pieces only."""
 
@@ -78,21 +94,24 @@ class Pieces:
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the kept values of its pieces, in order."""
-        # Nothing made here refers back to itself, and the collector would walk the memory again and again.
-        collects = gc.isenabled()
-        gc.disable()
-        try:
+        with _uncollected():
             return self._of(texts)
-        finally:
-            if collects:
-                gc.enable()
+
+    def renew(self) -> None:
+        """Forget long pieces, which live for one batch only."""
+        for held, piece in self.brief:
+            held.pop(piece, None)
+        self.brief.clear()
+
+    def values(self, pieces: list[str], start: bool) -> list:
+        """The values of the pieces, which stand at the beginning of a text or after a space."""
+        held, lead = (self.first, "") if start else (self.rest, " " if self.mode == "keep" else "")
+        return list(map(self._fill(held, [pieces], _absent([pieces], held), lead).__getitem__, pieces))
 
     def _of(self, texts: list[str]) -> list[list]:
         if self.mode == "none":
             return [[v] for v in self.compute(texts)]
-        for held, piece in self.brief:  # long pieces live for one batch only
-            held.pop(piece, None)
-        self.brief.clear()
+        self.renew()
         parts = [text.split(" ") for text in texts]
         heads = [part.pop(0) for part in parts]
         missing = _absent(parts, self.rest)
@@ -128,7 +147,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}
-        self.most_runs = max(300_000, most)
+        self.most_runs = min(2 * most, max(300_000, most))
         self.pieces = Pieces(cut_mode(path), self._encode, most)
         self.marked = self._marked()
 
@@ -202,7 +221,38 @@ class Encoder:
         return table
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in self.pieces.of(texts)]
+        loose = [self.pieces.mode == "none" or self.pieces.mode == "keep" and bool(_LOOSE.search(text)) for text in texts]
+        slow = iter([b"".join(x) for x in self.pieces.of([t for t, apart in zip(texts, loose, strict=True) if apart])])
+        with _uncollected():
+            fast = iter(self._joined([t for t, apart in zip(texts, loose, strict=True) if not apart]))
+        return [next(slow if apart else fast) for apart in loose]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut at every space. Arrow cuts them and finds the distinct pieces, so Python sees each piece once."""
+        if not texts:
+            return []
+        self.pieces.renew()
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words, bounds = cut.values, cut.offsets.to_numpy()
+        inner = np.ones(len(words), dtype=bool)
+        inner[bounds[:-1]] = False
+        rest = words.filter(pa.array(inner)).dictionary_encode()
+        known = self.pieces.values(_strings(rest.dictionary), start=False)
+        place = np.empty(len(words), dtype=np.int64)
+        place[inner] = rest.indices.to_numpy()
+        place[bounds[:-1]] = np.arange(len(known), len(known) + len(texts))
+        known += self.pieces.values(_strings(words.take(pa.array(bounds[:-1]))), start=True)
+        # Taken in the order of the texts, the ids lie one behind the other in a single buffer.
+        taken = pa.array(known, pa.large_binary()).take(pa.array(place))
+        _, offsets, raw = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(words) + 1][bounds].tolist()
+        whole = memoryview(raw or b"")
+        return [whole[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """The column as a list, many times faster than by `to_pylist`."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
