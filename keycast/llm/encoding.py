@@ -31,6 +31,9 @@ import regex
 _CUT = re.compile(r" (?=\S)")
 _LOOSE = re.compile(r" (?:\s|\Z)")  # a space that belongs to a longer run, or ends the text
 _RUNS = regex.compile(r" ?\p{L}+|\P{L}+")
+_MARKS = ".,;:!?"
+_BREAK = "\n"
+_PLAIN = r"^\pL+[.,;:!?]?(?:\n\pL+[.,;:!?]?)*$"  # lines of a word and at most one mark; marks and lone line breaks are tokens of their own in "keep" mode
 _GROWS = "\u0130"  # the one letter that becomes two characters in lower case
 _SPACE_LETTER = "\u0120"  # a space in the alphabet of byte-level vocabularies
 _SPACES = re.compile(r"\s\s")
@@ -87,8 +90,7 @@ class Pieces:
             held.clear()
             held.update(known)
         new = list(missing)
-        made = dict(zip(new, self.compute([lead + p for p in new] if lead else new), strict=True))
-        held.update(made)
+        held.update(zip(new, self.compute([lead + p for p in new] if lead else new), strict=True))
         self.brief += [(held, p) for p in new if len(p) > _LONGEST]
         return held
 
@@ -106,7 +108,12 @@ class Pieces:
     def values(self, pieces: list[str], start: bool) -> list:
         """The values of the pieces, which stand at the beginning of a text or after a space."""
         held, lead = (self.first, "") if start else (self.rest, " " if self.mode == "keep" else "")
-        return list(map(self._fill(held, [pieces], _absent([pieces], held), lead).__getitem__, pieces))
+        found = list(map(held.get, pieces))
+        missing = {p for p, value in zip(pieces, found, strict=True) if value is None}
+        if not missing:
+            return found
+        held = self._fill(held, [pieces], missing, lead)
+        return [held[p] if value is None else value for p, value in zip(pieces, found, strict=True)]
 
     def _of(self, texts: list[str]) -> list[list]:
         if self.mode == "none":
@@ -150,11 +157,23 @@ class Encoder:
         self.most_runs = min(2 * most, max(300_000, most))
         self.pieces = Pieces(cut_mode(path), self._encode, most)
         self.marked = self._marked()
+        # Marks and line breaks may stand apart from words unless they or words are special strings.
+        apart = self.pieces.mode == "keep" and not any(all(c.isalpha() or c in _MARKS + _BREAK for c in s) for s in self.special)
+        self.marks = self._one_by_one([*_MARKS, _BREAK]) if apart else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each piece, put together from its runs of letters and of other characters where tokens never span two runs."""
         if self.pieces.mode == "none":
             return self._one_by_one(texts)
+        if self.marks is None:
+            return self._by_runs(texts)
+        # Words come without their marks: pieces remember them, and runs need not.
+        word = [t[:1] == " " and t[1:].isalpha() for t in texts]
+        words = iter(self._encode_words([t for t, of in zip(texts, word, strict=True) if of]))
+        others = iter(self._by_runs([t for t, of in zip(texts, word, strict=True) if not of]))
+        return [next(words) if of else next(others) for of in word]
+
+    def _by_runs(self, texts: list[str]) -> list[bytes]:
         split = list(map(self._split, texts))
         missing = _absent(split, self.runs)
         if len(self.runs) + len(missing) > self.most_runs:
@@ -193,23 +212,27 @@ class Encoder:
 
     def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of each run. Runs of letters that a space parts are encoded as one text, for they cannot influence each other."""
-        joint, lead = ("", " ") if self.pieces.mode == "keep" else (" ", "")
+        lead = " " if self.pieces.mode == "keep" else ""
         words = [r for r in runs if r.startswith(lead) and r[len(lead) :].isalpha() and _GROWS not in r]
         parted = set(words)
         alone = [r for r in runs if r not in parted]
-        out = dict(zip(alone, self._one_by_one(alone), strict=True))
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
+        return dict(zip(alone, self._one_by_one(alone), strict=True)) | dict(zip(words, self._encode_words(words), strict=True))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with its space in "keep" mode: hundreds are encoded as one text (the library takes longer per word in longer texts)."""
+        joint, out = "" if self.pieces.mode == "keep" else " ", []
+        for start in range(0, len(words), 256):
+            part = words[start : start + 256]
             found = self.library.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0]
             ids = np.array(found.ids, dtype=self.dtype)
             # A word starts with the one token that holds its space, or ends with the one that is marked as an end.
             marks = np.flatnonzero(self.marked[ids])
             cuts = (np.append(marks, len(ids)) if joint == "" else np.append(0, marks + 1)) * self.dtype.itemsize
             if len(cuts) != len(part) + 1:
-                out.update(zip(part, self._one_by_one(part), strict=True))
+                out += self._one_by_one(part)
                 continue
             raw, cuts = ids.tobytes(), cuts.tolist()
-            out.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
     def _marked(self) -> np.ndarray:
@@ -237,18 +260,55 @@ class Encoder:
         inner = np.ones(len(words), dtype=bool)
         inner[bounds[:-1]] = False
         rest = words.filter(pa.array(inner)).dictionary_encode()
-        known = self.pieces.values(_strings(rest.dictionary), start=False)
+        known = self._after_space(rest.dictionary)
         place = np.empty(len(words), dtype=np.int64)
         place[inner] = rest.indices.to_numpy()
         place[bounds[:-1]] = np.arange(len(known), len(known) + len(texts))
-        known += self.pieces.values(_strings(words.take(pa.array(bounds[:-1]))), start=True)
+        heads = pa.array(self.pieces.values(_strings(words.take(pa.array(bounds[:-1]))), start=True), pa.large_binary())
         # Taken in the order of the texts, the ids lie one behind the other in a single buffer.
-        taken = pa.array(known, pa.large_binary()).take(pa.array(place))
+        taken = pa.concat_arrays([known, heads]).take(pa.array(place))
         _, offsets, raw = taken.buffers()
         ends = np.frombuffer(offsets, np.int64)[: len(words) + 1][bounds].tolist()
         whole = memoryview(raw or b"")
         return [whole[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
+    def _after_space(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces after a space. Where marks and line breaks stand apart, Arrow cuts them off first: a word is then looked up and kept once."""
+        if self.marks is None:
+            return pa.array(self.pieces.values(_strings(pieces), start=False), pa.large_binary())
+        plain = pc.match_substring_regex(pieces, _PLAIN)
+        cut = pc.split_pattern(pieces.filter(plain), _BREAK)
+        lines, bounds, odd = cut.values, cut.offsets.to_numpy(), pieces.filter(pc.invert(plain))
+        words = pc.ascii_rtrim(lines, characters=_MARKS)
+        first = np.zeros(len(lines), dtype=bool)
+        first[bounds[:-1]] = True
+        spaced, bare = words.filter(pa.array(first)).dictionary_encode(), words.filter(pa.array(~first)).dictionary_encode()
+        values = self.pieces.values(_strings(spaced.dictionary) + _strings(odd), start=False)
+        bare_at = len(values)
+        values += self.pieces.values(_strings(bare.dictionary), start=True)
+        marks_at = len(values)
+        values = pa.array(values + self.marks, pa.large_binary())
+        # Per line its word, its mark if it has one, and the line break unless it is the last.
+        marked = (pc.binary_length(lines).to_numpy() - pc.binary_length(words).to_numpy()).astype(bool)
+        broken = np.ones(len(lines), dtype=bool)
+        broken[bounds[1:] - 1] = False
+        steps = 1 + marked + broken.astype(np.int64)
+        ends = np.cumsum(steps)
+        parts = np.empty(steps.sum(), dtype=np.int64)
+        at = ends - steps
+        parts[at[first]] = spaced.indices.to_numpy()
+        parts[at[~first]] = bare_at + bare.indices.to_numpy()
+        last = pc.binary_slice(lines.filter(pa.array(marked)).cast(pa.large_binary()), -1)
+        parts[at[marked] + 1] = marks_at + pc.index_in(last, pa.array([c.encode() for c in _MARKS], pa.large_binary())).to_numpy()
+        parts[ends[broken] - 1] = marks_at + len(_MARKS)
+        _, offsets, raw = values.take(pa.array(parts)).buffers()
+        offsets = np.frombuffer(offsets, np.int64)[np.append(at[bounds[:-1]], len(parts))]
+        whole = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), raw])
+        place, plain = np.empty(len(pieces), dtype=np.int64), plain.to_numpy(zero_copy_only=False)
+        place[plain] = np.arange(len(whole))
+        place[~plain] = np.arange(len(whole), len(pieces))
+        return pa.concat_arrays([whole, values.slice(len(spaced.dictionary), len(odd))]).take(pa.array(place))
+
 
 def _strings(column: pa.Array) -> list[str]:
     """The column as a list, many times faster than by `to_pylist`."""

@@ -36,17 +36,17 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uin
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Ranks, control bytes and data bytes of a block of ids."""
     count = np.bincount(ids)
-    order = np.lexsort((np.arange(len(count)), -count))
+    order = np.argsort(-count, kind="stable")
     order = order[: np.count_nonzero(count)]
     rank_of = np.zeros(len(count), dtype=np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     codes = rank_of[ids]
     lengths = 1 + (codes >= 1 << 8).astype(np.uint8) + (codes >= 1 << 16) + (codes >= 1 << 24)
-    bytes_ = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = bytes_[np.arange(4) < lengths[:, None]]
+    width = 2 if len(order) <= 1 << 16 else 4
+    data = codes.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8) < lengths[:, None]]
     padded = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
     padded[: len(codes)] = lengths - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    control = padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
     return order.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
@@ -92,7 +92,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bl
         for batch in batches:
             texts = batch["text"].tolist()
             docs_ = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            for low, high in bundles(texts):
+            for low, high in bundles(texts, 4_000_000):
                 for doc, ids in zip(docs_[low:high], encode.ids(texts[low:high]), strict=True):
                     held.append(np.concatenate((np.frombuffer(ids, encode.dtype).astype(np.uint32), end)))
                     names.append(doc)

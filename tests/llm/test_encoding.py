@@ -1,6 +1,8 @@
 """Encoding with remembered pieces: ids are the library's, and Python sees each distinct piece of a batch once."""
 
 import itertools
+import random
+import sys
 
 import corpus_pipeline
 import numpy as np
@@ -33,6 +35,29 @@ def test_distinct_pieces_are_looked_up_once(name, monkeypatch):
     assert sorted(seen) == ["three", "two"]
 
 
+def test_a_word_is_kept_once_whatever_marks_and_line_breaks_follow():
+    made = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    made.ids(["x one one. one, two\none one!\ntwo? two", "one; one: it's two."])
+    assert set(made.pieces.rest) == {"one", "two", "it's"}
+
+
+def test_marks_and_line_breaks_after_any_letter():
+    made = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+    texts = [" ".join(["x", *(f"{a}.\n{a}a," for a in letters[i : i + 500])]) for i in range(0, len(letters), 500)]
+    for text, ids in zip(texts, made.ids(texts), strict=True):
+        assert np.frombuffer(ids, made.dtype).tolist() == made.library.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_and_line_breaks_in_any_order():
+    made, draw = Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=300), random.Random(7)
+    parts = ["on", "The", "\u00fcber", "word", ".", ",", "!", "\n", "\n", " ", " ", " ", "'s", "\t", "\u00a0", "e\u0301", "12", "-", "<|endoftext|>", "x" * 70]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(6000)] + ["a " + "".join(p) for p in itertools.product(["on", ".", "\n", " "], repeat=5)]
+    found = [made.ids(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    for text, ids in zip(texts, itertools.chain(*found), strict=True):
+        assert np.frombuffer(ids, made.dtype).tolist() == made.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_in_the_pipeline_remembers_less(monkeypatch):
     asked = []
     monkeypatch.setattr(packing, "pack_documents", lambda docs, tokenizer, **more: asked.append((tokenizer, more)))
